@@ -2,3 +2,10 @@
 
 Nothing else in the library imports this subpackage.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# executors get this subpackage's functions with the task and need not have it installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

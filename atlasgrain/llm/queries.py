@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filter
+from . import line_dedup, pii, quality_rules, secret_scan, simhash, url_filter
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op8_pii": pii.op8_pii,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op10_url_filters": url_filter.op10_url_filters,
 }
