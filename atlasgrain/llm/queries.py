@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, lm_score, packing, pii, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from . import decontaminate, line_dedup, lm_score, packing, pii, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op8_pii": pii.op8_pii,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op9_lm_scoring": lm_score.op9_lm_scoring,
