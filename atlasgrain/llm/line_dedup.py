@@ -87,7 +87,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     shared = halves.groupBy("key").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("key")
     wanted = halves.join(shared, "key", "left_semi").select("at.*").distinct().groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
     variants = spill(
-        docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_variants, "doc_id long, line_no int, place int, variant binary").distinct(),
+        docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_variants, "doc_id long, line_no int, place int, variant binary"),
         "variants",
     ).withColumn("at", F.struct("doc_id", "line_no"))
     whole, short = variants.where("place < 0").select("variant", F.col("at").alias("one")), variants.where("place >= 0").select("variant", "place", "at")
