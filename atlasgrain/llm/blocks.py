@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +74,7 @@ def local_ids(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[by
     """Numbers of all words, one after another, the number of words by text, and the distinct words."""
     numbers: dict[bytes, int] = defaultdict(count().__next__)
     n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    ids = np.fromiter((numbers[w] for t in texts for w in t), dtype=np.int32, count=int(n.sum()))
+    ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), dtype=np.int32, count=int(n.sum()))
     return ids, n, list(numbers)
 
 
