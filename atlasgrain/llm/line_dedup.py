@@ -83,15 +83,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
     lines = spill(docs.mapInArrow(_lines, "doc_id long, line_no int, line binary, keys array<long>"), "lines")
     first = spill(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("keys").alias("keys")), "distinct")
-    halves = first.select(F.explode("keys").alias("key"), "at")
-    shared = halves.groupBy("key").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("key")
-    wanted = halves.join(shared, "key", "left_semi").select("at.*").distinct().groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
+    # rows stay narrow: flat columns, counts in place of least and greatest members (a line has a key once)
+    halves = first.select(F.explode("keys").alias("key"), "at.doc_id", "at.line_no")
+    shared = halves.groupBy("key").count().where("count > 1").select("key")
+    wanted = halves.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
     variants = spill(
         docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_variants, "doc_id long, line_no int, place int, variant binary"),
         "variants",
-    ).withColumn("at", F.struct("doc_id", "line_no"))
-    whole, short = variants.where("place < 0").select("variant", F.col("at").alias("one")), variants.where("place >= 0").select("variant", "place", "at")
-    changed = short.groupBy("variant", "place").agg(F.min("at").alias("one"), F.max("at").alias("last")).where("one <> last").drop("last")
+    )
+    whole, short = variants.where("place < 0").select("variant", F.struct("doc_id", "line_no").alias("one")), variants.where("place >= 0")
+    changed = short.groupBy("variant", "place").agg(F.min(F.struct("doc_id", "line_no")).alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    short = short.select("variant", "place", F.struct("doc_id", "line_no").alias("at"))
     pairs = short.join(changed, ["variant", "place"]).where("at > one").select("at", "one")
     added = short.join(whole, "variant").select("at", "one")
     near = pairs.union(added.where("at > one")).union(added.where("at < one").select(F.col("one").alias("at"), F.col("at").alias("one")))

@@ -76,11 +76,11 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 _FEATURES = {
-    "mean_word_chars": "word_chars * 1.0D / n_words",
-    "symbol_ratio": "n_symbols * 1.0D / n_words",
-    "upper_ratio": "n_upper * 1.0D / word_chars",
-    "dup_line_ratio": "n_dup_lines * 1.0D / n_lines",
-    "stop_ratio": "n_stop * 1.0D / n_words",
+    "mean_word_chars": "word_chars * 1.0D / nullif(n_words, 0)",
+    "symbol_ratio": "n_symbols * 1.0D / nullif(n_words, 0)",
+    "upper_ratio": "n_upper * 1.0D / nullif(word_chars, 0)",
+    "dup_line_ratio": "n_dup_lines * 1.0D / nullif(n_lines, 0)",
+    "stop_ratio": "n_stop * 1.0D / nullif(n_words, 0)",
 }
 
 
