@@ -7,6 +7,7 @@ one's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from atlasgrain.llm.common import spill
 from atlasgrain.llm.decontaminate import drop_leaks
@@ -23,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go; the documents stay, and n_chars follows the text."""
-    return drop_lines(docs)
+    return drop_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
