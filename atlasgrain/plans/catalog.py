@@ -1,4 +1,4 @@
 """All queries of the reference's operators, with their SQL."""
 
-from ..operators import frames, pixels  # noqa: F401
+from ..operators import frames, pixels, sequences  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
