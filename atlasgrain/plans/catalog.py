@@ -1,4 +1,4 @@
 """All queries of the reference's operators, with their SQL."""
 
-from ..operators import frames, pixels, segmentation, sequences, transforms  # noqa: F401
+from ..operators import evidence, frames, integrity, pixels, requests, segmentation, sequences, transforms  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
