@@ -26,7 +26,6 @@ from .common import spill
 
 CAPACITY = 1024
 END_ID = 2
-_ODD = re.compile(r" \s|\s |^ | $")
 _PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -34,35 +33,63 @@ class Encoder:
     """Token ids of texts as little-endian uint32 bytes.
 
     A space between two characters that are not white space always begins a pre-token of the byte-level BPE, so a text
-    is cut there and the ids of each part are remembered; parts are few beside words. Results equal those of whole texts.
+    is cut there and the ids of each part are remembered; parts are few beside words. New parts of a text are encoded
+    in one go and told apart by the tokens that begin with a space. Results equal those of whole texts.
     """
 
-    def __init__(self, tokenizer_json: str, remembered: int = 300_000) -> None:
+    def __init__(self, tokenizer_json: str, remembered: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_str(tokenizer_json), remembered
         self.tokenizer.encode_special_tokens = True
-        encode = self._ids
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.spaced = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.spaced[[i for t, i in names.items() if t.startswith("Ġ")]] = True
+        self.pending = pending = []
 
         class Memory(dict):
             def __missing__(self, part: str) -> bytes:
-                out = encode(" " + part)
-                if len(part) <= 48:
-                    self[part] = out
-                return out
+                pending.append(part)
+                return b""
 
         self.memory = Memory()
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self) -> bool:
+        """Encode what was missing; False if a part is empty or has white space at an end, so is not a part by itself."""
+        parts = list(dict.fromkeys(self.pending))
+        self.pending.clear()
+        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
+            return False
+        ids = self._ids(" " + " ".join(parts))
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) == len(parts) and not starts[0]:
+            data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            self.memory.update(zip(parts, [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
+        else:
+            self.memory.update((p, self._ids(" " + p).tobytes()) for p in parts)
+        return True
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        parts = text.split(" ") if not _ODD.search(text) else _PLAIN_SPACE.split(text)
         if len(self.memory) > self.remembered:
             self.memory.clear()
-        return self._ids(parts[0]) + b"".join(map(self.memory.__getitem__, parts[1:]))
+        first, *parts = text.split(" ")
+        if first and first[-1].isspace():
+            return self._ids(text).tobytes()
+        out = b"".join(map(self.memory.__getitem__, parts))
+        if self.pending:
+            long = [p for p in self.pending if len(p) > 48]
+            if self._learn():
+                out = b"".join(map(self.memory.__getitem__, parts))
+            else:  # white space beside a space: cut only where that is not so
+                return b"".join(self._ids(p if not k else " " + p).tobytes() for k, p in enumerate(_PLAIN_SPACE.split(text)))
+            for p in long:
+                self.memory.pop(p, None)
+        return (self._ids(first).tobytes() if first else b"") + out
 
 
 def default_tokenizer() -> str:

@@ -302,8 +302,8 @@ def test_packing_plan_uses_every_piece_and_fills():
 def test_encoder_equals_whole_text():
     content = open(packing.default_tokenizer(), encoding="utf-8").read()
     e, r = packing.Encoder(content, remembered=20), random.Random(4)
-    for _ in range(300):
-        text = "".join(r.choice([" ", "  ", "\n", "a", "é", "Word", "'s", "12", "<|endoftext|>", "\u00a0", "…", "\t", "字", "x" * 60]) for _ in range(r.randint(0, 30)))
+    for k in range(300):
+        text = ("foo\n bar " if k % 3 else "") + "".join(r.choice([" ", "  ", "\n", "a", "é", "Word", "'s", "12", "<|endoftext|>", "\u00a0", "…", "\t", "字", "x" * 60]) for _ in range(r.randint(0, 30)))
         want = e.tokenizer.encode(text, add_special_tokens=False).ids
         assert [int.from_bytes(e(text)[k : k + 4], "little") for k in range(0, 4 * len(want), 4)] == want and len(e(text)) == 4 * len(want)
 
