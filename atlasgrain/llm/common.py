@@ -47,3 +47,15 @@ def text_mb(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows and bytes of text: one aggregate, by which bucket counts follow the data."""
     row = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(column).cast("long"))).first()
     return int(row[0]), int(row[1] or 0)
+
+
+#: Tables below this size may come as fewer splits than there are cores.
+SMALL_BYTES = 1 << 30
+
+
+def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Columns of a table. A small one in fewer files than cores is dealt out over the cores; a large one stays as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_BYTES and len(df.inputFiles()) < cores else df

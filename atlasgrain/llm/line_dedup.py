@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spill
+from .common import read, spill
 
 MIN_WORDS = 5
 _digest, _short = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
@@ -119,7 +119,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (sorted array of line, of_doc, of_line), kept_sha256."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
     gone = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("line"), "of_doc", "of_line"))).alias("removed"))
     joined = docs.join(gone, "doc_id", "left").withColumn("_gone", F.col("removed.line"))
     return joined.select(

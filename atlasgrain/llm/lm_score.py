@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bucket_count, by_bucket, gather, local_ids, mixed, small, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, word_hashes
-from .common import spill, text_mb
+from .common import read, spill, text_mb
 
 FOLDS, TEST_FOLD, TUNE_PARTS = 5, 1, 10
 CONTEXTS = 40
@@ -228,4 +228,4 @@ def score_corpus(docs: DataFrame) -> DataFrame:
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return score_corpus(read(spark, sf_dir, "documents", "doc_id", "text"))

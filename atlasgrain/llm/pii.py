@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import read
 from .crf import Crf, train
 from .spans import Span, apart, crf_spans, ordered, sha256
 
@@ -160,4 +161,4 @@ def scan_pii(docs: DataFrame) -> DataFrame:
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
-    return scan_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return scan_pii(read(spark, sf_dir, "documents", "doc_id", "text"))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import read
 from .crf import Crf, train
 from .spans import Span, apart, crf_spans, ordered, sha256
 
@@ -121,4 +122,4 @@ TYPES = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
-    return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return scan_secrets(read(spark, sf_dir, "documents", "doc_id", "text"))

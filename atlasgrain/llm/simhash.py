@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spill
+from .common import read, spill
 from .components import connected_components
 
 SHINGLE = 4
@@ -149,4 +149,4 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
 from .blocks import bucket_count, by_bucket, gather, local_ids, mixed, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, word_hashes
-from .common import spill, text_mb
+from .common import read, spill, text_mb
 
 WINDOW = 13
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -189,4 +189,4 @@ def dedup_against(docs: DataFrame, reference: list[str], size: int = WINDOW, mos
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dedup_corpus(read(spark, sf_dir, "documents", "doc_id", "text"))

@@ -17,6 +17,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import read
+
 BUCKETS = 2048
 GRAM = 4
 SCALE = 1_000_000
@@ -146,5 +148,5 @@ SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score > 0 THEN 'block
 
 
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = read(spark, sf_dir, "pages", "page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
