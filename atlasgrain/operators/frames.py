@@ -170,7 +170,7 @@ def centres(px: DataFrame) -> DataFrame:
     lower = F.rint(H * 0.45).cast("int")
     return p.groupBy("image_id").agg(
         (F.sum(X * A) / F.sum(A)).alias("cx"), (F.sum(Y * A) / F.sum(A)).alias("cy"), anchor(band(0.72, 1.0)).alias("footprint"), anchor(band(0.22, 0.68)).alias("body"),
-        F.round(F.avg(F.when(low, (X - (F.col("bx0") + F.col("bx1")) / 2) / (F.col("bx1") - F.col("bx0")))), 9).alias("balance"),
+        (F.round(F.avg(F.when(low, (X - (F.col("bx0") + F.col("bx1")) / 2) / (F.col("bx1") - F.col("bx0")))), 9) + 0.0).alias("balance"),
         ((F.min(F.when(Y >= lower, X)) + F.max(F.when(Y >= lower, X)) + 1) / (2 * F.max(W))).alias("lower_center"),
     )
 
@@ -179,7 +179,7 @@ def centres(px: DataFrame) -> DataFrame:
 s AS (SELECT *, greatest(y0, least(y1 - 1, round_even(y0 + (y1 - y0) * 0.72::DOUBLE, 0)::INT)) AS fs, greatest(y0, least(y1 - 1, round_even(y0 + (y1 - y0) * 0.22::DOUBLE, 0)::INT)) AS bs FROM p),
 e AS (SELECT *, greatest(fs + 1, least(y1, y1)) AS fe, greatest(bs + 1, least(y1, round_even(y0 + (y1 - y0) * 0.68::DOUBLE, 0)::INT)) AS be FROM s)
 SELECT image_id, sum(x * a) / sum(a)::DOUBLE AS cx, sum(y * a) / sum(a)::DOUBLE AS cy, sum(x * a) FILTER (y >= fs AND y < fe) / sum(a) FILTER (y >= fs AND y < fe)::DOUBLE AS footprint,
-  sum(x * a) FILTER (y >= bs AND y < be) / sum(a) FILTER (y >= bs AND y < be)::DOUBLE AS body, round(avg((x - (x0 + x1) / 2.0::DOUBLE) / (x1 - x0)) FILTER (y >= y0 + round_even((y1 - y0) * 0.68::DOUBLE, 0)::INT), 9) AS balance,
+  sum(x * a) FILTER (y >= bs AND y < be) / sum(a) FILTER (y >= bs AND y < be)::DOUBLE AS body, round(avg((x - (x0 + x1) / 2.0::DOUBLE) / (x1 - x0)) FILTER (y >= y0 + round_even((y1 - y0) * 0.68::DOUBLE, 0)::INT), 9) + 0.0 AS balance,
   (min(x) FILTER (y >= 4) + max(x) FILTER (y >= 4) + 1) / (2 * max(w))::DOUBLE AS lower_center FROM e GROUP BY image_id""")
 def q_centres(spark, sf_dir: str) -> DataFrame:
     return centres(pixels(spark, sf_dir))
@@ -243,14 +243,15 @@ def q_projection(spark, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).groupBy("image_id", "x").agg(F.sum(F.when(A > 16, A).otherwise(0)).alias("mass"))
 
 
-@query("frame_region_stats", f"""WITH {PX} SELECT image_id, count(*)::BIGINT AS n, avg(x) AS cx, avg(y) AS cy, round(var_pop(x), 6) AS sxx, round(var_pop(y), 6) AS syy, round(covar_pop(x, y), 6) AS sxy,
-  round(0.5 * degrees(atan2(2 * round(covar_pop(x, y), 6), round(var_pop(x), 6) - round(var_pop(y), 6))), 6) AS angle FROM px WHERE a > 16 GROUP BY image_id""")
+@query("frame_region_stats", f"""WITH {PX}, m AS (SELECT image_id, count(*)::BIGINT AS n, avg(x) AS cx, avg(y) AS cy, (count(*) * sum(x * x) - sum(x) * sum(x))::BIGINT AS xx, (count(*) * sum(y * y) - sum(y) * sum(y))::BIGINT AS yy, (count(*) * sum(x * y) - sum(x) * sum(y))::BIGINT AS xy FROM px WHERE a > 16 GROUP BY image_id)
+SELECT image_id, n, cx, cy, xx / (n * n)::DOUBLE AS sxx, yy / (n * n)::DOUBLE AS syy, xy / (n * n)::DOUBLE AS sxy, round(0.5 * degrees(atan2((2 * xy)::DOUBLE, (xx - yy)::DOUBLE)), 6) + 0.0 AS angle FROM m""")
 def q_region(spark, sf_dir: str) -> DataFrame:
-    """Row 67; moments are rounded before the angle, so that equal ones stay equal."""
-    _, _, _, _, _, _, N = _columns()
-    sxx, syy, sxy = F.round(F.var_pop("x"), 6), F.round(F.var_pop("y"), 6), F.round(F.covar_pop("x", "y"), 6)
-    g = pixels(spark, sf_dir).where("a > 16").groupBy("image_id").agg(N.alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), (sxx + 0.0).alias("sxx"), (syy + 0.0).alias("syy"), (sxy + 0.0).alias("sxy"))
-    return g.withColumn("angle", F.round(0.5 * F.degrees(F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy"))), 6))
+    """Row 67; moments come from integer sums, so that equal ones stay equal."""
+    cross = lambda p, q: F.expr(f"count(1) * sum({p} * {q}) - sum({p}) * sum({q})")
+    g = pixels(spark, sf_dir).where("a > 16").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), cross("x", "x").alias("xx"), cross("y", "y").alias("yy"), cross("x", "y").alias("xy"))
+    share = lambda c: F.col(c) / (F.col("n") * F.col("n"))
+    angle = F.round(0.5 * F.degrees(F.atan2((2 * F.col("xy")).cast("double"), (F.col("xx") - F.col("yy")).cast("double"))), 6) + 0.0
+    return g.select("image_id", "n", "cx", "cy", share("xx").alias("sxx"), share("yy").alias("syy"), share("xy").alias("sxy"), angle.alias("angle"))
 
 
 @query("frame_baseline", f"""WITH {PX}, l AS (SELECT image_id, y, sum(r + g + b)::BIGINT AS light FROM px WHERE y >= 4 GROUP BY image_id, y), c AS (SELECT image_id, sum(r + g + b) / 12.0::DOUBLE AS corner FROM px WHERE x IN (0, 7) AND y IN (0, 7) GROUP BY image_id),
