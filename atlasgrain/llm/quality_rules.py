@@ -104,7 +104,8 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
     plain = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in plain.items()])
-    kept = quality_verdict(renamed, plain["text"]).where("kept")
+    # the row number keeps the condition above the projection; pushed below, it would compute the counts anew for each use
+    kept = quality_verdict(renamed, plain["text"]).withColumn("_row", F.monotonically_increasing_id()).where("kept AND _row >= 0")
     return kept.select(*[F.col(a).alias(c) for c, a in plain.items()])
 
 
