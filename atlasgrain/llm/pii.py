@@ -32,7 +32,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-_TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
+_TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]", re.I)
 
 
 def luhn(digits: str) -> bool:

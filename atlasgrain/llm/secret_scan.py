@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and a linear-chain CRF that tags tokens as secret begin, inside or outside.
 
-The CRF reads lines. Only a line with a digit, one of ``_ + / =``, or a run of 20 or more letters can hold a secret that
-is added (``trigger``); an added span must have 12 or more characters and both a letter and a digit, or 24 or more
-characters of mixed case. That is checked after decoding, so leaving out other lines changes nothing.
+The CRF reads lines. An added span must have 12 or more characters with both a letter and a digit, or be 24 or more
+letters (or dashes) of mixed case; that is checked after decoding, so lines without a digit or such a run are not read
+and leaving them out changes nothing.
 
 Defined results: null text is empty text; empty text has no spans; repeated rows each get their row; an empty table
 gives an empty result; other columns play no part. Work is by line, whatever a text's length.
@@ -29,7 +29,8 @@ _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of under 20 has no part of 20
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"[A-Za-z0-9_+/\-]+|[^\sA-Za-z0-9_+/\-]+?")
-_TRIGGER = re.compile(r"[0-9_+/=]|[A-Za-z]{20}")
+_TRIGGER = re.compile(r"[0-9]|[A-Za-z-]{24}")
+_LETTERS = re.compile(r"[A-Za-z-]{24,}")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -84,7 +85,7 @@ def model() -> Crf:
 
 def _credible(s: str) -> bool:
     digit, lower, upper = any("0" <= c <= "9" for c in s), any("a" <= c <= "z" for c in s), any("A" <= c <= "Z" for c in s)
-    return (len(s) >= 12 and digit and (lower or upper)) or (len(s) >= 24 and lower and upper and not s.istitle())
+    return (len(s) >= 12 and digit and (lower or upper)) or (bool(_LETTERS.fullmatch(s)) and lower and upper and not s.istitle())
 
 
 def scan(texts: list[str], crf: Crf) -> list[tuple[list[Span], list[Span]]]:
