@@ -38,15 +38,15 @@ def soft_edges(spark, sf_dir: str, key=MAGENTA) -> DataFrame:
 
 
 @query("px_visible_magenta", f"""WITH {PX}, m AS (SELECT *, a >= 24 AND r >= 60 AND b >= 60 AND g <= 96 AND r - g >= 30 AND b - g >= 30 AS hit FROM px)
-SELECT image_id, count(*) FILTER (hit)::BIGINT AS n, count(*) FILTER (hit)::DOUBLE / count(*) AS ratio, min(x) FILTER (hit) AS x0, max(x) FILTER (hit) + 1 AS x1, min(y) FILTER (hit) AS y0, max(y) FILTER (hit) + 1 AS y1,
+SELECT image_id, count(*) FILTER (hit)::BIGINT AS n, count(*) FILTER (hit)::DOUBLE / count(*) AS ratio, coalesce(min(x) FILTER (hit), -1) AS x0, coalesce(max(x) FILTER (hit) + 1, -1) AS x1, coalesce(min(y) FILTER (hit), -1) AS y0, coalesce(max(y) FILTER (hit) + 1, -1) AS y1,
   (count(*) FILTER (hit) > 64 OR count(*) FILTER (hit)::DOUBLE / count(*) > 0.00005) AS failed FROM m GROUP BY image_id""")
 def visible_magenta(spark, sf_dir: str) -> DataFrame:
-    """Row 33, with thresholds that suit the small rasters."""
+    """Row 33, with thresholds that suit the small rasters; bounds are -1 where nothing is seen."""
     hit = C.visible_magenta(red=60, blue=60, red_delta=30, blue_delta=30)
     n = F.count_if(hit)
-    edge = lambda f, c: f(F.when(hit, F.col(c)))
+    edge = lambda f, c: F.coalesce(f(F.when(hit, F.col(c) + int(f is F.max))), F.lit(-1))
     return pixels(spark, sf_dir).groupBy("image_id").agg(
-        n.alias("n"), (n / F.count(F.lit(1))).alias("ratio"), edge(F.min, "x").alias("x0"), (edge(F.max, "x") + 1).alias("x1"), edge(F.min, "y").alias("y0"), (edge(F.max, "y") + 1).alias("y1"),
+        n.alias("n"), (n / F.count(F.lit(1))).alias("ratio"), edge(F.min, "x").alias("x0"), edge(F.max, "x").alias("x1"), edge(F.min, "y").alias("y0"), edge(F.max, "y").alias("y1"),
         ((n > 64) | (n / F.count(F.lit(1)) > 0.00005)).alias("failed"),
     )
 
