@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -474,6 +475,33 @@ def test_leaks_odd_tables(spark, nothing):
     assert [(x.doc_id, x.item_id) for x in decontaminate.leaks(frame, bench).collect()] == [(1, 1)]
 
 
+@pytest.mark.parametrize("n_docs", [6, 30, 120])
+def test_leaks_of_an_item_in_a_third_of_the_documents(spark, n_docs):
+    r = random.Random(n_docs)
+    vocabulary = ["v" + str(k) for k in range(300)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    hot, warm = " ".join(f"hot{k}" for k in range(20)), " ".join(f"warm{k}" for k in range(20))
+    bodies = [text(r.randint(20, 200)) for _ in range(n_docs)]
+    docs = [(i, f"{b} {hot if i % 3 == 0 else ''} {warm if i in (1, 4) else ''} {text(30)}") for i, b in enumerate(bodies)]
+    bench = spark.createDataFrame([(1, hot), (2, warm), (3, text(25))], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()}
+    assert found == {(i, 1) for i in range(0, n_docs, 3)} | {(1, 2), (4, 2)}
+
+
+def test_places_near_every_full_stretch():
+    r = random.Random(4)
+    for _ in range(200):
+        item, size = decontaminate.Item(1, [r.randrange(6) for _ in range(r.randint(5, 12))], []), 9
+        doc = np.array([r.randrange(-1, size) for _ in range(r.randint(0, 300))], dtype=np.int64)
+        ends = np.array(sorted(r.randint(0, len(doc)) for _ in range(3)) + [len(doc)])
+        got, long = list(item.places(doc, ends, size)), item.n + item.n // 2
+        for d, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            for s in range(a, b):
+                if sum(t in item.masks for t in doc[s : min(s + long, b)].tolist()) >= decontaminate.LEAST_COMMON * item.n:
+                    first = next(k for k in range(s, b) if doc[k] in item.masks) - a
+                    assert any(e == d and at - item.n <= first and first + long <= at + decontaminate.WIDTH + item.n for e, at in got)
+
+
 def test_common_subsequence():
     r = random.Random(8)
     for _ in range(200):
