@@ -488,6 +488,17 @@ def test_leaks_of_an_item_in_a_third_of_the_documents(spark, n_docs):
     assert found == {(i, 1) for i in range(0, n_docs, 3)} | {(1, 2), (4, 2)}
 
 
+def test_leaks_of_long_items(spark):
+    r = random.Random(6)
+    vocabulary = ["v" + str(k) for k in range(20000)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate([20, 60, 140, 200, 400, 900])]
+    docs = [(i, text(r.randint(20, 300)) + " " + (items[i // 10][1] if i % 10 == 0 else "") + " " + text(50)) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()}
+    assert found == {(10 * k, k) for k in range(6)}
+
+
 def test_places_near_every_full_stretch():
     r = random.Random(4)
     for _ in range(200):
