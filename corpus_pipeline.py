@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from atlasgrain.llm.common import spill
 from atlasgrain.llm.decontaminate import drop_leaks
 from atlasgrain.llm.line_dedup import drop_lines
+from atlasgrain.llm.near_copies import drop_near_copies
 from atlasgrain.llm.packing import pack
 from atlasgrain.llm.quality_rules import filter_quality
-from atlasgrain.llm.simhash import keep_representatives
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return keep_representatives(docs)
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id stays."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

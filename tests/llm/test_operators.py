@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from atlasgrain.llm import automaton, blocks, components, crf, decontaminate, line_dedup, lm_score, packing, pii, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from atlasgrain.llm import automaton, blocks, components, crf, decontaminate, line_dedup, lm_score, near_copies, packing, pii, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -124,6 +124,45 @@ def test_representatives_keep_columns_and_one_of_each_group(docs, rows):
     assert {r.doc_id for r in kept.collect()} == set(parts.values())
 
 
+@pytest.mark.parametrize("crowded", [True, False])
+def test_near_dedup_stage_against_brute_force(spark, monkeypatch, crowded):
+    """Copies with words changed here and there, in chains and groups, some at a similarity close to 0.8."""
+    import corpus_pipeline
+
+    if crowded:
+        monkeypatch.setattr(near_copies, "CROWDED", 2)
+        monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 400)
+    r = random.Random(2)
+    texts = [None, "", "one", "ONE", "one two", " \n"]
+    for _ in range(12):
+        w = [f"w{r.randrange(3000)}" for _ in range(r.randint(40, 150))]
+        for _ in range(r.randint(1, 12)):
+            texts.append(" ".join(w))
+            v = list(w)
+            for _ in range(r.randint(0, 3)):
+                v[r.randrange(len(v))] = f"x{r.randrange(3000)}"
+            w = v if r.random() < 0.6 else w
+            texts.append(" ".join(v))
+    r.shuffle(texts)
+    words = [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, frame, "")
+    assert kept.columns == frame.columns
+    assert sorted((x.doc_id for x in kept.collect()), key=str) == sorted({find(i) for i in parent} | {None}, key=str)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(5, 5), (300, 301), (301, 300)], "a long, b long")
     assert {r.node: r.component for r in components.connected_components(links).collect()} == {i: 0 for i in range(201)} | {300: 300, 301: 300}
