@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Two lines match if they have the same words, or if one word changed, added or dropped turns one into the other. Lines
-of under ``MIN_WORDS`` words are left alone. A line goes if an earlier line of the corpus (by doc_id, then line number)
+Two lines match if they have the same words, or if both have ``MIN_WORDS`` words or more and one word changed, added or
+dropped turns one into the other. Lines without words are left alone; with ``short=False`` so are all lines of under
+``MIN_WORDS`` words, which the query and the pipeline do not use. A line goes if an earlier line of the corpus (by doc_id, then line number)
 matches it; lines are judged on the input, not on what is left.
 
 1. Every line is hashed (128 bits); the earliest place of each distinct line is a plain aggregate.
@@ -42,14 +43,14 @@ def _halves(w: list[bytes]) -> list[int]:
     return [x - (1 << 64) if x >= 1 << 63 else x for x in out]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         doc, no, line, keys = [], [], [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
             for k, x in enumerate((t or b"").split(b"\n")):
                 w = x.split()
-                if len(w) >= MIN_WORDS:
-                    doc.append(i), no.append(k), line.append(_digest(b" ".join(w))), keys.append(_halves(w))
+                if len(w) >= least:
+                    doc.append(i), no.append(k), line.append(_digest(b" ".join(w))), keys.append(_halves(w) if len(w) >= MIN_WORDS else [])
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(line, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "line_no", "line", "keys"]
         )
@@ -78,10 +79,11 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """doc_id, line_no, of_doc and of_line: each line that goes, and the earliest line that it repeats."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-    lines = spill(docs.mapInArrow(_lines, "doc_id long, line_no int, line binary, keys array<long>"), "lines")
+    least = 1 if short else MIN_WORDS
+    lines = spill(docs.mapInArrow(lambda batches: _lines(batches, least), "doc_id long, line_no int, line binary, keys array<long>"), "lines")
     first = spill(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("keys").alias("keys")), "distinct")
     # rows stay narrow: flat columns, counts in place of least and greatest members (a line has a key once)
     halves = first.select(F.explode("keys").alias("key"), "at.doc_id", "at.line_no")
@@ -111,9 +113,9 @@ def _without(text: str, gone: str) -> F.Column:
     return F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` with the repeated lines cut out of their text; all rows and columns stay."""
-    gone = repeated_lines(docs).groupBy(F.col("doc_id").alias("_gone_doc")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = repeated_lines(docs, short).groupBy(F.col("doc_id").alias("_gone_doc")).agg(F.collect_set("line_no").alias("_gone"))
     joined = docs.join(gone, docs["doc_id"] == gone["_gone_doc"], "left")
     return joined.withColumn("text", _without("text", "_gone")).select(*docs.columns)
 
@@ -121,7 +123,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (sorted array of line, of_doc, of_line), kept_sha256."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("line"), "of_doc", "of_line"))).alias("removed"))
+    gone = repeated_lines(docs, short=True).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("line"), "of_doc", "of_line"))).alias("removed"))
     joined = docs.join(gone, "doc_id", "left").withColumn("_gone", F.col("removed.line"))
     return joined.select(
         "doc_id",

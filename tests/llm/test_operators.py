@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from atlasgrain.llm import automaton, blocks, components, crf, decontaminate, line_dedup, lm_score, near_copies, packing, pii, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 
@@ -198,6 +199,19 @@ def test_line_dedup_odd_rows(spark, nothing):
     assert {(r.doc_id, r.line_no, r.of_doc) for r in line_dedup.repeated_lines(frame).collect()} == {(4, 0, 3)}
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    url, line = "https://example.org/" + "a" * 300, "one two three four five"
+    texts = ["Menu\n\n" + url + "\n一二三四五六七八", "menu\nMenu\n \n\n" + url, "Menu\n一二三四五六七八\none two three four\n" + line, "Menu two\none  two three four\n" + line + " six"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    gone = {(r.doc_id, x.line, x.of_doc, x.of_line) for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect() for x in r.removed}
+    assert gone == {(1, 1, 0, 0), (1, 4, 0, 2), (2, 0, 0, 0), (2, 1, 0, 3), (3, 1, 2, 2), (3, 2, 2, 3)}
+    left = as_dict(corpus_pipeline.line_dedup(spark, frame, ""), "text")
+    assert left[1] == ("menu\n \n",) and left[2] == ("one two three four\n" + line,)
+
+
 # --- substring dedup
 
 
