@@ -1,7 +1,7 @@
 """A linear-chain conditional random field in numpy: batched training and Viterbi over token lines.
 
 A token's own features (shape, length, kinds of characters, known words) also serve its neighbours: token i sees those
-of i, i-1, i-2, i-3 and i+1, and features of its file. Weights come from gradient ascent on the likelihood of a small
+of i, i-1, i-2, i-3, i+1 and i+2, and features of its file. Weights come from gradient ascent on the likelihood of a small
 labelled table. Decoding gathers one score vector for each distinct token, so that work in Python is by distinct token.
 """
 
@@ -13,8 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: Own token first, then three before it and one after it.
-OFFSETS = (0, -1, -2, -3, 1)
+#: Own token first, then three before it and two after it.
+OFFSETS = (0, -1, -2, -3, 1, 2)
 _RUNS = re.compile(r"X+|x+|d+")
 
 
@@ -22,13 +22,14 @@ def token_features(token: str) -> list[str]:
     n = len(token)
     if n == 1 and not token.isalnum():
         return [f"p={token}"]
-    plain = "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in token[:64])
+    plain = "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in token)
     shape = _RUNS.sub(lambda m: m[0][0], plain)
     digits, upper, letters = plain.count("d"), plain.count("X"), plain.count("X") + plain.count("x")
     size = n if n < 5 else 5 if n < 8 else 8 if n < 12 else 12 if n < 16 else 16 if n < 20 else 20 if n < 32 else 32
     kind = "digits" if digits == n else "letters" if not digits and letters == n else "mixed" if digits and letters else "other"
     turns = sum(a != b for a, b in zip(plain, plain[1:], strict=False))
-    return [f"s={shape if len(shape) <= 6 else 'long'}", f"k={kind},{size}", f"t={kind},{min(turns // 3, 4)}", f"u={bool(upper) and upper < letters},{kind}", f"w={token.lower()}" if n <= 14 else "w="]
+    lead = [f"z={'0' if token[0] == '0' else '1'},{min(n, 12)}"] if kind == "digits" else []
+    return lead + [f"s={shape if len(shape) <= 6 else 'long'}", f"k={kind},{size}", f"t={kind},{min(turns // 3, 4)}", f"u={bool(upper) and upper < letters},{kind}", f"w={token.lower()}" if n <= 14 and kind != "digits" else "w="]
 
 
 @dataclass
@@ -99,71 +100,86 @@ class Crf:
         return [labels[k, :n] for k, n in enumerate(sizes.tolist())]
 
 
-def train(labels: list[str], table: list[tuple[list[str], list[int], list[float]]], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3, forbidden: list[tuple[int, int]] = ()) -> Crf:
-    """``table``: tokens, label numbers and file features of each line. Label 0 is outside. Adagrad on the likelihood."""
-    seen = Counter(f for tokens, _, _ in table for t in tokens for f in token_features(t))
-    names = [f for f, n in seen.items() if n >= 3 or not f.startswith("w=")] + ["edge"]
-    known = {f: i for i, f in enumerate(names)}
-    n_labels, n_feats, most, b = len(labels), len(names), max(len(t) for t, _, _ in table), len(table)
-    files = np.array([f for _, _, f in table])
-    sizes = np.array([len(t) for t, _, _ in table])
-    inside = np.arange(most)[None, :] < sizes[:, None]
-    gold = np.zeros((b, most), dtype=np.int64)
-    at, key = [], []  # place and (offset, feature) of each feature that is on
-    for r, (tokens, ys, _) in enumerate(table):
-        gold[r, : len(ys)] = ys
-        own = [[known[f] for f in token_features(t) if f in known] for t in tokens]
-        for i in range(len(tokens)):
-            for k, o in enumerate(OFFSETS):
-                for f in own[i + o] if 0 <= i + o < len(tokens) else [known["edge"]]:
-                    at.append(r * most + i)
-                    key.append(k * n_feats + f)
-    at, key = np.array(at), np.array(key)
-    w, steps, fw = np.zeros((len(OFFSETS) * n_feats, n_labels)), np.zeros((n_labels, n_labels)), np.zeros((files.shape[1], n_labels))
-    for a, c in forbidden:
-        steps[a, c] = -1e4
-    held = steps < -1e3
-    memory = [np.full_like(x, 1e-6) for x in (w, steps, fw)]
-    hot = np.eye(n_labels)[gold] * inside[..., None]
-    gold_steps = np.zeros_like(steps)
-    ends = sizes - 1
-    np.add.at(gold_steps, (0, gold[:, 0]), 1)
-    np.add.at(gold_steps, (gold[np.arange(b), ends], 0), 1)
-    for t in range(1, most):
-        live = inside[:, t]
-        np.add.at(gold_steps, (gold[live, t - 1], gold[live, t]), 1)
-
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
-    for _ in range(rounds):
-        e = np.stack([np.bincount(at, weights=w[key, y], minlength=b * most) for y in range(n_labels)], axis=1).reshape(b, most, n_labels) + (files @ fw)[:, None]
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
+class _Batch:
+    """Lines of like length, with the places and (offset, feature) numbers of all features that are on."""
+
+    def __init__(self, rows: list[tuple[list[str], list[int], list[float]]], known: dict[str, int], n_labels: int) -> None:
+        self.size, self.most = len(rows), max(len(t) for t, _, _ in rows)
+        self.files = np.array([f for _, _, f in rows])
+        sizes = np.array([len(t) for t, _, _ in rows])
+        self.ends, self.inside = sizes - 1, np.arange(self.most)[None, :] < sizes[:, None]
+        gold, at, key = np.zeros((self.size, self.most), dtype=np.int64), [], []
+        for r, (tokens, ys, _) in enumerate(rows):
+            gold[r, : len(ys)] = ys
+            own = [[known[f] for f in token_features(t) if f in known] for t in tokens]
+            for i in range(len(tokens)):
+                for k, o in enumerate(OFFSETS):
+                    for f in own[i + o] if 0 <= i + o < len(tokens) else [known["edge"]]:
+                        at.append(r * self.most + i)
+                        key.append(k * len(known) + f)
+        self.at, self.key = np.array(at), np.array(key)
+        self.hot = np.eye(n_labels)[gold] * self.inside[..., None]
+        self.gold_steps = np.zeros((n_labels, n_labels))
+        np.add.at(self.gold_steps, (0, gold[:, 0]), 1)
+        np.add.at(self.gold_steps, (gold[np.arange(self.size), self.ends], 0), 1)
+        for t in range(1, self.most):
+            live = self.inside[:, t]
+            np.add.at(self.gold_steps, (gold[live, t - 1], gold[live, t]), 1)
+
+    def gradients(self, w: np.ndarray, steps: np.ndarray, fw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the log-likelihood, by forward and backward sums."""
+        b, most, n_labels, inside, rows = self.size, self.most, len(steps), self.inside, np.arange(self.size)
+        e = np.stack([np.bincount(self.at, weights=w[self.key, y], minlength=b * most) for y in range(n_labels)], axis=1).reshape(b, most, n_labels) + (self.files @ fw)[:, None]
         fwd, bwd = np.zeros((b, most, n_labels)), np.zeros((b, most, n_labels))
         fwd[:, 0] = e[:, 0] + steps[0]
         for t in range(1, most):
-            fwd[:, t] = np.where(inside[:, t, None], lse(fwd[:, t - 1, :, None] + steps[None], 1) + e[:, t], fwd[:, t - 1])
+            fwd[:, t] = np.where(inside[:, t, None], _lse(fwd[:, t - 1, :, None] + steps[None], 1) + e[:, t], fwd[:, t - 1])
         bwd[:, most - 1] = steps[:, 0]
         for t in range(most - 2, -1, -1):
-            step = lse(steps[None] + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
+            step = _lse(steps[None] + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
             bwd[:, t] = np.where(inside[:, t + 1, None], step, steps[:, 0][None])
-        z = lse(fwd[np.arange(b), ends] + steps[:, 0], 1)
+        z = _lse(fwd[rows, self.ends] + steps[:, 0], 1)
         marginal = np.exp(np.minimum(fwd + bwd - z[:, None, None], 0)) * inside[..., None]
-        diff = hot - marginal
         expected = np.zeros_like(steps)
         expected[0] += marginal[:, 0].sum(axis=0)
-        expected[:, 0] += marginal[np.arange(b), ends].sum(axis=0)
+        expected[:, 0] += marginal[rows, self.ends].sum(axis=0)
         for t in range(1, most):
             pair = np.exp(np.minimum(fwd[:, t - 1, :, None] + steps[None] + (e[:, t] + bwd[:, t])[:, None, :] - z[:, None, None], 0)) * inside[:, t, None, None]
             expected += pair.sum(axis=0)
+        diff = self.hot - marginal
         flat = diff.reshape(-1, n_labels)
-        gw = np.stack([np.bincount(key, weights=flat[at, y], minlength=len(w)) for y in range(n_labels)], axis=1) - decay * b * w
-        gs = np.where(held, 0, gold_steps - expected - decay * b * np.where(held, 0, steps))
-        gf = files.T @ diff.sum(axis=1) - decay * b * fw
-        for x, g, m in zip((w, steps, fw), (gw, gs, gf), memory, strict=True):
-            m += g * g
-            x += rate * g / np.sqrt(m)
-    return Crf(labels, known, w.reshape(len(OFFSETS), n_feats, n_labels), steps, fw)
+        gw = np.stack([np.bincount(self.key, weights=flat[self.at, y], minlength=len(w)) for y in range(n_labels)], axis=1)
+        return gw, self.gold_steps - expected, self.files.T @ diff.sum(axis=1)
+
+
+def train(labels: list[str], table: list[tuple[list[str], list[int], list[float]]], rounds: int = 20, rate: float = 0.4, decay: float = 1e-3, forbidden: list[tuple[int, int]] = (), batch: int = 96) -> Crf:
+    """``table``: tokens, label numbers and file features of each line. Label 0 is outside. Adagrad on the likelihood,
+    in ``rounds`` passes over batches of lines of like length; the order is fixed by a seed."""
+    seen = Counter(f for tokens, _, _ in table for t in tokens for f in token_features(t))
+    known = {f: i for i, f in enumerate([f for f, n in seen.items() if n >= 3 or not f.startswith("w=")] + ["edge"])}
+    n_labels, rng = len(labels), np.random.default_rng(3)
+    by_size = sorted(table, key=lambda x: len(x[0]))
+    batches = [_Batch(by_size[i : i + batch], known, n_labels) for i in range(0, len(by_size), batch)]
+    w, steps, fw = np.zeros((len(OFFSETS) * len(known), n_labels)), np.zeros((n_labels, n_labels)), np.zeros((batches[0].files.shape[1], n_labels))
+    for a, c in forbidden:
+        steps[a, c] = -1e4
+    held = steps < -1e3
+    memory = [np.full_like(x, 1e-6) for x in (w, steps, fw)]
+    for _ in range(rounds):
+        for k in rng.permutation(len(batches)).tolist():
+            x = batches[k]
+            for y, g, m in zip((w, steps, fw), x.gradients(w, steps, fw), memory, strict=True):
+                g = g - decay * x.size * y
+                if y is steps:
+                    g = np.where(held, 0, g)
+                m += g * g
+                y += rate * g / np.sqrt(m)
+    return Crf(labels, known, w.reshape(len(OFFSETS), len(known), n_labels), steps, fw)
 
 
 def runs(labels: np.ndarray) -> list[tuple[int, int, int]]:

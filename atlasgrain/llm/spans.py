@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -53,12 +54,38 @@ def crf_spans(model: Crf, texts: list[str], trigger: re.Pattern, token: re.Patte
 
 
 def apart(extra: list[Span], base: list[Span]) -> list[Span]:
-    """Those of ``extra`` that touch no base span."""
-    taken = sorted((a, b) for _, a, b in base)
+    """Those of ``extra`` that share no character with a base span; one walk along both sorted lists."""
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     out, i = [], 0
     for kind, a, b in sorted(extra, key=lambda s: s[1]):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if all(y <= a or x >= b for x, y in taken[max(0, i - 2) :][:8]) and not any(x < b and y > a for x, y in taken):
+        if i == len(taken) or taken[i][0] >= b:
             out.append((kind, a, b))
     return out
+
+
+#: Plain words for the labelled tables, besides made-up ones.
+WORDS = """the of and to in is was for with that from this are be on as by at it we you they will can not have please
+contact call write reach office team support number account order invoice page version section table value result year
+open report user server file line name date time address city street meeting call before after until about over under
+le la les des une est dans pour avec vous nous sur par appelez bureau numéro adresse der die das und ist nicht mit auf
+für von bitte Büro Nummer Anschrift el los las una es en por con para del llame oficina número""".split()
+
+
+def marked(rows: list[list[tuple[str, int]]], token: re.Pattern) -> Iterator[tuple[str, list[str], list[int], list[bool]]]:
+    """Of each line given as (text, kind) parts: the line, its tokens, their kinds, and whether each begins its part."""
+    for parts in rows:
+        text, marks, firsts = "", [], set()
+        for s, kind in parts:
+            firsts.add(len(text))
+            marks += [kind] * len(s)
+            text += s
+        spots = [m.span() for m in token.finditer(text)]
+        if spots:
+            yield text, [text[a:b] for a, b in spots], [marks[a] for a, _ in spots], [a in firsts for a, _ in spots]
