@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,10 @@ from .blocks import bucket_count, by_bucket, gather, local_ids, mixed, small, sq
 from .common import read, spill, text_mb
 
 FOLDS, TEST_FOLD, TUNE_PARTS = 5, 1, 10
+#: Bytes of text in a block: some 70 bytes of arrays for each byte.
+BLOCK = 6_000_000
 CONTEXTS = 40
-STEP = 0.25
+STEP = 0.125
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 TRAIN, TUNE, TEST = 0, 1, 2
 #: Not words, since words hold no spaces.
@@ -40,55 +44,64 @@ def part(doc: int | None) -> int:
     return TEST if c % FOLDS == TEST_FOLD else TUNE if c // FOLDS % TUNE_PARTS == 0 else TRAIN
 
 
-_BLOCK = "block long, part int, docs binary, nulls binary, sizes binary, tokens binary, hashes binary, others binary"
+_BLOCK = "block long, part int, docs binary, nulls binary, sizes binary, tokens binary, words binary"
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int32()] + [pa.binary()] * 6
-    for block, k, ids, texts in gather(batches, part):
+    types = [pa.int64(), pa.int32()] + [pa.binary()] * 5
+    for block, k, ids, texts in gather(batches, part, BLOCK):
         # the first document starts with START and END, so that they have numbers 0 and 1
         tokens, sizes, vocabulary = local_ids([[START, END]] + [[*t.translate(_LOWER).split(), END] for t in texts])
-        h, g = word_hashes(vocabulary)
-        row = [block, k, squeeze(np.array([i or 0 for i in ids], dtype=np.int64)), squeeze(np.array([i is None for i in ids], dtype=np.uint8)), squeeze(sizes[1:]), squeeze(tokens[2:]), squeeze(h), squeeze(g)]
+        row = [block, k, squeeze(np.array([i or 0 for i in ids], dtype=np.int64)), squeeze(np.array([i is None for i in ids], dtype=np.uint8)), squeeze(sizes[1:]), squeeze(tokens[2:]), zstandard.ZstdCompressor(level=3).compress(b" ".join(vocabulary[2:]))]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
 
 class _Block:
-    """A block's tokens and its distinct words and bigrams in exchange order."""
+    """A block's distinct words and bigrams in exchange order, and which of them each token is."""
 
     def __init__(self, row: dict, buckets: int) -> None:
-        self.sizes, self.tokens = unsqueeze(row["sizes"]), unsqueeze(row["tokens"]).astype(np.int64)
-        h, g = unsqueeze(row["hashes"]), unsqueeze(row["others"])
-        self.context = np.concatenate(([0], self.tokens[:-1]))
-        self.context[np.cumsum(self.sizes)[:-1]] = 0
+        self.sizes, self.tokens = unsqueeze(row["sizes"]), unsqueeze(row["tokens"])
+        h, g = word_hashes([START, END, *zstandard.ZstdDecompressor().decompressobj().decompress(row["words"]).split()])
         self.words = by_bucket(h, g, buckets)
         self.word_keys = h
-        pairs, self.pair_of = np.unique(self.context * len(h) + self.tokens, return_inverse=True)
-        v, w = pairs // len(h), pairs % len(h)
-        self.pair_keys = mixed(h[v] * np.uint64(0x9E3779B97F4A7C15) + h[w])
-        self.pairs = by_bucket(self.pair_keys, g[v] * np.uint64(0xD6E8FEB86659FD93) + g[w], buckets)
+        coded = np.empty(len(self.tokens), dtype=np.int64)  # context and token in one number
+        coded[0], coded[1:] = 0, self.tokens[:-1]
+        coded[np.cumsum(self.sizes)[:-1]] = 0
+        coded *= len(h)
+        coded += self.tokens
+        pairs, pair_of, self.pair_counts = np.unique(coded, return_inverse=True, return_counts=True)
+        del coded
+        self.pair_of = pair_of.astype(np.int32)
+        self.v, self.w = (pairs // len(h)).astype(np.int32), (pairs % len(h)).astype(np.int32)
+        del pairs, pair_of
+        self.pair_keys = mixed(h[self.v] * np.uint64(0x9E3779B97F4A7C15) + h[self.w])
+        self.pairs = by_bucket(self.pair_keys, g[self.v] * np.uint64(0xD6E8FEB86659FD93) + g[self.w], buckets)
         self.word_counts = np.bincount(self.tokens, minlength=len(h))
         self.word_counts[0] = len(self.sizes)  # START: a context only, once a document
-        self.pair_counts = np.bincount(self.pair_of, minlength=len(pairs))
 
     def sent(self, block: int, part: int) -> Iterator[tuple]:
         for kind, keys, counts, (order, bounds) in ((0, self.word_keys, self.word_counts, self.words), (1, self.pair_keys, self.pair_counts, self.pairs)):
             keys, counts = keys[order], counts[order]
-            for k, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                if y > x:
-                    yield 2 * k + kind, block, part, squeeze_sorted(keys[x:y]), squeeze(small(counts[x:y]))
-
-    def received(self, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All training counts, and those of the tuning part: of each word and of each pair, as (count, tuning count)."""
-        out = []
-        for kind, (order, bounds) in ((0, self.words), (1, self.pairs)):
-            both = np.zeros((2, len(order)), dtype=np.int64)
-            for r in rows:
-                if r["bucket"] is not None and r["bucket"] % 2 == kind:
-                    at = order[bounds[r["bucket"] // 2] : bounds[r["bucket"] // 2 + 1]]
-                    both[0, at], both[1, at] = unsqueeze(r["counts"]), unsqueeze(r["tuning"])
-            out.append(both)
-        return tuple(out)
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                x, y = bounds[k : k + 2].tolist()
+                yield 2 * k + kind, block, part, squeeze_sorted(keys[x:y]), squeeze(small(counts[x:y]))
+
+    def received(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word and of each pair: all training counts, and those of the tuning part."""
+        out = tuple(np.zeros((2, len(order)), dtype=np.int64) for order, _ in (self.words, self.pairs))
+        for bucket, counts, tuning in zip(table["bucket"], table["counts"], table["tuning"], strict=True):
+            if bucket.is_valid:
+                k, kind = divmod(bucket.as_py(), 2)
+                order, bounds = (self.words, self.pairs)[kind]
+                at = order[bounds[k] : bounds[k + 1]]
+                out[kind][0, at], out[kind][1, at] = unsqueeze(counts.as_py()), unsqueeze(tuning.as_py())
+        return out
+
+
+def _own(table: pa.Table, buckets: int) -> tuple[dict, _Block]:
+    """The row of a group that holds its block, and the block."""
+    row = table.filter(pc.is_valid(table["tokens"])).to_pylist()[0]
+    return row, _Block(row, buckets)
 
 
 _START_KEY = word_hashes([START])[0]
@@ -182,7 +195,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     )
     sums = answers.where("stats IS NOT NULL").agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)) for k in range(4)]).first()
     n, v, n_main, v_main = map(int, sums)
-    empty = {c: F.lit(None).cast("binary") for c in ("docs", "nulls", "sizes", "tokens", "hashes", "others")}
+    empty = {c: F.lit(None).cast("binary") for c in ("docs", "nulls", "sizes", "tokens", "words")}
 
     def joined(of: DataFrame) -> DataFrame:
         given = answers.where("stats IS NULL").select("block", "bucket", "counts", "tuning").withColumns(empty)
@@ -190,14 +203,14 @@ def score_corpus(docs: DataFrame) -> DataFrame:
         return own, given
 
     def tune(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        x = _Block(next(r for r in rows if r["tokens"] is not None), buckets)
-        words, pairs = x.received(rows)
+        _, x = _own(table, buckets)
+        words, pairs = x.received(table)
         words, pairs = words[0] - words[1], pairs[0] - pairs[1]
-        context = words[x.context]
-        p2, p1 = _estimates(pairs[x.pair_of], context, words[x.tokens], n_main)
+        context = words[x.v]
+        p2, p1 = _estimates(pairs, context, words[x.w], n_main)
         near = lambda p: np.where(p > 0, np.rint(-np.log2(np.maximum(p, 1e-300)) / STEP), -1).astype(np.int64)
-        cells, count = np.unique(np.stack([_bucket_of(context), near(p2), near(p1)], axis=1), axis=0, return_counts=True)
+        cells, cell = np.unique(np.stack([_bucket_of(context), near(p2), near(p1)], axis=1), axis=0, return_inverse=True)
+        count = np.bincount(cell.reshape(-1), weights=x.pair_counts, minlength=len(cells)).astype(np.int64)
         return pa.table({"b": pa.array(cells[:, 0]), "i": pa.array(cells[:, 1]), "j": pa.array(cells[:, 2]), "n": pa.array(count)})
 
     own, given = joined(blocks.where(F.col("part") == TUNE))
@@ -206,21 +219,19 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     weights = learn({(r[0], r[1], r[2]): int(r[3]) for r in cells}, 1 / (v_main + 1))
 
     def finish(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        row = next(r for r in rows if r["tokens"] is not None)
-        x = _Block(row, buckets)
-        words, pairs = x.received(rows)
-        c, context = words[0][x.tokens], words[0][x.context]
+        row, x = _own(table, buckets)
+        words, pairs = x.received(table)
+        c = words[0]
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-        p2, p1 = _estimates(pairs[0][x.pair_of], context, c, n)
-        w = weights[_bucket_of(context)]
-        score = np.log10(w[:, 0] / (v + 1) + w[:, 1] * p1 + w[:, 2] * p2)
+        p2, p1 = _estimates(pairs[0], c[x.v], c[x.w], n)
+        w = weights[_bucket_of(c[x.v])]
+        score = np.log10(w[:, 0] / (v + 1) + w[:, 1] * p1 + w[:, 2] * p2)  # one value for each distinct pair
         at = np.cumsum(x.sizes) - x.sizes
         docs, nulls = unsqueeze(row["docs"]), unsqueeze(row["nulls"]).astype(bool)
-        total = lambda a: pa.array(np.add.reduceat(a, at))
+        total = lambda of, which: pa.array(np.add.reduceat(of[which], at))
         return pa.table({
             "doc_id": pa.array(docs, mask=nulls), "held_out": pa.array([part(None if z else d) == TEST for d, z in zip(docs.tolist(), nulls.tolist(), strict=True)]),
-            "n_tokens": pa.array(x.sizes.astype(np.int64)), "n_known": total((c > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(docs), n, dtype=np.int64)), "base_score": total(base), "score": total(score),
+            "n_tokens": pa.array(x.sizes.astype(np.int64)), "n_known": total((c > 0).astype(np.int64), x.tokens), "train_tokens": pa.array(np.full(len(docs), n, dtype=np.int64)), "base_score": total(base, x.tokens), "score": total(score, x.pair_of),
         })
 
     own, given = joined(blocks)
