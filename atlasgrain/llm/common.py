@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space; words are what lies between.
 SPACE = r"[\x20\x09-\x0D]"
 _local_dirs: dict[str, str] = {}
+_kept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,11 +34,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    What an application spills lies in one folder, which goes when its driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/atlasgrain/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/atlasgrain/{spark.sparkContext.applicationId}"
+    if top not in _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _kept.add(top)
+    path, schema = f"{top}/{name}-{uuid.uuid4().hex}", df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()  # Spark drops shuffle files once the driver's heap has no more use of them
+    return spark.read.schema(schema).parquet(path)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of few rows, so that what Python makes of one stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def words(text: Column) -> Column:
@@ -49,12 +79,12 @@ def text_mb(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     return int(row[0]), int(row[1] or 0)
 
 
-#: Tables below this size may come as fewer splits than there are cores.
-SMALL_BYTES = 1 << 30
+#: Tables below this size (a few splits) may be dealt over the cores.
+SMALL_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
-    """Columns of a table. A small one in fewer files than cores is dealt out over the cores; a large one stays as it is."""
+    """Columns of a table, as its splits come; only one of a few splits, in fewer files than cores, is dealt over the cores."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
