@@ -1,22 +1,28 @@
 """Substring dedup: remove words covered by a 13-word window that also starts in a document with a smaller doc_id.
 
-The whole corpus is its own reference, so a broadcast of suffix automata would stream every document past every shard:
-work by the square of the corpus. ``dedup_corpus`` therefore has each block of documents exchange the hashes of its
-distinct windows with all others (see ``blocks``) and gets back one bit for each: does a smaller document start it?
-``dedup_against`` is the form with suffix automata, for a reference list whose size is checked.
+Suffix automata of reference shards, past which documents stream for matching statistics. The whole corpus is its own
+reference, so first each block of documents exchanges the hashes of its distinct windows with all others (see
+``blocks``) and learns which windows other documents have and the smallest document of each. Stretches of windows that a
+document is the smallest one of are references: every repeated window is in one document's references only. Stretches
+whose smallest document is another are candidates, and go to the shard of that document. There the automata alone
+decide, on the words themselves; spans of 13 or more accepted words go. Hashes only nominate. A shard with many
+candidates is dealt to several tasks, and a long reference is cut into several automata, so no task is unbounded.
 
 Windows are judged on the input, not on what is left. Defined results: null text has no words; texts under 13 words
 lose nothing; rows that repeat a doc_id are one document and do not remove each other's words; rows with a null doc_id
-lose nothing and remove nothing; an empty table gives an empty result; other columns play no part.
+lose nothing and remove nothing; an empty table gives an empty result; other columns play no part. Texts are read whole,
+whatever their length; of equal windows in several places of a document each counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +32,10 @@ from .blocks import bucket_count, by_bucket, gather, local_ids, mixed, squeeze,
 from .common import read, spill, text_mb
 
 WINDOW = 13
+#: Bytes of text in a block, words of references in one automaton, words of candidates for one task.
+BLOCK, SHARD_WORDS, ASKED_WORDS = 8_000_000, 50_000, 500_000
+#: Words that pieces of a cut reference share: more than a window, so that none is lost.
+WINDOW_OVERLAP = 4 * WINDOW
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -65,7 +75,7 @@ _BLOCK = "block long, size long, docs binary, sizes binary, texts binary"
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, _, ids, texts in gather(batches):
+    for block, _, ids, texts in gather(batches, most=BLOCK):
         order = sorted(range(len(ids)), key=ids.__getitem__)
         raw = b"".join(texts[k] for k in order)
         row = [block, len(raw), squeeze(np.array([ids[k] for k in order], dtype=np.int64)), squeeze(np.array([len(texts[k]) for k in order], dtype=np.int64)), zstandard.ZstdCompressor(level=3).compress(raw)]
@@ -73,7 +83,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each block and key, whether another block's smallest document is smaller."""
+    """Of one bucket: for each block and key, whether other blocks have it too, and then the smallest document of all."""
     keys = [unsqueeze_sorted(x) for x in table["keys"].to_pylist()]
     docs = [unsqueeze(x) for x in table["docs"].to_pylist()]
     sizes = [len(x) for x in keys]
@@ -81,21 +91,59 @@ def _judge(table: pa.Table) -> pa.Table:
     order = np.lexsort((docs, keys))
     ordered = keys[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    least = docs[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    beaten = np.empty(len(keys), dtype=bool)
-    beaten[order] = docs[order] > least
-    flags = [zstandard.ZstdCompressor(level=1).compress(np.packbits(x).tobytes()) for x in np.split(beaten, np.cumsum(sizes)[:-1])]
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "flags": pa.array(flags, pa.binary())})
-
-
-def _covered(at: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Which of n words the windows that start at ``at`` cover."""
-    change = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(change, at, 1)
-    np.subtract.at(change, at + size, 1)
-    return np.cumsum(change[:-1]) > 0
-
-
+    group = np.cumsum(new) - 1
+    least, shared = np.empty_like(docs), np.empty(len(keys), dtype=bool)
+    least[order] = docs[order][np.flatnonzero(new)][group]
+    shared[order] = np.bincount(group)[group] > 1
+    cuts, pack = np.cumsum(sizes)[:-1], zstandard.ZstdCompressor(level=1).compress
+    flags = [pack(np.packbits(x).tobytes()) for x in np.split(shared, cuts)]
+    least = [squeeze(x[y]) for x, y in zip(np.split(least, cuts), np.split(shared, cuts), strict=True)]
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "flags": pa.array(flags, pa.binary()), "least": pa.array(least, pa.binary())})
+
+
+def _stretches(at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each stretch of consecutive windows that agree in ``same``."""
+    if not len(at):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    breaks = np.diff(at) != 1
+    for x in same:
+        breaks |= x[1:] != x[:-1]
+    cuts = np.flatnonzero(breaks)
+    return np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(at) - 1]))
+
+
+def _spans(automata: list[SuffixAutomaton], words: list[bytes], size: int) -> list[tuple[int, int]]:
+    """Maximal half-open spans whose words lie in runs of ``size`` or more that an automaton accepts."""
+    found: list[tuple[int, int]] = []
+    for automaton in automata:
+        for end, n in enumerate(automaton.matching(words)):
+            if n >= size:
+                found.append((end - n + 1, end + 1))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _shards(texts: list[list[bytes]], most: int) -> Iterator[SuffixAutomaton]:
+    """Automata over the texts in turn, of some ``most`` words each; longer texts are cut, with the windows across a cut kept."""
+    held, n = [], 0
+    for t in texts:
+        for i in range(0, max(1, len(t) - WINDOW_OVERLAP), most):
+            part = t[i : i + most + WINDOW_OVERLAP]
+            held.append(part)
+            n += len(part)
+            if n >= most:
+                yield SuffixAutomaton(held)
+                held, n = [], 0
+    if held:
+        yield SuffixAutomaton(held)
+
+
+_NOMINATED = "of long, ref boolean, block long, owner int, start int, n int, text binary"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -111,27 +159,81 @@ def dedup_corpus(docs: DataFrame, size: int = WINDOW, with_text: bool = False) -
             for row in b.to_pylist():
                 ids, words = _unpack(row)
                 _, keys, least, bounds = _distinct(ids, *_windows(ids, words, size)[1:], buckets)
-                rows = [(k, row["block"], squeeze_sorted(keys[x:y]), squeeze(least[x:y])) for k, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if y > x]
+                full = np.flatnonzero(np.diff(bounds)).tolist()
+                rows = [(k, row["block"], squeeze_sorted(keys[bounds[k] : bounds[k + 1]]), squeeze(least[bounds[k] : bounds[k + 1]])) for k in full]
                 for i in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256], strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "docs"])
 
-    flags = spill(blocks.mapInArrow(send, "bucket int, block long, keys binary, docs binary").groupBy("bucket").applyInArrow(_judge, "block long, bucket int, flags binary"), "flags")
+    answers = spill(blocks.mapInArrow(send, "bucket int, block long, keys binary, docs binary").groupBy("bucket").applyInArrow(_judge, "block long, bucket int, flags binary, least binary"), "answers")
 
-    def finish(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        row = next(r for r in rows if r["texts"] is not None)
+    def nominate(table: pa.Table) -> pa.Table:
+        """Of one block: the stretches that are references, and those that may go, each with the document to hold it against."""
+        row = table.filter(pc.is_valid(table["texts"])).to_pylist()[0]
         ids, words = _unpack(row)
         at, owner, keys, other = _windows(ids, words, size)
         place, unique, least, bounds = _distinct(ids, owner, keys, other, buckets)
-        beaten = np.zeros(len(unique), dtype=bool)
-        for r in rows:
-            if r["flags"] is not None:
-                x, y = bounds[r["bucket"]], bounds[r["bucket"] + 1]
-                raw = zstandard.ZstdDecompressor().decompress(r["flags"], max_output_size=int(y - x) // 8 + 1)
-                beaten[x:y] = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=int(y - x)).astype(bool)
-        gone = beaten[place] | (ids[owner] > least[place])
-        n = [len(w) for w in words]
-        covered = _covered(at[gone], size, sum(n))
+        most, shared = least.copy(), np.zeros(len(unique), dtype=bool)
+        np.maximum.at(most, place, ids[owner])
+        several, first = most > least, least
+        for bucket, flags, given in zip(table["bucket"], table["flags"], table["least"], strict=True):
+            if bucket.is_valid:
+                x, y = bounds[bucket.as_py()], bounds[bucket.as_py() + 1]
+                raw = zstandard.ZstdDecompressor().decompress(flags.as_py(), max_output_size=int(y - x) // 8 + 1)
+                hit = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=int(y - x)).astype(bool)
+                shared[x:y] = hit
+                first[x:y][hit] = unsqueeze(given.as_py())
+        of, mine = first[place], ids[owner]
+        flat, starts = [w for x in words for w in x], np.concatenate(([0], np.cumsum([len(x) for x in words])))
+        out = []
+        for ref, on in ((True, (mine == of) & (shared | several)[place]), (False, mine > of)):
+            p, o, m = at[on], owner[on], of[on]
+            for i, j in zip(*_stretches(p, o, m), strict=True):
+                x, y = int(p[i]), int(p[j]) + size
+                out.append((int(m[i]), ref, row["block"], int(o[i]), x - int(starts[o[i]]), y - x, b" ".join(flat[x:y])))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.table({n.split()[0]: pa.array(c, t) for n, c, t in zip(_NOMINATED.split(", "), columns, kinds, strict=True)})
+
+    def judge(table: pa.Table) -> pa.Table:
+        """Of one shard: candidates stream past the automata of its references; what they accept goes, packed by block."""
+        rows = table.to_pylist()
+        refs = [r["text"].split(b" ") for r in rows if r["ref"]]
+        asked = [(r, r["text"].split(b" ")) for r in rows if not r["ref"]]
+        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for automaton in _shards(refs, SHARD_WORDS) if asked else ():
+            for r, w in asked:
+                found[r["block"]] += [(r["owner"], r["start"] + a, r["start"] + b) for a, b in _spans([automaton], w, size)]
+        packed = [(k, *(squeeze(np.array(c, dtype=np.int64)) for c in zip(*v, strict=True))) for k, v in found.items() if v]
+        columns = list(zip(*packed, strict=True)) or [()] * 4
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "owners", "firsts", "lasts"), columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
+
+    def beside(other: DataFrame) -> DataFrame:
+        """Blocks and rows for them, to be grouped by block."""
+        mine, theirs = [c for c in other.columns if c != "block"], ("size", "docs", "sizes", "texts")
+        left = blocks.withColumns({c: F.lit(None).cast(dict(other.dtypes)[c]) for c in mine})
+        return left.unionByName(other.withColumns({c: F.lit(None).cast(dict(blocks.dtypes)[c]) for c in theirs}))
+
+    nominated = spill(beside(answers).groupBy("block").applyInArrow(nominate, _NOMINATED), "nominated")
+    total = nominated.where("ref").agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    sharded = nominated.withColumn("shard", F.pmod(F.xxhash64("of"), F.lit(max(1, -(-int(total) // SHARD_WORDS)))).cast("int"))
+    # a shard with many candidates is dealt to several tasks, each with the shard's references
+    crowded = spill(sharded.where("NOT ref").groupBy("shard").agg(F.ceil(F.sum("n") / ASKED_WORDS).cast("int").alias("parts")).where("parts > 1"), "crowded")
+    dealt = sharded.join(crowded, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("block", "owner", "start"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("ref"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    verified = spill(dealt.select("shard", "part", "ref", "block", "owner", "start", "text").groupBy("shard", "part").applyInArrow(judge, "block long, owners binary, firsts binary, lasts binary"), "verified")
+
+    def finish(table: pa.Table) -> pa.Table:
+        ids, words = _unpack(table.filter(pc.is_valid(table["texts"])).to_pylist()[0])
+        n = np.array([len(w) for w in words], dtype=np.int64)
+        starts = np.cumsum(n) - n
+        change = np.zeros(int(n.sum()) + 1, dtype=np.int64)
+        for owners, firsts, lasts in zip(table["owners"], table["firsts"], table["lasts"], strict=True):
+            if owners.is_valid:
+                base = starts[unsqueeze(owners.as_py())]
+                np.add.at(change, base + unsqueeze(firsts.as_py()), 1)
+                np.subtract.at(change, base + unsqueeze(lasts.as_py()), 1)
+        covered = np.cumsum(change[:-1]) > 0
         out, a = [], 0
         for doc, w in zip(ids.tolist(), words, strict=True):
             hit = covered[a : a + len(w)]
@@ -142,11 +244,8 @@ def dedup_corpus(docs: DataFrame, size: int = WINDOW, with_text: bool = False) -
         named = {"doc_id": pa.array(columns[0], pa.int64()), "n_words": pa.array(columns[1], pa.int64()), "n_removed": pa.array(columns[2], pa.int64()), "kept_sha256": pa.array(columns[3], pa.string())}
         return pa.table(named | ({"kept": pa.array(columns[4], pa.string())} if with_text else {}))
 
-    sides = blocks.withColumns({"bucket": F.lit(None).cast("int"), "flags": F.lit(None).cast("binary")}).unionByName(
-        flags.withColumns({"size": F.lit(None).cast("long"), "docs": F.lit(None).cast("binary"), "sizes": F.lit(None).cast("binary"), "texts": F.lit(None).cast("binary")})
-    )
     schema = _RESULT + ", kept string" * with_text
-    done = sides.groupBy("block").applyInArrow(finish, schema)
+    done = beside(verified).groupBy("block").applyInArrow(finish, schema)
     split = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[\x09-\x0d]", " "), " ")
     whole = docs.where("doc_id IS NULL").withColumn("w", F.array_remove(split, "")).select(
         "doc_id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(F.array_join("w", " "), 256).alias("kept_sha256"), *([F.array_join("w", " ").alias("kept")] if with_text else [])
@@ -154,22 +253,16 @@ def dedup_corpus(docs: DataFrame, size: int = WINDOW, with_text: bool = False) -
     return done.unionByName(whole)
 
 
-def dedup_against(docs: DataFrame, reference: list[str], size: int = WINDOW, most_words: int = 2_000_000, shard_words: int = 100_000) -> DataFrame:
+def dedup_against(docs: DataFrame, reference: list[str], size: int = WINDOW, most_words: int = 500_000) -> DataFrame:
     """doc_id, n_words, n_removed and kept: words go if a run of ``size`` or more also occurs in a reference text.
 
     Suffix automata of reference shards are broadcast and each document streams past them for matching statistics. The
     reference is bounded by ``most_words``; a longer one belongs in the corpus, for ``dedup_corpus``.
     """
     texts = [t.encode().split() for t in reference]
-    if sum(map(len, texts)) > most_words:
-        raise ValueError(f"the reference has over {most_words} words; give it smaller doc_ids and use dedup_corpus")
-    shards, held = [], []
-    for t in texts:
-        held.append(t)
-        if sum(map(len, held)) >= shard_words:
-            shards, held = [*shards, SuffixAutomaton(held)], []
-    shards += [SuffixAutomaton(held)] if held else []
-    shipped = docs.sparkSession.sparkContext.broadcast(shards)
+    if size > WINDOW_OVERLAP or sum(map(len, texts)) > most_words:
+        raise ValueError(f"a window of over {WINDOW_OVERLAP} words, or a reference of over {most_words}; give it smaller doc_ids and use dedup_corpus")
+    shipped = docs.sparkSession.sparkContext.broadcast(list(_shards(texts, SHARD_WORDS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,10 +270,8 @@ def dedup_against(docs: DataFrame, reference: list[str], size: int = WINDOW, mos
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 w = (text or b"").split()
                 hit = np.zeros(len(w), dtype=bool)
-                for automaton in shipped.value:
-                    for end, n in enumerate(automaton.matching(w)):
-                        if n >= size:
-                            hit[end - n + 1 : end + 1] = True
+                for x, y in _spans(shipped.value, w, size):
+                    hit[x:y] = True
                 out.append((doc, len(w), int(hit.sum()), b" ".join(x for x, h in zip(w, hit.tolist(), strict=True) if not h).decode()))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
