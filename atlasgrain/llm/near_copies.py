@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import local_ids, mixed, word_hashes
-from .common import spill
+from .common import fresh, spill
 from .components import connected_components
 from .simhash import _LOWER
 
@@ -164,5 +164,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """Of each component the document with the smallest doc_id stays. Rows with a null doc_id stay."""
-    gone = spill(near_copies(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")), "copies")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    name = fresh(docs, "gone")
+    gone = spill(near_copies(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(name)), "copies")
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -3,8 +3,9 @@
 A 64-bit fingerprint is cut into segments of 21, 21 and 22 bits. Two fingerprints that differ in at most 4 bits differ
 in at most 1 bit of the first, or at most 1 of the second, or in none of the third (otherwise 2 + 2 + 1 bits differ).
 So every fingerprint is stored under its three segment values and looks up the Hamming balls of radius 1, 1 and 0;
-since of two values one bit apart exactly one has a 0 there, only flips from 0 to 1 are looked up. What is found is
-verified on the whole 64 bits. Copies collapse into one fingerprint first.
+since of two different values exactly one has a 0 at the highest bit that differs, only that one looks the other up.
+What is found is verified on the whole 64 bits. Copies collapse into one fingerprint first. For more fingerprints than
+segments of 21 bits tell apart there are two of 32 bits, with balls of radius 2 and 1 (otherwise 3 + 2 bits differ).
 
 A segment value that over ``CROWDED`` fingerprints share is not joined: its rows are cut into blocks, each pair of
 blocks is compared with numpy, and only a spanning forest of the links found leaves it. So links grow with the rows,
@@ -17,6 +18,7 @@ fingerprints, null if no other row has one; an empty table gives an empty result
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, spill
+from .common import fresh, read, spill
 from .components import connected_components
 
 SHINGLE = 4
 MOST_BITS = 4
-#: shift, width, radius
-SEGMENTS = [(0, 21, 1), (21, 21, 1), (42, 22, 0)]
+#: Up to so many fingerprints three segments serve; beyond, their values would be crowded and two wider ones do.
+THREE_SEGMENTS = 1 << 26
 CROWDED = 64
 BLOCK = 4096
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -100,18 +102,32 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(node[a].astype(np.int64)), "b": pa.array(node[b].astype(np.int64))})
 
 
+def segments(n: int) -> list[tuple[int, int, int]]:
+    """Shift, width and radius of the segments for n fingerprints. Radii plus one add up to MOST_BITS + 1, so that two
+    fingerprints within MOST_BITS are within the radius in some segment."""
+    return [(0, 21, 1), (21, 21, 1), (42, 22, 0)] if n <= THREE_SEGMENTS else [(0, 32, 2), (32, 32, 1)]
+
+
+def _ball(width: int, radius: int) -> str:
+    """All masks of 1 to ``radius`` bits, with their highest bits."""
+    masks = [sum(1 << k for k in c) for r in range(1, radius + 1) for c in itertools.combinations(range(width), r)]
+    return "array(" + ", ".join(f"named_struct('m', {m}L, 't', {1 << (m.bit_length() - 1)}L)" for m in masks) + ")"
+
+
 def _segment(shift: int, width: int) -> str:
     return f"(shiftrightunsigned(fp, {shift}) & {(1 << width) - 1}L)"
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between nodes; ``prints`` has one row (node, fp) for each distinct fingerprint."""
-    stored = prints.selectExpr("node", "fp", "explode(array(" + ", ".join(f"named_struct('seg', {k}, 'val', {_segment(s, w)})" for k, (s, w, _) in enumerate(SEGMENTS)) + ")) as k").select("node", "fp", "k.seg", "k.val")
+    cut = segments(prints.count())
+    stored = prints.selectExpr("node", "fp", "explode(array(" + ", ".join(f"named_struct('seg', {k}, 'val', {_segment(s, w)})" for k, (s, w, _) in enumerate(cut)) + ")) as k").select("node", "fp", "k.seg", "k.val")
     balls = []
-    for k, (s, w, radius) in enumerate(SEGMENTS):
-        balls.append(f"array(named_struct('seg', {k}, 'val', {_segment(s, w)}, 'own', true))")
+    for k, (s, w, radius) in enumerate(cut):
+        val = _segment(s, w)
+        balls.append(f"array(named_struct('seg', {k}, 'val', {val}, 'own', true))")
         if radius:
-            balls.append(f"transform(filter(sequence(0, {w - 1}), i -> ({_segment(s, w)} & shiftleft(1L, i)) = 0), i -> named_struct('seg', {k}, 'val', {_segment(s, w)} | shiftleft(1L, i), 'own', false))")
+            balls.append(f"transform(filter({_ball(w, radius)}, x -> ({val} & x.t) = 0L), x -> named_struct('seg', {k}, 'val', {val} ^ x.m, 'own', false))")
     looks = prints.selectExpr("node", "fp", f"explode(concat({', '.join(balls)})) as k").select("node", "fp", "k.seg", "k.val", "k.own")
     crowded = spill(stored.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED), "crowded")
     near = F.bit_count(F.expr("t.fp ^ p.fp")) <= MOST_BITS
@@ -144,8 +160,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    name = fresh(docs, "gone")
+    gone = near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
