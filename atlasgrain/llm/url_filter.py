@@ -6,7 +6,9 @@ projection of DataFrame functions. An n-gram's bucket comes from a polynomial ov
 engine can repeat, and integer sums do not depend on their order.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no rule and the model's verdict on two
-empty strings; repeated rows each get a verdict; an empty table gives an empty result.
+empty strings; repeated rows each get a verdict; an empty table gives an empty result; of two rules of one length both would
+be the same text; a score of exactly zero allows; other columns stay, whatever their names, but for columns named host,
+path, rule, score or verdict, which the results replace. URLs are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fresh, read
 
 BUCKETS = 2048
 GRAM = 4
@@ -84,7 +86,7 @@ def train(rounds: int = 400, rate: float = 0.5, decay: float = 1e-3) -> tuple[tu
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty where it is null or has no ``://``."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(_u, instr(_u, '://') + 3)")).otherwise(F.lit(""))
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return host, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
@@ -106,21 +108,25 @@ def _gram_sum(part: Column, mark: str, weights: Column) -> tuple[Column, Column]
 
 
 def judge_urls(pages: DataFrame, url: str = "url") -> DataFrame:
-    """``pages`` with host, path, rule, score (logit, double) and verdict."""
+    """``pages`` with host, path, rule, score (logit, double) and verdict, in place of any columns of these names."""
     weights, bias = train()
     table = F.lit(list(weights)).cast("array<bigint>")
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
-    out = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(url).alias("_u"))
-    host, path = split_url(F.col("_u"))
-    out = out.withColumns({"host": host, "path": path})
+    keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "score", "verdict")]
+    # all work is on one struct column, whose name no input column has
+    w = fresh(pages, "work")
+    host, path = split_url(F.col(f"`{url}`"))
+    out = pages.select(*[F.col(f"`{c}`") for c in keep], F.struct(host.alias("host"), path.alias("path")).alias(w))
+    h, p = F.col(f"{w}.host"), F.col(f"{w}.path")
     rule, says = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, h, p in sorted(RULES, key=lambda r: len(r[1] + r[2])):
-        fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
-        rule, says = F.when(fits, h + p).otherwise(rule), F.when(fits, kind).otherwise(says)
-    (a, m), (b, n) = _gram_sum(F.col("host"), "^", table), _gram_sum(F.col("path"), "/", table)
-    out = out.withColumns({"rule": rule, "_says": says, "_sum": a + b, "_n": m + n})
-    score = (F.col("_sum") / F.sqrt(F.greatest(F.col("_n"), F.lit(1)).cast("double")) + bias) / SCALE
-    return out.withColumn("score", score).withColumn("verdict", F.coalesce("_says", F.when(F.col("score") > 0, "block").otherwise("allow"))).drop("_u", "_says", "_sum", "_n")
+    for kind, of, start in sorted(RULES, key=lambda r: len(r[1] + r[2])):
+        fits = ((h == of) | h.endswith("." + of)) & p.startswith(start)
+        rule, says = F.when(fits, of + start).otherwise(rule), F.when(fits, kind).otherwise(says)
+    (a, m), (b, n) = _gram_sum(h, "^", table), _gram_sum(p, "/", table)
+    out = out.withColumn(w, F.struct(h.alias("host"), p.alias("path"), rule.alias("rule"), says.alias("says"), (a + b).alias("sum"), (m + n).alias("n")))
+    score = (F.col(f"{w}.sum") / F.sqrt(F.greatest(F.col(f"{w}.n"), F.lit(1)).cast("double")) + bias) / SCALE
+    out = out.withColumn(w, F.struct(*[F.col(f"{w}.{c}").alias(c) for c in ("host", "path", "rule", "says")], score.alias("score")))
+    verdict = F.coalesce(F.col(f"{w}.says"), F.when(F.col(f"{w}.score") > 0, "block").otherwise("allow"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"{w}.{c}").alias(c) for c in ("host", "path", "rule", "score")], verdict.alias("verdict"))
 
 
 def oracle() -> str:
