@@ -25,10 +25,10 @@ def q_exact(spark, sf_dir: str) -> DataFrame:
     return d.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query("ev_stale_pins", """WITH p AS (SELECT doc_id AS item_id, sha256(text) AS pin FROM documents WHERE doc_id < 40) SELECT p.item_id, pin, sha256(b.text) AS now, b.item_id IS NULL AS missing, coalesce(pin <> sha256(b.text), false) AS stale FROM p LEFT JOIN benchmark b USING (item_id)""")
+@query("ev_stale_pins", """WITH p AS (SELECT doc_id AS item_id, sha256(text) AS pin FROM documents) SELECT p.item_id, pin, sha256(b.text) AS now, b.item_id IS NULL AS missing, coalesce(pin <> sha256(b.text), false) AS stale FROM p LEFT JOIN benchmark b USING (item_id)""")
 def q_stale(spark, sf_dir: str) -> DataFrame:
     """Rows 12, 167, 168, 206, 207: pinned digests against current bytes; missing and stale are two things."""
-    pins = table(spark, sf_dir, "documents").where("doc_id < 40").select(F.col("doc_id").alias("item_id"), F.sha2("text", 256).alias("pin"))
+    pins = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.sha2("text", 256).alias("pin"))
     now = table(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("now"))
     return pins.join(now, "item_id", "left").select("item_id", "pin", "now", F.col("now").isNull().alias("missing"), F.coalesce(F.col("pin") != F.col("now"), F.lit(False)).alias("stale"))
 
@@ -99,14 +99,6 @@ def q_invariant(spark, sf_dir: str) -> DataFrame:
 GATES = [("provenance", "preflight", "true"), ("contracts", "extract", "kind IN ('BUILDING', 'MACHINERY')"), ("alignment", "extract", "kind = 'BUILDING' AND balance > 0"), ("slots", "extract", "balance > 5000"), ("preview", "package", "kind <> 'FURNITURE'")]
 
 
-@query("ev_gate_policy", " UNION ALL ".join(f"SELECT c_custkey, '{g}' AS gate, '{s}' AS stage, coalesce({rule.replace('kind', 'c_mktsegment').replace('balance', 'c_acctbal')}, false) AS applied FROM customer" for g, s, rule in GATES))
-def q_gates(spark, sf_dir: str) -> DataFrame:
-    """Rows 201, 246: which gates apply to which run; the gates are a table of rules."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("kind"), F.col("c_acctbal").alias("balance"))
-    rows = F.array(*[F.struct(F.lit(g).alias("gate"), F.lit(s).alias("stage"), F.coalesce(F.expr(rule), F.lit(False)).alias("applied")) for g, s, rule in GATES])
-    return c.select("c_custkey", F.explode(rows).alias("g")).select("c_custkey", "g.*")
-
-
 @query("ev_playback_coverage", """WITH g AS (SELECT conv_id, list_sort(list(DISTINCT turn)) AS t, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id) SELECT conv_id, n, t = range(t[1], t[1] + len(t)) AND len(t) = n AS covered FROM g""")
 def q_playback(spark, sf_dir: str) -> DataFrame:
     """Row 203: frames played are all frames, each once."""

@@ -2,55 +2,57 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..sources.frames import PX, pixels
+from ..sources.frames import PX, frames
 from . import kernels as K
 
 
-def _columns() -> tuple[Column, ...]:
-    """x, y, w, h and a, whether a pixel is on the border, and the number of rows."""
-    x, y, w, h, a = (F.col(c) for c in ("x", "y", "w", "h", "a"))
-    return x, y, w, h, a, (x == 0) | (y == 0) | (x == w - 1) | (y == h - 1), F.count(F.lit(1))
 
 
 SQL_BORDER = "(x = 0 OR y = 0 OR x = w - 1 OR y = h - 1)"
-#: A frame's own columns in grouped results.
-ONE = ("image_id", "w", "h")
 #: name, least and greatest share of opaque pixels, least and greatest share of the bounding box
-PROFILES = [("tiny-8x8", 0.03, 0.90, 0.06, 1.0), ("tiny-8x16", 0.03, 0.90, 0.06, 1.0), ("small-32x32", 0.02, 0.90, 0.04, 1.0), ("normal", 0.01, 0.85, 0.02, 0.98)]
+PROFILES = [("tiny-8x8", 0.04, 0.90, 0.06, 0.95), ("tiny-8x16", 0.03, 0.90, 0.04, 0.95), ("small-32x32", 0.01, 0.90, 0.02, 0.95), ("normal", 0.005, 0.90, 0.01, 0.95)]
 
 
-def box(on: Column) -> dict[str, Column]:
-    """Half-open bounds of the pixels that are on; null if none is."""
-    X, Y, _, _, _, _, _ = _columns()
-    pick = lambda f, c: f(F.when(on, c))
-    return {"x0": pick(F.min, X), "y0": pick(F.min, Y), "x1": pick(F.max, X) + 1, "y1": pick(F.max, Y) + 1}
 
 
-def largest_component(px: DataFrame, threshold: int = 0, steps=K.EIGHT) -> DataFrame:
-    def run(p: np.ndarray) -> list[dict]:
-        parts = K.label(p[..., 3] > threshold, steps)
-        return [{"largest": int(np.bincount(parts.ravel())[1:].max()) if parts.any() else 0}]
+def bounds(on: np.ndarray) -> tuple[int | None, ...]:
+    """Half-open x0, y0, x1, y1 of the places that are on; nulls if none is."""
+    y, x = np.flatnonzero(on.any(axis=1)), np.flatnonzero(on.any(axis=0))
+    return (int(x[0]), int(y[0]), int(x[-1]) + 1, int(y[-1]) + 1) if len(x) else (None,) * 4
+
 
-    return K.per_frame(px, run, "largest long")
+def on_border(h: int, w: int) -> np.ndarray:
+    out = np.zeros((h, w), dtype=bool)
+    out[[0, -1]] = True
+    out[:, [0, -1]] = True
+    return out
 
 
-def measure_frame(px: DataFrame, threshold: int = 0) -> DataFrame:
+def share(part: int, of: int, empty: float = 0.0) -> float:
+    return int(part) / int(of) if of else empty
+
+
+def measure_frame(frames: DataFrame, threshold: int = 0) -> DataFrame:
     """Rows 45, 48, 55, 105: occupancy, bounds, largest 8-connected component and border contact."""
-    _, _, _, _, A, BORDER, _ = _columns()
-    on = A > threshold
-    g = px.groupBy(*ONE).agg(F.count_if(on).alias("opaque"), F.count_if(on & BORDER).alias("contact"), F.count_if(BORDER).alias("border"), *[c.alias(k) for k, c in box(on).items()])
-    area = F.col("w") * F.col("h")
-    g = g.join(largest_component(px, threshold), "image_id")
-    return g.select(
-        "image_id", "w", "h", "opaque", (F.col("opaque") / area).alias("opaque_ratio"), "x0", "y0", "x1", "y1",
-        F.coalesce((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / area, F.lit(0.0)).alias("bbox_ratio"), "largest",
-        F.when(F.col("opaque") > 0, F.col("largest") / F.col("opaque")).otherwise(0.0).alias("largest_ratio"), "contact", (F.col("contact") / F.col("border")).alias("contact_ratio"),
-    )
+
+    def run(p: np.ndarray) -> list[dict]:
+        on = p[..., 3] > threshold
+        h, w = on.shape
+        edge = on_border(h, w)
+        x0, y0, x1, y1 = bounds(on)
+        opaque, contact = int(on.sum()), int((on & edge).sum())
+        largest = int(np.bincount(K.label(on, K.EIGHT).ravel())[1:].max()) if opaque else 0
+        return [{"w": w, "h": h, "opaque": opaque, "opaque_ratio": share(opaque, w * h), "x0": x0, "y0": y0, "x1": x1, "y1": y1, "bbox_ratio": share((x1 - x0) * (y1 - y0), w * h) if opaque else 0.0,
+                 "largest": largest, "largest_ratio": share(largest, opaque), "contact": contact, "contact_ratio": share(contact, edge.sum())}]
+
+    return K.per_frame(frames, run, "w int, h int, opaque long, opaque_ratio double, x0 int, y0 int, x1 int, y1 int, bbox_ratio double, largest long, largest_ratio double, contact long, contact_ratio double")
 
 
 _COMPONENTS = """on_ AS (SELECT image_id, x, y, i FROM px WHERE a > {t}),
@@ -66,7 +68,7 @@ measured AS (SELECT image_id, w, h, opaque, opaque / (w * h)::DOUBLE AS opaque_r
 
 @query("frame_measure", f"WITH RECURSIVE {PX}, {_MEASURE} SELECT * FROM measured")
 def q_measure(spark, sf_dir: str) -> DataFrame:
-    return measure_frame(pixels(spark, sf_dir))
+    return measure_frame(frames(spark, sf_dir))
 
 
 def validate_frame(measured: DataFrame, full_cell: bool = False) -> DataFrame:
@@ -89,23 +91,26 @@ def validate_frame(measured: DataFrame, full_cell: bool = False) -> DataFrame:
 
 
 @query("frame_validate", f"""WITH RECURSIVE {PX}, {_MEASURE}, f AS (SELECT image_id, opaque, largest_ratio, concat_ws(',', CASE WHEN opaque = 0 THEN 'blank' END, CASE WHEN opaque > 0 AND contact > 0 THEN 'edge' END,
-  CASE WHEN opaque > 0 AND (opaque_ratio < 0.03 OR opaque_ratio > 0.90) THEN 'opaque-share' END, CASE WHEN opaque > 0 AND (bbox_ratio < 0.06 OR bbox_ratio > 1.0) THEN 'box-share' END) AS failures FROM measured)
+  CASE WHEN opaque > 0 AND (opaque_ratio < 0.04 OR opaque_ratio > 0.90) THEN 'opaque-share' END, CASE WHEN opaque > 0 AND (bbox_ratio < 0.06 OR bbox_ratio > 0.95) THEN 'box-share' END) AS failures FROM measured)
 SELECT image_id, 'tiny-8x8' AS profile, failures, opaque > 0 AND largest_ratio < 0.75 AS scattered, failures = '' AS ok FROM f""")
 def q_validate(spark, sf_dir: str) -> DataFrame:
-    return validate_frame(measure_frame(pixels(spark, sf_dir)))
+    return validate_frame(measure_frame(frames(spark, sf_dir)))
 
 
-def edge_measures(px: DataFrame, margin: int = 2, key=(0, 0, 0), near: float = 28.0) -> DataFrame:
+def edge_measures(frames: DataFrame, margin: int = 2, key=(0, 0, 0), near: float = 28.0) -> DataFrame:
     """Rows 49 to 54, 74: border counts and shares; the band count takes corners twice, as strips overlap."""
-    X, Y, W, H, A, BORDER, _ = _columns()
-    strips = [Y < margin, Y >= H - margin, X < margin, X >= W - margin]
-    solid = A > 16
-    d = sum((F.col(c) - k) * (F.col(c) - k) for c, k in zip("rgb", key, strict=True)) <= near * near
-    return px.groupBy("image_id").agg(
-        F.count_if(A > 0).alias("nonzero"), sum(F.count_if((A > 0) & s) for s in strips).alias("band"), (F.count_if(BORDER & (A <= 16)) / F.count_if(BORDER)).alias("clear_ratio"),
-        F.coalesce(F.count_if(BORDER & solid & d) / F.when(F.count_if(BORDER & solid) > 0, F.count_if(BORDER & solid)), F.lit(0.0)).alias("key_ratio"),
-        F.count_if((A > 0) & ((X < margin) | (Y < margin) | (X >= W - margin) | (Y >= H - margin))).alias("outside"), F.least(*[F.avg(F.when(s, solid.cast("int"))) for s in strips]).alias("coverage"),
-    )
+
+    def run(p: np.ndarray) -> list[dict]:
+        a = p[..., 3]
+        solid, seen, edge = a > 16, a > 0, on_border(*a.shape)
+        strips = (np.s_[:margin], np.s_[-margin:], np.s_[:, :margin], np.s_[:, -margin:])
+        inner = np.zeros_like(seen)
+        inner[margin:-margin, margin:-margin] = True
+        like = ((p[..., :3] - np.array(key)) ** 2).sum(axis=2) <= near * near
+        return [{"nonzero": int(seen.sum()), "band": sum(int(seen[s].sum()) for s in strips), "clear_ratio": share((edge & ~solid).sum(), edge.sum()), "key_ratio": share((edge & solid & like).sum(), (edge & solid).sum()),
+                 "outside": int((seen & ~inner).sum()), "coverage": min(share(solid[s].sum(), solid[s].size) for s in strips)}]
+
+    return K.per_frame(frames, run, "nonzero long, band long, clear_ratio double, key_ratio double, outside long, coverage double")
 
 
 @query("frame_edges", f"""WITH {PX} SELECT image_id, count(*) FILTER (a > 0)::BIGINT AS nonzero,
@@ -115,28 +120,39 @@ def edge_measures(px: DataFrame, margin: int = 2, key=(0, 0, 0), near: float = 2
   count(*) FILTER (a > 0 AND (x < 2 OR y < 2 OR x >= w - 2 OR y >= h - 2))::BIGINT AS outside,
   least(avg((a > 16)::INT) FILTER (y < 2), avg((a > 16)::INT) FILTER (y >= h - 2), avg((a > 16)::INT) FILTER (x < 2), avg((a > 16)::INT) FILTER (x >= w - 2)) AS coverage FROM px GROUP BY image_id""")
 def q_edges(spark, sf_dir: str) -> DataFrame:
-    return edge_measures(pixels(spark, sf_dir))
+    return edge_measures(frames(spark, sf_dir))
 
 
 @query("frame_matte_ratio")
 def q_matte(spark, sf_dir: str) -> DataFrame:
     """Row 53: share of solid border pixels near any colour of the frame's own border palette."""
-    _, _, _, _, A, BORDER, N = _columns()
-    from .pixels import edge_palette_of
+    from .pixels import border_palette
+
+    def run(p: np.ndarray) -> list[dict]:
+        solid = p[on_border(*p.shape[:2]) & (p[..., 3] > 16)][:, :3]
+        palette = np.array(border_palette(p, 28.0, 2)).reshape(-1, 3)
+        if not len(solid):
+            return []
+        near = (((solid[:, None] - palette[None]) ** 2).sum(axis=2) <= 28.0**2).any(axis=1) if len(palette) else np.zeros(len(solid), dtype=bool)
+        return [{"near": int(near.sum()), "solid": len(solid)}]
 
-    px = pixels(spark, sf_dir)
-    near = F.exists("palette", lambda q: F.sqrt(sum((F.col(c) - q[c]) * (F.col(c) - q[c]) for c in "rgb").cast("double")) <= 28.0)
-    border = px.where(BORDER & (A > 16)).join(edge_palette_of(px, 28.0, 2), "image_id")
-    return border.groupBy("image_id").agg(F.count_if(near).alias("near"), N.alias("solid"))
+    return K.per_frame(frames(spark, sf_dir), run, "near long, solid long")
 
 
-def bbox_metrics(px: DataFrame) -> DataFrame:
+def bbox_metrics(frames: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows 56, 61: normalised bounds at alpha above 16; all 0 for an empty frame."""
-    _, _, _, _, A, _, _ = _columns()
-    g = px.groupBy(*ONE).agg(F.count_if(A > 16).alias("n"), *[c.alias(k) for k, c in box(A > 16).items()])
-    x0, y0, x1, y1, w, h = (F.col(c) for c in ("x0", "y0", "x1", "y1", "w", "h"))
-    out = {"nx0": x0 / w, "ny0": y0 / h, "nx1": x1 / w, "ny1": y1 / h, "width": (x1 - x0) / w, "height": (y1 - y0) / h, "center_x": (x0 + x1) / (2 * w), "center_y": (y0 + y1) / (2 * h), "bottom": y1 / h, "alpha_area": F.col("n") / (w * h)}
-    return g.select("image_id", *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in out.items()])
+    names = ["nx0", "ny0", "nx1", "ny1", "width", "height", "center_x", "center_y", "bottom", "alpha_area"]
+
+    def run(p: np.ndarray) -> list[dict]:
+        on = p[..., 3] > 16
+        h, w = on.shape
+        x0, y0, x1, y1 = bounds(on)
+        if x0 is None:
+            return [dict.fromkeys(names, 0.0)]
+        values = (x0 / w, y0 / h, x1 / w, y1 / h, (x1 - x0) / w, (y1 - y0) / h, (x0 + x1) / (2 * w), (y0 + y1) / (2 * h), y1 / h, share(on.sum(), w * h))
+        return [dict(zip(names, values, strict=True))]
+
+    return K.per_frame(frames, run, ", ".join(f"{n} double" for n in names), carry)
 
 
 _BOX16 = "SELECT image_id, any_value(seq) AS seq, any_value(fidx) AS fidx, w, h, count(*) FILTER (a > 16)::BIGINT AS n, min(x) FILTER (a > 16) AS x0, min(y) FILTER (a > 16) AS y0, max(x) FILTER (a > 16) + 1 AS x1, max(y) FILTER (a > 16) + 1 AS y1 FROM px GROUP BY image_id, w, h"
@@ -147,32 +163,33 @@ METRICS_SQL = f"""bx AS ({_BOX16}), metrics AS (SELECT image_id, coalesce(x0 / w
 
 @query("frame_bbox_metrics", f"WITH {PX}, {METRICS_SQL} SELECT * FROM metrics")
 def q_bbox(spark, sf_dir: str) -> DataFrame:
-    return bbox_metrics(pixels(spark, sf_dir))
+    return bbox_metrics(frames(spark, sf_dir))
 
 
-def centres(px: DataFrame) -> DataFrame:
+def centres(frames: DataFrame) -> DataFrame:
     """Rows 57 to 60, 62: weighted centre, anchors in bands of the box, balance of the support, lower centre."""
-    X, Y, W, H, A, _, _ = _columns()
-    over = Window.partitionBy("image_id")
-    solid = A > 16
-    y0, y1 = F.min(F.when(solid, Y)).over(over), F.max(F.when(solid, Y)).over(over) + 1
-    x0, x1 = F.min(F.when(solid, X)).over(over), F.max(F.when(solid, X)).over(over) + 1
-    p = px.withColumns({"by0": y0, "by1": y1, "bx0": x0, "bx1": x1}).where(solid)
-    tall = F.col("by1") - F.col("by0")
-    place = lambda q: F.rint(F.col("by0") + tall * q).cast("int")
-
-    def band(a: float, b: float) -> Column:
-        start = F.greatest(F.col("by0"), F.least(F.col("by1") - 1, place(a)))
-        return (Y >= start) & (Y < F.greatest(start + 1, F.least(F.col("by1"), place(b))))
-
-    anchor = lambda on: F.sum(F.when(on, X * A)) / F.sum(F.when(on, A))
-    low = Y >= F.col("by0") + F.rint(tall * 0.68).cast("int")
-    lower = F.rint(H * 0.45).cast("int")
-    return p.groupBy("image_id").agg(
-        (F.sum(X * A) / F.sum(A)).alias("cx"), (F.sum(Y * A) / F.sum(A)).alias("cy"), anchor(band(0.72, 1.0)).alias("footprint"), anchor(band(0.22, 0.68)).alias("body"),
-        (F.round(F.avg(F.when(low, (X - (F.col("bx0") + F.col("bx1")) / 2) / (F.col("bx1") - F.col("bx0")))), 9) + 0.0).alias("balance"),
-        ((F.min(F.when(Y >= lower, X)) + F.max(F.when(Y >= lower, X)) + 1) / (2 * F.max(W))).alias("lower_center"),
-    )
+
+    def run(p: np.ndarray) -> list[dict]:
+        solid = p[..., 3] > 16
+        x0, y0, x1, y1 = bounds(solid)
+        if x0 is None:
+            return []
+        h, w = solid.shape
+        y, x = np.nonzero(solid)
+        a, tall = p[..., 3][solid], y1 - y0
+        place = lambda q: int(np.rint(y0 + tall * q))
+
+        def anchor(low: float, high: float) -> float | None:
+            start = max(y0, min(y1 - 1, place(low)))
+            on = (y >= start) & (y < max(start + 1, min(y1, place(high))))
+            return share((x * a)[on].sum(), a[on].sum(), None)
+
+        low, feet = y >= y0 + int(np.rint(tall * 0.68)), x[y >= int(np.rint(h * 0.45))]
+        balance = float(np.mean((x[low] - (x0 + x1) / 2) / (x1 - x0))) if low.any() else None
+        return [{"cx": share((x * a).sum(), a.sum()), "cy": share((y * a).sum(), a.sum()), "footprint": anchor(0.72, 1.0), "body": anchor(0.22, 0.68), "balance": None if balance is None else round(balance, 9) + 0.0,
+                 "lower_center": (int(feet.min()) + int(feet.max()) + 1) / (2 * w) if len(feet) else None}]
+
+    return K.per_frame(frames, run, "cx double, cy double, footprint double, body double, balance double, lower_center double")
 
 
 @query("frame_centres", f"""WITH {PX}, bx AS ({_BOX16}), p AS (SELECT px.image_id, x, y, a, w, h, bx.x0, bx.y0, bx.x1, bx.y1 FROM (SELECT * FROM px WHERE a > 16) px JOIN (SELECT image_id, x0, y0, x1, y1 FROM bx) bx USING (image_id)),
@@ -182,31 +199,40 @@ SELECT image_id, sum(x * a) / sum(a)::DOUBLE AS cx, sum(y * a) / sum(a)::DOUBLE
   sum(x * a) FILTER (y >= bs AND y < be) / sum(a) FILTER (y >= bs AND y < be)::DOUBLE AS body, round(avg((x - (x0 + x1) / 2.0::DOUBLE) / (x1 - x0)) FILTER (y >= y0 + round_even((y1 - y0) * 0.68::DOUBLE, 0)::INT), 9) + 0.0 AS balance,
   (min(x) FILTER (y >= 4) + max(x) FILTER (y >= 4) + 1) / (2 * max(w))::DOUBLE AS lower_center FROM e GROUP BY image_id""")
 def q_centres(spark, sf_dir: str) -> DataFrame:
-    return centres(pixels(spark, sf_dir))
+    return centres(frames(spark, sf_dir))
+
+
+def central_run(line: np.ndarray, middle: int, reach: int) -> int | None:
+    """Length of the run that holds the middle column, else of the nearest one within ``reach``, the left one first."""
+    on = np.flatnonzero(line)
+    if not len(on):
+        return None
+    near = on[np.argmin(np.abs(on - middle))]  # the first of two at one distance is the left one
+    if abs(near - middle) > reach:
+        return None
+    off = np.flatnonzero(~line)
+    before, after = off[off < near], off[off > near]
+    return int((after[0] if len(after) else len(line)) - (before[-1] + 1 if len(before) else 0))
+
 
+def feature_widths(frames: DataFrame) -> DataFrame:
+    """Rows 63, 64: runs through the middle of the box, as upper medians over bands of the height."""
 
-def feature_widths(px: DataFrame) -> DataFrame:
-    """Rows 63, 64: runs through the middle of the box, as upper medians over bands of the height.
+    def run(p: np.ndarray) -> list[dict]:
+        a = p[..., 3]
+        left, top, right, end = bounds(a > 0)
+        if left is None:
+            return []
+        middle, reach = (left + right) // 2, max(2, a.shape[1] // 5)
+        runs = [((y - top) / max(1, end - top), n) for y in range(top, end) if (n := central_run(a[y] > 16, middle, reach)) is not None]
 
-    Runs are gaps and islands by row; the run that holds the middle column is taken, else that of the nearest solid
-    pixel within a fifth of the width, the left one first.
-    """
-    X, Y, _, _, A, _, _ = _columns()
-    over = Window.partitionBy("image_id")
-    p = px.withColumns({"top": F.min(F.when(A > 0, Y)).over(over), "end": F.max(F.when(A > 0, Y)).over(over) + 1, "left": F.min(F.when(A > 0, X)).over(over), "right": F.max(F.when(A > 0, X)).over(over) + 1})
-    p = p.withColumn("mid", F.floor((F.col("left") + F.col("right")) / 2).cast("int")).where((A > 16) & (Y >= F.col("top")) & (Y < F.col("end")))
-    line = Window.partitionBy("image_id", "y").orderBy("x")
-    runs = p.withColumn("island", X - F.row_number().over(line)).withColumn("gap", F.abs(X - F.col("mid")))
-    runs = runs.withColumn("run", F.count(F.lit(1)).over(Window.partitionBy("image_id", "y", "island")))
-    reach = F.greatest(F.lit(2), F.floor(F.col("w") / 5).cast("int"))
-    picked = runs.where(F.col("gap") <= reach).groupBy("image_id", "y", "top", "end").agg(F.min_by("run", F.struct("gap", "x")).alias("run"))
-    rel = (Y - F.col("top")) / F.greatest(F.lit(1), F.col("end") - F.col("top"))
+        def upper(low: float, high: float) -> int:
+            found = sorted(n for at, n in runs if low <= at <= high)
+            return found[len(found) // 2] if found else 0
 
-    def middle(low: float, high: float) -> Column:
-        runs = F.array_sort(F.collect_list(F.when((rel >= low) & (rel <= high), F.col("run"))))
-        return F.coalesce(F.get(runs, F.floor(F.size(runs) / 2).cast("int")), F.lit(0)).cast("long")
+        return [{"head_width": upper(0.03, 0.35), "upper_width": upper(0.15, 0.55), "torso_width": upper(0.45, 0.82)}] if runs else []
 
-    return picked.groupBy("image_id").agg(middle(0.03, 0.35).alias("head_width"), middle(0.15, 0.55).alias("upper_width"), middle(0.45, 0.82).alias("torso_width"))
+    return K.per_frame(frames, run, "head_width long, upper_width long, torso_width long")
 
 
 @query("frame_feature_widths", f"""WITH {PX}, bx AS (SELECT image_id, min(x) FILTER (a > 0) AS l, max(x) FILTER (a > 0) + 1 AS r_, min(y) FILTER (a > 0) AS t, max(y) FILTER (a > 0) + 1 AS e FROM px GROUP BY image_id),
@@ -217,54 +243,75 @@ r AS (SELECT *, (y - t) / greatest(1, e - t)::DOUBLE AS rel FROM k),
 g AS (SELECT image_id, list_sort(list(run) FILTER (rel >= 0.03 AND rel <= 0.35)) AS hd, list_sort(list(run) FILTER (rel >= 0.15 AND rel <= 0.55)) AS up, list_sort(list(run) FILTER (rel >= 0.45 AND rel <= 0.82)) AS tor FROM r GROUP BY image_id)
 SELECT image_id, coalesce(hd[len(hd) // 2 + 1], 0)::BIGINT AS head_width, coalesce(up[len(up) // 2 + 1], 0)::BIGINT AS upper_width, coalesce(tor[len(tor) // 2 + 1], 0)::BIGINT AS torso_width FROM g""")
 def q_features(spark, sf_dir: str) -> DataFrame:
-    return feature_widths(pixels(spark, sf_dir))
+    return feature_widths(frames(spark, sf_dir))
+
+
+def narrowest(mass: np.ndarray, part: float) -> int | None:
+    """The length of the narrowest window that holds a share of the mass: two pointers over running sums."""
+    sums = np.concatenate(([0], np.cumsum(mass)))
+    if not sums[-1]:
+        return None
+    ends = np.searchsorted(sums, sums[:-1] + part * sums[-1], side="left")
+    fits = ends < len(sums)
+    return int((ends[fits] - np.flatnonzero(fits)).min())
 
 
-def mass_extent(px: DataFrame, axis: str = "x", share: float = 0.8) -> DataFrame:
-    """Row 65: the narrowest window that holds a share of the alpha mass; a range join on running sums, bounded by a side."""
-    mass = px.groupBy("image_id", F.col(axis).alias("p")).agg(F.sum("a").alias("m"))
-    run = Window.partitionBy("image_id").orderBy("p")
-    sums = mass.withColumn("upto", F.sum("m").over(run)).withColumn("total", F.sum("m").over(Window.partitionBy("image_id")))
-    a, b = sums.alias("a"), sums.alias("b")
-    pairs = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("b.p") >= F.col("a.p")) & (F.col("b.upto") - F.col("a.upto") + F.col("a.m") >= share * F.col("a.total")))
-    return pairs.where("a.total > 0").groupBy(F.col("a.image_id").alias("image_id")).agg(F.min(F.col("b.p") - F.col("a.p") + 1).cast("long").alias("extent"))
+def mass_extent(frames: DataFrame, axis: str = "x", part: float = 0.8) -> DataFrame:
+    """Row 65: the narrowest window that holds a share of the alpha mass."""
+
+    def run(p: np.ndarray) -> list[dict]:
+        n = narrowest(p[..., 3].sum(axis=0 if axis == "x" else 1), part)
+        return [] if n is None else [{"extent": n}]
+
+    return K.per_frame(frames, run, "extent long")
 
 
 @query("frame_mass_extent", f"""WITH {PX}, m AS (SELECT image_id, x AS p, sum(a) AS m FROM px GROUP BY image_id, x), s AS (SELECT *, sum(m) OVER (PARTITION BY image_id ORDER BY p) AS upto, sum(m) OVER (PARTITION BY image_id) AS total FROM m)
 SELECT a.image_id, min(b.p - a.p + 1)::BIGINT AS extent FROM s a JOIN s b ON a.image_id = b.image_id AND b.p >= a.p AND (b.upto - a.upto + a.m)::DOUBLE >= 0.8::DOUBLE * a.total::DOUBLE WHERE a.total > 0 GROUP BY a.image_id""")
 def q_mass(spark, sf_dir: str) -> DataFrame:
-    return mass_extent(pixels(spark, sf_dir))
+    return mass_extent(frames(spark, sf_dir))
 
 
 @query("frame_projection", f"WITH {PX} SELECT image_id, x, sum(CASE WHEN a > 16 THEN a ELSE 0 END)::BIGINT AS mass FROM px GROUP BY image_id, x")
 def q_projection(spark, sf_dir: str) -> DataFrame:
     """Row 66."""
-    _, _, _, _, A, _, _ = _columns()
-    return pixels(spark, sf_dir).groupBy("image_id", "x").agg(F.sum(F.when(A > 16, A).otherwise(0)).alias("mass"))
+
+    def run(p: np.ndarray) -> list[dict]:
+        return [{"x": x, "mass": int(m)} for x, m in enumerate(np.where(p[..., 3] > 16, p[..., 3], 0).sum(axis=0))]
+
+    return K.per_frame(frames(spark, sf_dir), run, "x int, mass long")
 
 
 @query("frame_region_stats", f"""WITH {PX}, m AS (SELECT image_id, count(*)::BIGINT AS n, avg(x) AS cx, avg(y) AS cy, (count(*) * sum(x * x) - sum(x) * sum(x))::BIGINT AS xx, (count(*) * sum(y * y) - sum(y) * sum(y))::BIGINT AS yy, (count(*) * sum(x * y) - sum(x) * sum(y))::BIGINT AS xy FROM px WHERE a > 16 GROUP BY image_id)
 SELECT image_id, n, cx, cy, xx / (n * n)::DOUBLE AS sxx, yy / (n * n)::DOUBLE AS syy, xy / (n * n)::DOUBLE AS sxy, round(0.5 * degrees(atan2((2 * xy)::DOUBLE, (xx - yy)::DOUBLE)), 6) + 0.0 AS angle FROM m""")
 def q_region(spark, sf_dir: str) -> DataFrame:
     """Row 67; moments come from integer sums, so that equal ones stay equal."""
-    cross = lambda p, q: F.expr(f"count(1) * sum({p} * {q}) - sum({p}) * sum({q})")
-    g = pixels(spark, sf_dir).where("a > 16").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), cross("x", "x").alias("xx"), cross("y", "y").alias("yy"), cross("x", "y").alias("xy"))
-    share = lambda c: F.col(c) / (F.col("n") * F.col("n"))
-    angle = F.round(0.5 * F.degrees(F.atan2((2 * F.col("xy")).cast("double"), (F.col("xx") - F.col("yy")).cast("double"))), 6) + 0.0
-    return g.select("image_id", "n", "cx", "cy", share("xx").alias("sxx"), share("yy").alias("syy"), share("xy").alias("sxy"), angle.alias("angle"))
+
+    def run(p: np.ndarray) -> list[dict]:
+        y, x = np.nonzero(p[..., 3] > 16)
+        n = len(x)
+        if not n:
+            return []
+        xx, yy, xy = (int(n * (u * v).sum() - u.sum() * v.sum()) for u, v in ((x, x), (y, y), (x, y)))
+        angle = round(0.5 * math.degrees(math.atan2(2 * xy, xx - yy)), 6) + 0.0
+        return [{"n": n, "cx": float(x.mean()), "cy": float(y.mean()), "sxx": xx / (n * n), "syy": yy / (n * n), "sxy": xy / (n * n), "angle": angle}]
+
+    return K.per_frame(frames(spark, sf_dir), run, "n long, cx double, cy double, sxx double, syy double, sxy double, angle double")
 
 
 @query("frame_baseline", f"""WITH {PX}, l AS (SELECT image_id, y, sum(r + g + b)::BIGINT AS light FROM px WHERE y >= 4 GROUP BY image_id, y), c AS (SELECT image_id, sum(r + g + b) / 12.0::DOUBLE AS corner FROM px WHERE x IN (0, 7) AND y IN (0, 7) GROUP BY image_id),
 f AS (SELECT image_id, max(y) AS lowest FROM px JOIN c USING (image_id) WHERE a >= 20 OR abs((r + g + b) / 3.0::DOUBLE - corner) >= 24 GROUP BY image_id)
 SELECT image_id, y AS darkest, lowest FROM l LEFT JOIN f USING (image_id) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY light, y) = 1""")
 def q_baseline(spark, sf_dir: str) -> DataFrame:
-    """Rows 69, 70: the darkest low row, and the lowest row that differs from the corners."""
-    X, Y, _, _, A, _, _ = _columns()
-    px = pixels(spark, sf_dir)
-    light = px.where(Y >= 4).groupBy("image_id", "y").agg(F.sum(F.expr("r + g + b")).alias("light")).groupBy("image_id").agg(F.min_by("y", F.struct("light", "y")).alias("darkest"))
-    corner = F.avg(F.when(X.isin(0, 7) & Y.isin(0, 7), F.expr("r + g + b"))).over(Window.partitionBy("image_id")) / 3
-    lowest = px.withColumn("corner", corner).where((A >= 20) | (F.abs(F.expr("r + g + b") / 3 - F.col("corner")) >= 24)).groupBy("image_id").agg(F.max("y").alias("lowest"))
-    return light.join(lowest, "image_id", "left")
+    """Rows 69, 70: the darkest row of the lower half, and the lowest row that differs from the corners."""
+
+    def run(p: np.ndarray) -> list[dict]:
+        light, half = p[..., :3].sum(axis=2), p.shape[0] // 2
+        corner = light[[0, 0, -1, -1], [0, -1, 0, -1]].sum() / 12
+        rows = np.flatnonzero(((p[..., 3] >= 20) | (np.abs(light / 3 - corner) >= 24)).any(axis=1))
+        return [{"darkest": half + int(np.argmin(light[half:].sum(axis=1))), "lowest": int(rows[-1]) if len(rows) else None}]
+
+    return K.per_frame(frames(spark, sf_dir), run, "darkest int, lowest int")
 
 
 @query("frame_static_checks", f"""WITH {PX}, q AS (SELECT image_id, avg((a > 0)::INT) AS share, bool_or(a > 0 AND {SQL_BORDER}) AS clipped FROM px GROUP BY image_id),
@@ -272,26 +319,36 @@ s AS (SELECT l.image_id, avg(abs(l.r - e.r) + abs(l.g - e.g) + abs(l.b - e.b) +
 SELECT image_id, share, clipped, round(seam, 9) AS seam, share = 0 AS blank, share > 0 AND (share < 0.01 OR share > 0.95) AS extreme, seam > 0.03 AS broken FROM q JOIN s USING (image_id)""")
 def q_static(spark, sf_dir: str) -> DataFrame:
     """Rows 72, 73, 75: occupancy and clipping of a static asset, and the difference of its opposite edges."""
-    X, _, W, _, A, BORDER, _ = _columns()
-    side = lambda at: F.map_from_entries(F.array_sort(F.collect_list(F.when(X == at, F.struct("y", F.array("r", "g", "b", "a"))))))
-    g = pixels(spark, sf_dir).groupBy(*ONE).agg(F.avg((A > 0).cast("int")).alias("share"), F.bool_or((A > 0) & BORDER).alias("clipped"), side(0).alias("first"), side(W - 1).alias("last"))
-    delta = F.aggregate(F.map_keys("first"), F.lit(0), lambda s, y: s + F.aggregate(F.zip_with(F.col("first")[y], F.col("last")[y], lambda p, q: F.abs(p - q)), F.lit(0), lambda t, v: t + v))
-    g = g.withColumn("seam", delta / F.col("h") / 4 / 255)
-    return g.select("image_id", "share", "clipped", F.round("seam", 9).alias("seam"), (F.col("share") == 0).alias("blank"), ((F.col("share") > 0) & ((F.col("share") < 0.01) | (F.col("share") > 0.95))).alias("extreme"), (F.col("seam") > 0.03).alias("broken"))
 
+    def run(p: np.ndarray) -> list[dict]:
+        on = p[..., 3] > 0
+        part = share(on.sum(), on.size)
+        seam = int(np.abs(p[:, 0] - p[:, -1]).sum()) / p.shape[0] / 4 / 255
+        return [{"share": part, "clipped": bool((on & on_border(*on.shape)).any()), "seam": round(seam, 9), "blank": part == 0, "extreme": part > 0 and not 0.01 <= part <= 0.95, "broken": seam > 0.03}]
 
-def components(px: DataFrame, threshold: int = 16, steps=K.FOUR) -> DataFrame:
-    """Row 104: components in raster order, with area and half-open bounds."""
+    return K.per_frame(frames(spark, sf_dir), run, "share double, clipped boolean, seam double, blank boolean, extreme boolean, broken boolean")
 
-    def run(p: np.ndarray) -> list[dict]:
-        parts = K.label(p[..., 3] > threshold, steps)
-        out = []
-        for k in range(1, int(parts.max()) + 1):
-            y, x = np.nonzero(parts == k)
-            out.append({"ord": k, "area": len(x), "x0": int(x.min()), "y0": int(y.min()), "x1": int(x.max()) + 1, "y1": int(y.max()) + 1})
-        return out
 
-    return K.per_frame(px, run, "ord int, area long, x0 int, y0 int, x1 int, y1 int")
+def parts_of(p: np.ndarray, threshold: int = 16, steps=K.FOUR) -> list[dict]:
+    """Components in raster order, with area and half-open bounds; one pass over the solid pixels."""
+    parts = K.label(p[..., 3] > threshold, steps)
+    y, x = np.nonzero(parts)
+    if not len(x):
+        return []
+    k = parts[y, x] - 1
+    n = int(k.max()) + 1
+    ends = {}
+    for name, v in (("x", x), ("y", y)):
+        low, high = np.full(n, v.max() + 1), np.zeros(n, dtype=np.int64)
+        np.minimum.at(low, k, v), np.maximum.at(high, k, v + 1)
+        ends[name] = low.tolist(), high.tolist()
+    area = np.bincount(k).tolist()
+    return [{"ord": j + 1, "area": area[j], "x0": ends["x"][0][j], "y0": ends["y"][0][j], "x1": ends["x"][1][j], "y1": ends["y"][1][j]} for j in range(n)]
+
+
+def components(frames: DataFrame, threshold: int = 16, steps=K.FOUR) -> DataFrame:
+    """Row 104."""
+    return K.per_frame(frames, lambda p: parts_of(p, threshold, steps), "ord int, area long, x0 int, y0 int, x1 int, y1 int")
 
 
 PARTS_SQL = f"""{_COMPONENTS.format(t=16, near=NEAR4)}, parts AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY root)::INT AS ord, count(*)::BIGINT AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM lab GROUP BY image_id, root)"""
@@ -299,7 +356,13 @@ PARTS_SQL = f"""{_COMPONENTS.format(t=16, near=NEAR4)}, parts AS (SELECT image_i
 
 @query("components_4", f"WITH RECURSIVE {PX}, {PARTS_SQL} SELECT * FROM parts")
 def q_components(spark, sf_dir: str) -> DataFrame:
-    return components(pixels(spark, sf_dir))
+    return components(frames(spark, sf_dir))
+
+
+def kept_parts(parts: list[dict], least: int = 2, part: float = 0.25) -> list[dict]:
+    """Components that matter beside the largest."""
+    floor = max(least, float(np.rint(part * max((q["area"] for q in parts), default=0))))
+    return [q for q in parts if q["area"] >= floor]
 
 
 @query("components_kept", f"""WITH RECURSIVE {PX}, {PARTS_SQL}, k AS (SELECT *, area >= greatest(2, round_even(0.25 * max(area) OVER (PARTITION BY image_id), 0)) AS keep FROM parts)
@@ -307,12 +370,17 @@ SELECT image_id, count(*) FILTER (keep)::BIGINT AS kept, count(*) FILTER (NOT ke
   concat_ws(',', CASE WHEN min(x0) FILTER (keep) = 0 THEN 'left' END, CASE WHEN min(y0) FILTER (keep) = 0 THEN 'top' END, CASE WHEN max(x1) FILTER (keep) = 8 THEN 'right' END, CASE WHEN max(y1) FILTER (keep) = 8 THEN 'bottom' END) AS contacts FROM k GROUP BY image_id""")
 def q_kept(spark, sf_dir: str) -> DataFrame:
     """Rows 86 to 88, 116: parts that matter beside the largest, their common box and the borders that it touches."""
-    top = F.max("area").over(Window.partitionBy("image_id"))
-    k = components(pixels(spark, sf_dir)).withColumn("keep", F.col("area") >= F.greatest(F.lit(2.0), F.rint(0.25 * top)))
-    kept = lambda f, c: f(F.when(F.col("keep"), F.col(c)))
-    g = k.groupBy("image_id").agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("discarded"), kept(F.min, "x0").alias("x0"), kept(F.min, "y0").alias("y0"), kept(F.max, "x1").alias("x1"), kept(F.max, "y1").alias("y1"))
-    touch = F.array_compact(F.array(F.when(F.col("x0") == 0, "left"), F.when(F.col("y0") == 0, "top"), F.when(F.col("x1") == 8, "right"), F.when(F.col("y1") == 8, "bottom")))
-    return g.withColumn("contacts", F.array_join(touch, ","))
+
+    def run(p: np.ndarray) -> list[dict]:
+        parts = parts_of(p)
+        kept = kept_parts(parts)
+        if not parts:
+            return []
+        x0, y0, x1, y1 = (f(q[c] for q in kept) for f, c in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1")))
+        touch = [side for side, hit in (("left", x0 == 0), ("top", y0 == 0), ("right", x1 == p.shape[1]), ("bottom", y1 == p.shape[0])) if hit]
+        return [{"kept": len(kept), "discarded": len(parts) - len(kept), "x0": x0, "y0": y0, "x1": x1, "y1": y1, "contacts": ",".join(touch)}]
+
+    return K.per_frame(frames(spark, sf_dir), run, "kept long, discarded long, x0 int, y0 int, x1 int, y1 int, contacts string")
 
 
 _FLOOD = f"""cand AS (SELECT image_id, x, y, i FROM px WHERE a <= 16), reach(image_id, i, x, y) AS (SELECT image_id, i, x, y FROM cand WHERE x IN (0, 7) OR y IN (0, 7) UNION SELECT o.image_id, o.i, o.x, o.y FROM reach r JOIN cand o ON o.image_id = r.image_id AND {NEAR4})"""
@@ -328,21 +396,21 @@ def q_exterior(spark, sf_dir: str) -> DataFrame:
         outside = int(K.exterior(candidate).sum())
         return [{"exterior": outside, "enclosed": int(candidate.sum()) - outside}]
 
-    return K.per_frame(pixels(spark, sf_dir), run, "exterior long, enclosed long")
+    return K.per_frame(frames(spark, sf_dir), run, "exterior long, enclosed long")
 
 
 @query("mask_dilate", f"""WITH {PX}, d AS (SELECT DISTINCT image_id, x + dx AS x, y + dy AS y FROM px, (VALUES (-1), (0), (1)) p(dx), (VALUES (-1), (0), (1)) q(dy) WHERE a > 16)
 SELECT image_id, count(*)::BIGINT AS n FROM d WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7 GROUP BY image_id""")
 def q_dilate(spark, sf_dir: str) -> DataFrame:
     """Row 79."""
-    return K.per_frame(pixels(spark, sf_dir), lambda p: [{"n": int(K.dilate(p[..., 3] > 16).sum())}], "n long").where("n > 0")
+    return K.per_frame(frames(spark, sf_dir), lambda p: [{"n": int(K.dilate(p[..., 3] > 16).sum())}], "n long").where("n > 0")
 
 
 @query("mask_strategy", f"""WITH {PX}, e AS (SELECT image_id, avg((a <= 16)::INT) FILTER ({SQL_BORDER}) AS clear, coalesce(count(*) FILTER ({SQL_BORDER} AND a > 16 AND r * r + g * g + b * b <= 9216) / nullif(count(*) FILTER ({SQL_BORDER} AND a > 16), 0)::DOUBLE, 0) AS keyed FROM px GROUP BY image_id)
 SELECT image_id, CASE WHEN clear >= 0.7 THEN 'keep' WHEN keyed >= 0.45 THEN 'chroma' ELSE 'blocked' END AS strategy FROM e""")
 def q_strategy(spark, sf_dir: str) -> DataFrame:
     """Row 83: keep alpha, remove the key, or leave it to a model that is not here."""
-    e = edge_measures(pixels(spark, sf_dir), near=96.0)
+    e = edge_measures(frames(spark, sf_dir), near=96.0)
     return e.select("image_id", F.when(F.col("clear_ratio") >= 0.7, "keep").when(F.col("key_ratio") >= 0.45, "chroma").otherwise("blocked").alias("strategy"))
 
 
@@ -354,4 +422,4 @@ def q_remove(spark, sf_dir: str) -> DataFrame:
         left = np.where(K.exterior(p[..., 3] <= 16), 0, p[..., 3])
         return [{"alpha_left": int(left.sum()), "visible": int((left > 0).sum())}]
 
-    return K.per_frame(pixels(spark, sf_dir), run, "alpha_left long, visible long")
+    return K.per_frame(frames(spark, sf_dir), run, "alpha_left long, visible long")

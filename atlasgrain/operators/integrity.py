@@ -5,6 +5,8 @@ The driver's tables stand in for asset records: part = asset, lineitem = deliver
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +39,10 @@ def q_dangling(spark, sf_dir: str) -> DataFrame:
     return dangling(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", table(spark, sf_dir, "part").where("p_size > 5"), "p_partkey")
 
 
-@query("int_owner_mismatch", """SELECT l_orderkey, l_linenumber, s_nationkey AS declared, c_nationkey AS owner FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey AND l_linenumber = 1""")
+@query("int_owner_mismatch", """SELECT l_orderkey, l_linenumber, s_nationkey AS declared, c_nationkey AS owner FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey""")
 def q_owner(spark, sf_dir: str) -> DataFrame:
     """Row 173: who delivers is not who owns."""
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_suppkey")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     s, o = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("declared")), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("owner"))
     j = l.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("c_custkey") == F.col("o_custkey")).join(s, F.col("s_suppkey") == F.col("l_suppkey"))
@@ -54,20 +56,41 @@ def q_matrix(spark, sf_dir: str) -> DataFrame:
     return p.select("p_brand").distinct().withColumn("p_size", F.explode(F.sequence(F.lit(1), F.lit(50)))).join(p, ["p_brand", "p_size"], "left_anti")
 
 
-@query("int_reference_cycles", """WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey * 7 + 3) % 101 AS b FROM customer WHERE c_custkey < 101), w(a, pos, path, done) AS (SELECT a, b, [a], false FROM e UNION ALL SELECT w.a, e.b, list_append(w.path, w.pos), list_contains(w.path, w.pos) FROM w JOIN e ON e.a = w.pos WHERE NOT w.done AND len(w.path) < 105),
-c AS (SELECT a, path FROM w WHERE NOT done AND pos = a) SELECT min(a) AS start, len(path)::BIGINT AS length FROM c GROUP BY list_sort(path), len(path)""")
-def q_cycles(spark, sf_dir: str) -> DataFrame:
-    """Rows 175 to 177: cycles of a one-successor graph, by doubling: after k steps of pointer jumping each node knows the
-    least node within 2^k; nodes that come back are on a cycle, of which the least node is the name."""
-    e = table(spark, sf_dir, "customer").where("c_custkey < 101").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7 + 3) % 101).alias("b"))
-    j = e.select("a", F.col("b").alias("at"), F.least("a", "b").alias("least"))
-    for _ in range(7):  # 2^7 nodes at most
-        o = j.select(F.col("a").alias("at"), F.col("at").alias("then"), F.col("least").alias("l2"))
-        j = j.join(o, "at").select("a", F.col("then").alias("at"), F.least("least", "l2").alias("least"))
-    on_cycle = j.select(F.col("at").alias("a")).distinct()  # far along, only cycle nodes are reached
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cut from its plan, in ``spark.checkpoint.dir``; only a local master may go without one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        found = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="atlasgrain-"))
+    return df.checkpoint()
+
+
+def reference_cycles(edges: DataFrame) -> DataFrame:
+    """Rows 175 to 177: the cycles of a graph in which a node (a) has at most one successor (b), as start (least node) and length.
+
+    Doubling: after k rounds a node knows the node 2^k steps ahead and the least on the way; rounds follow the number of
+    nodes, and each is written, so plans stay small. Chains that end drop out. Null ends and repeated edges play no part.
+    """
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    j = settled(edges.select("a", F.col("b").alias("at"), F.least("a", "b").alias("least")))
+    for _ in range(max(1, j.count()).bit_length()):
+        ahead = j.select(F.col("a").alias("at"), F.col("at").alias("then"), F.col("least").alias("farther"))
+        j = settled(j.join(ahead, "at").select("a", F.col("then").alias("at"), F.least("least", "farther").alias("least")))
+    on_cycle = j.select(F.col("at").alias("a")).distinct()  # that far along, only cycle nodes are reached
     return j.join(on_cycle, "a", "left_semi").groupBy(F.col("least").alias("start")).agg(F.count(F.lit(1)).alias("length"))
 
 
+_NEXT = "c_custkey - c_custkey % 50 + (c_custkey % 50 * 7 + 3) % 50"
+
+
+@query("int_reference_cycles", f"""WITH RECURSIVE e AS (SELECT c_custkey AS a, {_NEXT} AS b FROM customer), w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.b), c AS (SELECT a FROM w WHERE a = b),
+m AS (SELECT c.a, min(w.b) AS start FROM c JOIN w ON w.a = c.a GROUP BY c.a) SELECT start, count(*)::BIGINT AS length FROM m GROUP BY start""")
+def q_cycles(spark, sf_dir: str) -> DataFrame:
+    return reference_cycles(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.expr(_NEXT).alias("b")))
+
+
 @query("int_lineage_chain", """WITH RECURSIVE c AS (SELECT conv_id, turn, turn AS root, 0 AS depth FROM conversations WHERE turn = (SELECT min(turn) FROM conversations x WHERE x.conv_id = conversations.conv_id) UNION ALL SELECT n.conv_id, n.turn, c.root, c.depth + 1 FROM c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1)
 SELECT conv_id, max(depth)::BIGINT AS depth, count(*)::BIGINT AS reached FROM c GROUP BY conv_id""")
 def q_lineage(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
 from ..plans.registry import query
-from ..sources.frames import PX, pixels
+from ..sources.frames import PX, frames, pixels
+from . import kernels as K
 
 MAGENTA = (255, 0, 255)
 D2 = "((r - 255) * (r - 255) + g * g + (b - 255) * (b - 255))"
@@ -89,11 +94,10 @@ def contrast(spark, sf_dir: str) -> DataFrame:
 @query("px_blend_modes", f"""WITH {PX}, n AS (SELECT *, lead(r) OVER (PARTITION BY seq, i ORDER BY fidx) AS o FROM px)
 SELECT image_id, sum(255 - floor((255 - r) * (255 - o) / 255.0::DOUBLE))::BIGINT AS screen, sum(floor(r * o / 255.0::DOUBLE))::BIGINT AS multiply, sum(least(255, r + o))::BIGINT AS added, sum(o)::BIGINT AS normal FROM n WHERE o IS NOT NULL GROUP BY image_id""")
 def blend_modes(spark, sf_dir: str) -> DataFrame:
-    """Row 39: each frame under the next of its sequence."""
-    over = F.lead("r").over(Window.partitionBy("seq", "i").orderBy("fidx"))
-    laid = pixels(spark, sf_dir).withColumn("o", over).where("o IS NOT NULL")
-    names = {"screen": "screen", "multiply": "multiply", "add": "added", "normal": "normal"}
-    return laid.groupBy("image_id").agg(*[F.sum(C.blend(m, F.col("r"), F.col("o"))).cast("long").alias(n) for m, n in names.items()])
+    """Row 39: each frame under the next of its sequence; packed frames meet, not pixels."""
+    laid = frames(spark, sf_dir).withColumn("o", F.lead("r").over(Window.partitionBy("seq").orderBy("fidx"))).where("o IS NOT NULL")
+    total = lambda m: F.aggregate(F.zip_with("r", "o", lambda low, top: C.blend(m, low, top).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    return laid.select("image_id", *[total(m).alias(n) for m, n in (("screen", "screen"), ("multiply", "multiply"), ("add", "added"), ("normal", "normal"))])
 
 
 @query("px_palette_invariant", f"""WITH {PX}, p AS (SELECT DISTINCT seq, fidx, r // 32 AS r, g // 32 AS g, b // 32 AS b FROM px WHERE a > 16)
@@ -106,25 +110,34 @@ def palette_invariant(spark, sf_dir: str) -> DataFrame:
     return p.where("fidx > 0").join(before, ["seq", "fidx", "r", "g", "b"], "left_anti").groupBy("seq", "fidx").agg(F.count(F.lit(1)).alias("new_colours"))
 
 
-def edge_palette_of(px: DataFrame, threshold: float = 28.0, most: int = 8) -> DataFrame:
-    """image_id and its palette: border colours by frequency (ties: first met), none within ``threshold`` of an earlier one.
-
-    Choosing is sequential, so it folds over one image's colours; the border bounds their number.
-    """
-    x, y, w, h = (F.col(c) for c in "xywh")
-    place = F.when(y == 0, 2 * x).when(y == h - 1, 2 * x + 1).when(x == 0, 2 * w + 2 * y).otherwise(2 * w + 2 * y + 1)
-    border = px.where(((x == 0) | (y == 0) | (x == w - 1) | (y == h - 1)) & (F.col("a") > 16)).withColumn("place", place)
-    counted = border.groupBy("image_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
-    colours = counted.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "r", "g", "b"))).alias("c"))
-    near = lambda p, q: F.sqrt(sum((p[k] - q[k]) * (p[k] - q[k]) for k in "rgb").cast("double")) <= threshold
-    chosen = F.aggregate("c", F.expr("cast(array() as array<struct<r:int,g:int,b:int>>)"), lambda acc, c: F.when((F.size(acc) >= most) | F.exists(acc, lambda q: near(c, q)), acc).otherwise(F.array_append(acc, F.struct(c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b")))))
-    return colours.select("image_id", chosen.alias("palette"))
+def border_palette(p: np.ndarray, threshold: float = 28.0, most: int = 8) -> list[tuple[int, int, int]]:
+    """Solid border colours by frequency (ties: first met, going over top and bottom, then left and right), none within
+    ``threshold`` of an earlier one."""
+    h, w = p.shape[:2]
+    walk = [(y, x) for x in range(w) for y in (0, h - 1)] + [(y, x) for y in range(h) for x in (0, w - 1)]
+    count, first, seen = Counter(), {}, set()
+    for k, (y, x) in enumerate(walk):
+        if (y, x) not in seen and p[y, x, 3] > 16:
+            c = tuple(p[y, x, :3].tolist())
+            count[c] += 1
+            first.setdefault(c, k)
+        seen.add((y, x))
+    out: list[tuple[int, int, int]] = []
+    for c in sorted(count, key=lambda c: (-count[c], first[c])):
+        if len(out) < most and all(math.dist(c, q) > threshold for q in out):
+            out.append(c)
+    return out
 
 
 @query("px_edge_palette")
 def edge_palette(spark, sf_dir: str) -> DataFrame:
-    """Row 42."""
-    return edge_palette_of(pixels(spark, sf_dir)).select("image_id", F.size("palette").alias("n"), F.array_join(F.transform("palette", lambda c: F.format_string("#%02x%02x%02x", c["r"], c["g"], c["b"])), ",").alias("palette"))
+    """Row 42; sequential by nature, so tests hold it against a version by hand."""
+
+    def run(p: np.ndarray) -> list[dict]:
+        found = border_palette(p)
+        return [{"n": len(found), "palette": ",".join("#%02x%02x%02x" % c for c in found)}] if found else []
+
+    return K.per_frame(frames(spark, sf_dir), run, "n int, palette string")
 
 
 KEYS = [("gray", 128, 128, 128), ("black", 0, 0, 0), ("white", 255, 255, 255)]
@@ -136,10 +149,16 @@ p AS (SELECT *, d[floor(len(d) * 0.01)::INT + 1] AS low FROM d)
 SELECT image_id, name, low::BIGINT AS low FROM p QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY low DESC, pref) = 1""")
 def background_choice(spark, sf_dir: str) -> DataFrame:
     """Row 43: the background whose lower percentile of distance to the subject is greatest; ties by list order."""
-    keys = F.array(*[F.struct(F.lit(-k).alias("pref"), F.lit(n).alias("name"), F.lit(r).alias("kr"), F.lit(g).alias("kg"), F.lit(b).alias("kb")) for k, (n, r, g, b) in enumerate(KEYS)])
-    d = pixels(spark, sf_dir).where("a > 16").withColumn("k", F.explode(keys)).select("image_id", "k.pref", "k.name", F.expr("(r - k.kr) * (r - k.kr) + (g - k.kg) * (g - k.kg) + (b - k.kb) * (b - k.kb)").alias("d"))
-    low = d.groupBy("image_id", "pref", "name").agg(F.array_sort(F.collect_list("d")).alias("d")).withColumn("low", F.expr("d[cast(floor(size(d) * 0.01) as int)]").cast("long"))
-    return low.groupBy("image_id").agg(F.max_by(F.struct("name", "low"), F.struct("low", "pref")).alias("best")).select("image_id", "best.name", "best.low")
+
+    def run(p: np.ndarray) -> list[dict]:
+        subject = p[p[..., 3] > 16][:, :3]
+        if not len(subject):
+            return []
+        low = [int(np.sort(((subject - key) ** 2).sum(axis=1))[int(len(subject) * 0.01)]) for _, *key in KEYS]
+        best = low.index(max(low))
+        return [{"name": KEYS[best][0], "low": low[best]}]
+
+    return K.per_frame(frames(spark, sf_dir), run, "name string, low long")
 
 
 @query("px_key_safety", f"""WITH {PX}, k(pref, name, kr, kg, kb) AS (VALUES (0, 'magenta', 255, 0, 255), (1, 'green', 0, 255, 0), (2, 'blue', 0, 0, 255)),
@@ -149,8 +168,16 @@ SELECT image_id, name, exact, near, low FROM p QUALIFY row_number() OVER (PARTIT
 def key_safety(spark, sf_dir: str) -> DataFrame:
     """Row 44: the key with fewest exact, farthest first-percentile and fewest near subject pixels."""
     keys = [("magenta", 255, 0, 255), ("green", 0, 255, 0), ("blue", 0, 0, 255)]
-    array = F.array(*[F.struct(F.lit(-k).alias("pref"), F.lit(n).alias("name"), F.lit(r).alias("kr"), F.lit(g).alias("kg"), F.lit(b).alias("kb")) for k, (n, r, g, b) in enumerate(keys)])
-    d = pixels(spark, sf_dir).where("a > 16").withColumn("k", F.explode(array)).select("image_id", "k.pref", "k.name", F.expr("(r - k.kr) * (r - k.kr) + (g - k.kg) * (g - k.kg) + (b - k.kb) * (b - k.kb)").alias("d"))
-    g = d.groupBy("image_id", "pref", "name").agg(F.array_sort(F.collect_list("d")).alias("d"), F.count_if(F.col("d") <= 144).alias("exact"), F.count_if(F.col("d") <= 40000).alias("near"))
-    g = g.withColumn("low", F.expr("d[cast(rint((size(d) - 1) * 0.01) as int)]").cast("long"))
-    return g.groupBy("image_id").agg(F.max_by(F.struct("name", "exact", "near", "low"), F.struct(-F.col("exact"), "low", -F.col("near"), "pref")).alias("t")).select("image_id", "t.*")
+
+    def run(p: np.ndarray) -> list[dict]:
+        subject = p[p[..., 3] > 16][:, :3]
+        if not len(subject):
+            return []
+        found = []
+        for k, (name, *key) in enumerate(keys):
+            d = np.sort(((subject - key) ** 2).sum(axis=1))
+            exact, near, low = int((d <= 144).sum()), int((d <= 40000).sum()), int(d[int(np.rint((len(d) - 1) * 0.01))])
+            found.append(((exact, -low, near, k), {"name": name, "exact": exact, "near": near, "low": low}))
+        return [min(found, key=lambda f: f[0])[1]]
+
+    return K.per_frame(frames(spark, sf_dir), run, "name string, exact long, near long, low long")

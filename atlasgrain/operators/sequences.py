@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..sources.frames import PX, pixels
-from .frames import METRICS_SQL, bbox_metrics
+from ..sources.frames import PX, frames, with_pixels
+from . import kernels as K
+from .frames import METRICS_SQL, bbox_metrics, bounds
 
 
-def packed(px: DataFrame) -> DataFrame:
-    """One row a frame: arrays of alpha masks and channels in place order; pairs then need no pixel join."""
-    arrays = F.array_sort(F.collect_list(F.struct("i", "r", "g", "b", "a", "y")))
-    return px.groupBy("image_id", "seq", "fidx", "w", "h").agg(arrays.alias("p"))
+def packed(frames: DataFrame) -> DataFrame:
+    """Packed frames with an array of pixel structs; pairs of frames then need no pixel join and no regrouping."""
+    return with_pixels(frames)
 
 
 def _count(zipped: Column, test) -> Column:
@@ -34,11 +35,11 @@ def visual_diff(p: Column, q: Column, least: int = 24) -> Column:
     return F.when(F.size(z) > 0, changed / F.size(z)).otherwise(0.0)
 
 
-def pair_diffs(px: DataFrame, cyclic: bool = True) -> DataFrame:
+def pair_diffs(frames: DataFrame, cyclic: bool = True) -> DataFrame:
     """Rows 124 to 126: each frame against the next; the last against the first where ``cyclic`` and over two frames."""
     w = Window.partitionBy("seq").orderBy("fidx")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    f = packed(px).withColumn("next", F.lead("p").over(w)).withColumn("first", F.first("p").over(w)).withColumn("frames", F.count(F.lit(1)).over(whole))
+    f = packed(frames).withColumn("next", F.lead("p").over(w)).withColumn("first", F.first("p").over(w)).withColumn("frames", F.count(F.lit(1)).over(whole))
     f = f.withColumn("q", F.coalesce("next", F.when(F.lit(cyclic) & (F.col("frames") > 2), F.col("first")))).where("q IS NOT NULL")
     low = F.greatest(F.lit(0), F.least(F.col("h") - 1, F.rint(F.col("h") * 0.45).cast("int")))
     return f.select("seq", "fidx", "image_id", "frames", mask_diff(F.col("p"), F.col("q"), F.lit(0)).alias("diff"), mask_diff(F.col("p"), F.col("q"), low).alias("lower_diff"), visual_diff(F.col("p"), F.col("q")).alias("visual_diff"))
@@ -54,13 +55,12 @@ diffs AS (SELECT seq, fidx, image_id, frames, coalesce(count(*) FILTER (pa <> qa
 
 @query("seq_pair_diffs", f"WITH {PX}, {DIFFS} SELECT seq, fidx, image_id, frames::BIGINT AS frames, diff, lower_diff, visual_diff FROM diffs")
 def q_pairs(spark, sf_dir: str) -> DataFrame:
-    return pair_diffs(pixels(spark, sf_dir))
+    return pair_diffs(frames(spark, sf_dir))
 
 
-def metric_ranges(px: DataFrame) -> DataFrame:
+def metric_ranges(frames: DataFrame) -> DataFrame:
     """Rows 127, 128, 137: ranges of the bounds over a sequence, and the relative range of the area."""
-    ids = px.select("image_id", "seq", "fidx").where("i = 0")
-    m = bbox_metrics(px).join(ids, "image_id")
+    m = bbox_metrics(frames, ("seq", "fidx")).withColumns({c: F.col(c).cast("int") for c in ("seq", "fidx")})
     span = lambda c: F.max(c) - F.min(c)
     g = m.groupBy("seq").agg(*[span(c).alias(f"{c}_range") for c in ("width", "height", "center_x", "center_y", "bottom")], F.coalesce(span("alpha_area") / F.nullif(F.max("alpha_area"), F.lit(0.0)), F.lit(0.0)).alias("area_range"), F.max_by("fidx", F.struct("alpha_area", -F.col("fidx"))).alias("peak"), F.count(F.lit(1)).alias("frames"))
     return g.withColumn("jump_ok", F.greatest("center_y_range", "bottom_range") >= 0.035)
@@ -73,14 +73,14 @@ ranges AS (SELECT seq, max(width) - min(width) AS width_range, max(height) - min
 
 @query("seq_metric_ranges", f"WITH {PX}, {RANGES} SELECT * FROM ranges")
 def q_ranges(spark, sf_dir: str) -> DataFrame:
-    return metric_ranges(pixels(spark, sf_dir))
+    return metric_ranges(frames(spark, sf_dir))
 
 
 @query("seq_locomotion", f"""WITH {PX}, {DIFFS}, s AS (SELECT seq, round(avg(lower_diff), 9) AS average_lower, min(lower_diff) AS least_lower, any_value(frames)::BIGINT AS frames FROM diffs GROUP BY seq)
 SELECT seq, frames, average_lower, least_lower, CASE WHEN frames < 4 THEN NULL WHEN frames >= 6 THEN frames // 2 ELSE 2 END AS opposite, concat_ws(',', CASE WHEN average_lower < 0.10 THEN 'average' END, CASE WHEN least_lower < 0.04 THEN 'pair' END) AS errors FROM s""")
 def q_locomotion(spark, sf_dir: str) -> DataFrame:
     """Rows 133, 134: the lower body has to move between all frames; which frame is the opposite contact."""
-    s = pair_diffs(pixels(spark, sf_dir)).groupBy("seq").agg(F.round(F.avg("lower_diff"), 9).alias("average_lower"), F.min("lower_diff").alias("least_lower"), F.first("frames").alias("frames"))
+    s = pair_diffs(frames(spark, sf_dir)).groupBy("seq").agg(F.round(F.avg("lower_diff"), 9).alias("average_lower"), F.min("lower_diff").alias("least_lower"), F.first("frames").alias("frames"))
     errors = F.array_compact(F.array(F.when(F.col("average_lower") < 0.10, "average"), F.when(F.col("least_lower") < 0.04, "pair")))
     opposite = F.when(F.col("frames") < 4, None).when(F.col("frames") >= 6, F.floor(F.col("frames") / 2)).otherwise(2)
     return s.select("seq", "frames", "average_lower", "least_lower", opposite.cast("long").alias("opposite"), F.array_join(errors, ",").alias("errors"))
@@ -89,7 +89,7 @@ def q_locomotion(spark, sf_dir: str) -> DataFrame:
 @query("seq_motion_variation", f"""WITH {PX}, {DIFFS}, s AS (SELECT seq, round(avg(lower_diff), 9) AS m, min(lower_diff) AS l FROM diffs GROUP BY seq) SELECT seq, CASE WHEN m < 0.10 THEN 'average' WHEN l < 0.04 THEN 'pair' ELSE 'ok' END AS verdict FROM s""")
 def q_variation(spark, sf_dir: str) -> DataFrame:
     """Row 135: only the first failure counts."""
-    s = pair_diffs(pixels(spark, sf_dir)).groupBy("seq").agg(F.round(F.avg("lower_diff"), 9).alias("m"), F.min("lower_diff").alias("l"))
+    s = pair_diffs(frames(spark, sf_dir)).groupBy("seq").agg(F.round(F.avg("lower_diff"), 9).alias("m"), F.min("lower_diff").alias("l"))
     return s.select("seq", F.when(F.col("m") < 0.10, "average").when(F.col("l") < 0.04, "pair").otherwise("ok").alias("verdict"))
 
 
@@ -97,7 +97,7 @@ def q_variation(spark, sf_dir: str) -> DataFrame:
 SELECT seq, d AS average_diff, v AS average_visual, greatest(width_range, height_range, center_x_range, center_y_range, area_range) AS motion, greatest(width_range, height_range, center_x_range, center_y_range, area_range) < 0.045 AND d < 0.055 AND v < 0.003 AS static, peak IN (0, frames - 1) AS peak_at_end FROM ranges JOIN s USING (seq)""")
 def q_action(spark, sf_dir: str) -> DataFrame:
     """Rows 136, 138, 139: static only if ranges, silhouettes and colours all stay; a peak at either end is a warning."""
-    px = pixels(spark, sf_dir)
+    px = frames(spark, sf_dir)
     d = pair_diffs(px).groupBy("seq").agg(F.round(F.avg("diff"), 9).alias("average_diff"), F.round(F.avg("visual_diff"), 9).alias("average_visual"))
     motion = F.greatest("width_range", "height_range", "center_x_range", "center_y_range", "area_range")
     return metric_ranges(px).join(d, "seq").select("seq", "average_diff", "average_visual", motion.alias("motion"), ((motion < 0.045) & (F.col("average_diff") < 0.055) & (F.col("average_visual") < 0.003)).alias("static"), ((F.col("peak") == 0) | (F.col("peak") == F.col("frames") - 1)).alias("peak_at_end"))
@@ -108,17 +108,30 @@ SELECT seq, closure, inner_ AS in_loop, closure > greatest(0.18, inner_ * 1.35)
 def q_loop(spark, sf_dir: str) -> DataFrame:
     """Rows 131, 140: the step from the last frame to the first against the steps inside the loop."""
     last = F.col("fidx") == F.col("frames") - 1
-    s = pair_diffs(pixels(spark, sf_dir)).groupBy("seq").agg(F.max(F.when(last, F.col("diff"))).alias("closure"), F.round(F.avg(F.when(~last, F.col("diff"))), 9).alias("in_loop"))
+    s = pair_diffs(frames(spark, sf_dir)).groupBy("seq").agg(F.max(F.when(last, F.col("diff"))).alias("closure"), F.round(F.avg(F.when(~last, F.col("diff"))), 9).alias("in_loop"))
     return s.withColumn("broken", F.col("closure") > F.greatest(F.lit(0.18), F.col("in_loop") * 1.35))
 
 
-@query("seq_gesture", f"""WITH {PX}, z AS (SELECT seq, image_id AS first_id FROM px WHERE fidx = 0 AND i = 0), p AS (SELECT px.seq, px.fidx, px.image_id, px.a > 16 AS pa, q.a > 16 AS qa FROM px JOIN z USING (seq) JOIN px q ON q.image_id = z.first_id AND q.i = px.i WHERE px.fidx > 0 AND px.fidx < 5)
-SELECT image_id, seq, fidx, coalesce(count(*) FILTER (pa <> qa) / nullif(count(*) FILTER (pa OR qa), 0)::DOUBLE, 0.0::DOUBLE) AS diff FROM p GROUP BY image_id, seq, fidx""")
+@query("seq_gesture", f"""WITH {PX}, z AS (SELECT seq, image_id AS first_id FROM px WHERE fidx = 0 AND i = 0), p AS (SELECT px.seq, px.fidx, px.x, px.a > 16 AS pa, q.a > 16 AS qa FROM px JOIN z USING (seq) JOIN px q ON q.image_id = z.first_id AND q.i = px.i WHERE px.y >= 4),
+f AS (SELECT seq, fidx, coalesce(count(*) FILTER (pa <> qa) / nullif(count(*) FILTER (pa OR qa), 0)::DOUBLE, 0.0::DOUBLE) AS diff, (min(x) FILTER (pa) + max(x) FILTER (pa) + 1) / 16.0::DOUBLE AS center FROM p GROUP BY seq, fidx),
+g AS (SELECT seq, max(diff) AS most, coalesce(max(center) - min(center), 0.0::DOUBLE) AS wander, count(*) FILTER (center IS NULL)::BIGINT AS missing FROM f GROUP BY seq)
+SELECT *, concat_ws(',', CASE WHEN missing > 0 THEN 'missing' END, CASE WHEN most > 0.25 THEN 'moves' END, CASE WHEN wander > 0.025 THEN 'slides' END) AS errors FROM g""")
 def q_gesture(spark, sf_dir: str) -> DataFrame:
-    """Row 141: early frames against the first of their sequence."""
-    f = packed(pixels(spark, sf_dir).where("fidx < 5"))
-    first = f.where("fidx = 0").select("seq", F.col("p").alias("q"))
-    return f.where("fidx > 0").join(first, "seq").select("image_id", "seq", "fidx", mask_diff(F.col("p"), F.col("q"), F.lit(0)).alias("diff"))
+    """Row 141: in a gesture the lower body of every frame stays as in the first: there, at its place, in its shape."""
+    f = packed(frames(spark, sf_dir)).withColumn("q", F.first("p").over(Window.partitionBy("seq").orderBy("fidx")))
+    low = F.rint(F.col("h") * 0.45).cast("int")
+    feet = F.transform(F.filter("p", lambda s: (s["a"] > 16) & (s["y"] >= low)), lambda s: s["x"])
+    f = f.select("seq", mask_diff(F.col("p"), F.col("q"), low).alias("diff"), ((F.array_min(feet) + F.array_max(feet) + 1) / (2 * F.col("w"))).alias("center"))
+    g = f.groupBy("seq").agg(F.max("diff").alias("most"), F.coalesce(F.max("center") - F.min("center"), F.lit(0.0)).alias("wander"), F.count_if(F.col("center").isNull()).alias("missing"))
+    errors = F.array_compact(F.array(F.when(F.col("missing") > 0, "missing"), F.when(F.col("most") > 0.25, "moves"), F.when(F.col("wander") > 0.025, "slides")))
+    return g.withColumn("errors", F.array_join(errors, ","))
+
+
+@query("seq_tiny", f"""WITH {PX}, {DIFFS}, s AS (SELECT seq, any_value(frames)::BIGINT AS frames, round(avg(diff), 9) AS average FROM diffs GROUP BY seq) SELECT seq, average, frames > 4 AS warned, frames >= 2 AND average < 0.015 AS failed FROM s""")
+def q_tiny(spark, sf_dir: str) -> DataFrame:
+    """Row 142: changes of tiny frames have to be seen; over four frames are a warning."""
+    s = pair_diffs(frames(spark, sf_dir)).groupBy("seq").agg(F.first("frames").alias("frames"), F.round(F.avg("diff"), 9).alias("average"))
+    return s.select("seq", "average", (F.col("frames") > 4).alias("warned"), ((F.col("frames") >= 2) & (F.col("average") < 0.015)).alias("failed"))
 
 
 @query("seq_support", f"""WITH {PX}, c AS (SELECT image_id, seq, fidx, round(sum(x * a) / sum(a)::DOUBLE, 6) AS cx, round(sum(y * a) / sum(a)::DOUBLE, 6) AS cy FROM px WHERE a > 16 GROUP BY image_id, seq, fidx),
@@ -126,9 +139,14 @@ n AS (SELECT *, coalesce(lead(cx) OVER w, first_value(cx) OVER w) AS nx, coalesc
 SELECT image_id, seq, fidx, round(sqrt((nx - cx) * (nx - cx) + (ny - cy) * (ny - cy)), 6) AS step, CASE WHEN cx < 3.2 THEN 'left' WHEN cx > 3.8 THEN 'right' ELSE 'center' END AS side FROM n""")
 def q_support(spark, sf_dir: str) -> DataFrame:
     """Rows 129, 132: closed-loop steps of the weighted centre, and the side it is on."""
-    px = pixels(spark, sf_dir)
+
+    def run(p: np.ndarray) -> list[dict]:
+        y, x = np.nonzero(p[..., 3] > 16)
+        a = p[y, x, 3]
+        return [{"cx": round(int((x * a).sum()) / int(a.sum()), 6), "cy": round(int((y * a).sum()) / int(a.sum()), 6)}] if len(x) else []
+
     w = Window.partitionBy("seq").orderBy("fidx")
-    c = px.where("a > 16").groupBy("image_id", "seq", "fidx").agg(F.round(F.sum(F.expr("x * a")) / F.sum("a"), 6).alias("cx"), F.round(F.sum(F.expr("y * a")) / F.sum("a"), 6).alias("cy"))
+    c = K.per_frame(frames(spark, sf_dir), run, "cx double, cy double", ("seq", "fidx")).withColumns({k: F.col(k).cast("int") for k in ("seq", "fidx")})
     n = c.withColumns({f"n{k}": F.coalesce(F.lead(f"c{k}").over(w), F.first(f"c{k}").over(w)) for k in "xy"})
     step = F.sqrt((F.col("nx") - F.col("cx")) * (F.col("nx") - F.col("cx")) + (F.col("ny") - F.col("cy")) * (F.col("ny") - F.col("cy")))
     return n.select("image_id", "seq", "fidx", F.round(step, 6).alias("step"), F.when(F.col("cx") < 3.2, "left").when(F.col("cx") > 3.8, "right").otherwise("center").alias("side"))
@@ -148,7 +166,12 @@ def q_angles(spark, sf_dir: str) -> DataFrame:
 SELECT seq, max(abs(bottom - base))::INT AS drift, (max(lft) - min(lft))::INT AS root_range, max(abs(bottom - base)) <= 4 AS grounded FROM f GROUP BY seq""")
 def q_alignment(spark, sf_dir: str) -> DataFrame:
     """Rows 145, 153: how far frames leave the first one's baseline, and how far the left edge wanders."""
-    b = pixels(spark, sf_dir).groupBy("seq", "fidx").agg(F.max(F.when(F.col("a") > 16, F.col("y"))).alias("bottom"), F.min(F.when(F.col("a") > 16, F.col("x"))).alias("left"))
+
+    def run(p: np.ndarray) -> list[dict]:
+        x0, _, _, y1 = bounds(p[..., 3] > 16)
+        return [{"bottom": None if y1 is None else y1 - 1, "left": x0}]
+
+    b = K.per_frame(frames(spark, sf_dir), run, "bottom int, left int", ("seq", "fidx")).withColumn("seq", F.col("seq").cast("int"))
     f = b.withColumn("base", F.first("bottom").over(Window.partitionBy("seq").orderBy("fidx")))
     drift = F.max(F.abs(F.col("bottom") - F.col("base")))
     return f.groupBy("seq").agg(drift.alias("drift"), (F.max("left") - F.min("left")).alias("root_range"), (drift <= 4).alias("grounded"))
@@ -164,8 +187,8 @@ t(metric, low, high, spread) AS (VALUES ('opaque', 0.58, 1.55, 0.42), ('height',
 SELECT seq, metric, min(v) AS least, median(v) AS middle, max(v) AS most, min(v) < any_value(low) AS too_low, max(v) > any_value(high) AS too_high, max(v) - min(v) > any_value(spread) AS too_wide FROM u JOIN t USING (metric) GROUP BY seq, metric""")
 def q_identity(spark, sf_dir: str) -> DataFrame:
     """Rows 146, 151, 152: proxies of identity against the sequence's median, under a table of limits."""
-    px = pixels(spark, sf_dir)
-    m = bbox_metrics(px).join(px.where("i = 0").select("image_id", "seq"), "image_id").selectExpr("seq", "stack(3, 'opaque', alpha_area, 'height', height, 'width', width) as (metric, v)")
+    px = frames(spark, sf_dir)
+    m = bbox_metrics(frames(spark, sf_dir), ("seq",)).withColumn("seq", F.col("seq").cast("int")).selectExpr("seq", "stack(3, 'opaque', alpha_area, 'height', height, 'width', width) as (metric, v)")
     middle = m.groupBy("seq", "metric").agg(F.median("v").alias("reference")).where("reference > 0")
     limits = F.create_map(*[x for n, *v in IDENTITY for x in (F.lit(n), F.array(*map(F.lit, v)))])[F.col("metric")]
     g = m.join(middle, ["seq", "metric"]).withColumn("v", F.col("v") / F.col("reference")).groupBy("seq", "metric").agg(F.min("v").alias("least"), F.median("v").alias("middle"), F.max("v").alias("most"))
@@ -175,7 +198,7 @@ def q_identity(spark, sf_dir: str) -> DataFrame:
 @query("seq_outliers", f"""WITH {PX}, o AS (SELECT image_id, seq, count(*) FILTER (a > 0)::BIGINT AS area FROM px GROUP BY image_id, seq), m AS (SELECT *, median(area) OVER (PARTITION BY seq) AS mid FROM o) SELECT image_id, seq, area, area < 0.35 * mid OR area > 2.75 * mid AS outlier FROM m""")
 def q_outliers(spark, sf_dir: str) -> DataFrame:
     """Row 151."""
-    o = pixels(spark, sf_dir).groupBy("image_id", "seq").agg(F.count_if(F.col("a") > 0).alias("area"))
+    o = frames(spark, sf_dir).select("image_id", "seq", F.size(F.filter("a", lambda v: v > 0)).cast("long").alias("area"))
     mid = F.median("area").over(Window.partitionBy("seq"))
     return o.withColumn("m", mid).select("image_id", "seq", "area", ((F.col("area") < 0.35 * F.col("m")) | (F.col("area") > 2.75 * F.col("m"))).alias("outlier"))
 
@@ -212,10 +235,10 @@ def q_fallback(spark, sf_dir: str) -> DataFrame:
     return v.where(F.size(F.array_distinct("c")) == 4).select("seq", F.col("m.ord").alias("ord"), F.array_join(F.col("c").cast("array<string>"), ",").alias("frames"))
 
 
-def signature_distances(px: DataFrame) -> DataFrame:
+def signature_distances(frames: DataFrame) -> DataFrame:
     """Row 160: 0.72 of the silhouette difference and 0.28 of the mean colour difference to the next frame."""
     w = Window.partitionBy("seq").orderBy("fidx")
-    f = packed(px).withColumn("q", F.lead("p").over(w)).where("q IS NOT NULL")
+    f = packed(frames).withColumn("q", F.lead("p").over(w)).where("q IS NOT NULL")
     colour = F.aggregate(F.arrays_zip(F.col("p"), F.col("q")), F.lit(0), lambda s, z: s + sum(F.abs(z["p"][c] - z["q"][c]) for c in "rgb"))
     return f.select("seq", "fidx", (0.72 * mask_diff(F.col("p"), F.col("q"), F.lit(0)) + 0.28 * (colour / (3 * F.col("w") * F.col("h")) / 255)).alias("distance"))
 
@@ -224,25 +247,7 @@ def signature_distances(px: DataFrame) -> DataFrame:
 d AS (SELECT n.seq, n.fidx, count(*) FILTER ((p.a > 16) <> (q.a > 16)) AS xo, count(*) FILTER (p.a > 16 OR q.a > 16) AS un, sum(abs(p.r - q.r) + abs(p.g - q.g) + abs(p.b - q.b)) AS c FROM n JOIN px p USING (image_id) JOIN px q ON q.image_id = n.nxt AND q.i = p.i GROUP BY n.seq, n.fidx)
 SELECT seq, fidx, round(0.72::DOUBLE * coalesce(xo / nullif(un, 0)::DOUBLE, 0) + 0.28::DOUBLE * (c / 192::DOUBLE / 255), 9) AS distance FROM d""")
 def q_signature(spark, sf_dir: str) -> DataFrame:
-    return signature_distances(pixels(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
-
-
-@query("video_adaptive_sample")
-def q_adaptive(spark, sf_dir: str, n: int = 6) -> DataFrame:
-    """Rows 161, 162: by slot, the frame of greatest novelty near its uniform place; ties to the earlier frame.
-
-    Slots depend on the ones before, so they are n chained top-1 joins over a window of frames, not a driver loop.
-    """
-    d = signature_distances(pixels(spark, sf_dir))
-    total = d.groupBy("seq").agg((F.max("fidx") + 2).alias("total"))
-    picked = total.select("seq", "total", F.array(F.lit(0)).alias("frames"))
-    scored = d.select(F.col("seq").alias("s"), (F.col("fidx") + 1).alias("f"), "distance")
-    for k in range(1, n):
-        middle = F.expr(f"{k} * total div {n}")
-        reach = F.expr(f"greatest(1, total div {2 * n})")
-        near = picked.join(scored, (F.col("seq") == F.col("s")) & (F.col("f") > F.element_at("frames", -1)) & (F.col("f") >= middle - reach) & (F.col("f") <= middle + reach))
-        picked = near.groupBy("seq", "total", "frames").agg(F.max_by("f", F.struct("distance", -F.col("f"))).alias("f")).select("seq", "total", F.array_append("frames", F.col("f")).alias("frames"))
-    return picked.select("seq", F.array_join(F.col("frames").cast("array<string>"), ",").alias("frames"))
+    return signature_distances(frames(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
 
 
 @query("video_timeline_pages", """WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events) SELECT user_id, (k // 25)::BIGINT AS page, min(k)::BIGINT AS first_index, max(k)::BIGINT AS last_index, count(*)::BIGINT AS n FROM n GROUP BY user_id, k // 25""")
@@ -252,24 +257,10 @@ def q_pages(spark, sf_dir: str, page: int = 25) -> DataFrame:
     return n.groupBy("user_id", F.expr(f"k div {page}").alias("page")).agg(F.min("k").alias("first_index"), F.max("k").alias("last_index"), F.count(F.lit(1)).alias("n"))
 
 
-@query("video_repeat_bounds", f"""WITH {PX}, b AS (SELECT seq, fidx, sum(r + g + b)::DOUBLE AS light FROM px WHERE fidx < 24 GROUP BY seq, fidx), n AS (SELECT seq, count(*) AS total FROM b GROUP BY seq),
-p AS (SELECT s.seq, s.fidx AS st, e.fidx AS en, abs(s.light - e.light) / 1000 + 0.035 * (s.fidx + total - 1 - e.fidx) AS score FROM b s JOIN b e ON s.seq = e.seq AND e.fidx >= s.fidx + 4 JOIN n ON n.seq = s.seq)
-SELECT seq, st AS start_frame, en AS end_frame, round(score, 9) AS score FROM p QUALIFY row_number() OVER (PARTITION BY seq ORDER BY round(score, 9), st, en) = 1""")
-def q_repeat(spark, sf_dir: str, most: int = 24) -> DataFrame:
-    """Row 171: the best start and end of a loop; pairs are bounded by the search window."""
-    b = pixels(spark, sf_dir).where(F.col("fidx") < most).groupBy("seq", "fidx").agg(F.sum(F.expr("r + g + b")).cast("double").alias("light"))
-    total = F.count(F.lit(1)).over(Window.partitionBy("seq"))
-    s, e = b.withColumn("total", total).alias("s"), b.alias("e")
-    score = F.abs(F.col("s.light") - F.col("e.light")) / 1000 + 0.035 * (F.col("s.fidx") + F.col("total") - 1 - F.col("e.fidx"))
-    p = s.join(e, (F.col("s.seq") == F.col("e.seq")) & (F.col("e.fidx") >= F.col("s.fidx") + 4)).select("s.seq", F.col("s.fidx").alias("start_frame"), F.col("e.fidx").alias("end_frame"), F.round(score, 9).alias("score"))
-    return p.groupBy("seq").agg(F.min(F.struct("score", "start_frame", "end_frame")).alias("m")).select("seq", "m.start_frame", "m.end_frame", "m.score")
-
-
 @query("video_locomotion_scale", f"""WITH {PX}, {METRICS_SQL}, m AS (SELECT bx.seq, bx.fidx, height FROM metrics JOIN bx USING (image_id)), f AS (SELECT *, first_value(height) OVER (PARTITION BY seq ORDER BY fidx) AS h0 FROM m)
 SELECT seq, min(height / h0) AS least, max(height / h0) AS most, min(height / h0) >= 0.78 AND max(height / h0) <= 1.22 AS ok FROM f WHERE h0 > 0 AND fidx > 0 GROUP BY seq""")
 def q_scale(spark, sf_dir: str) -> DataFrame:
     """Rows 163, 164: heights against the first frame."""
-    px = pixels(spark, sf_dir)
-    m = bbox_metrics(px).join(px.where("i = 0").select("image_id", "seq", "fidx"), "image_id").withColumn("h0", F.first("height").over(Window.partitionBy("seq").orderBy("fidx")))
+    m = bbox_metrics(frames(spark, sf_dir), ("seq", "fidx")).withColumn("seq", F.col("seq").cast("int")).withColumn("h0", F.first("height").over(Window.partitionBy("seq").orderBy("fidx")))
     ratio = F.col("height") / F.col("h0")
     return m.where("h0 > 0 AND fidx > 0").groupBy("seq").agg(F.min(ratio).alias("least"), F.max(ratio).alias("most"), ((F.min(ratio) >= 0.78) & (F.max(ratio) <= 1.22)).alias("ok"))

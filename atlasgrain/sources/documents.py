@@ -16,6 +16,31 @@ def json_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return body.select("path", F.when(kind.startswith("OBJECT"), F.col("body")).alias("body"), F.when(F.col("body").isNull(), "not JSON").when(~kind.startswith("OBJECT"), "root is not an object").alias("error"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern matches anything, by the file system that Spark reads it from."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def optional_documents(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Rows 5, 6: like ``json_documents``, but no file is no row; a document of another kind is an error, not a default."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "path string, error string").select("path", F.lit("{}").alias("b"), "error").select("path", F.parse_json("b").alias("body"), "error")
+    docs = json_documents(spark, path)
+    if kind is None:
+        return docs
+    told = F.try_variant_get("body", "$.kind", "string")
+    return docs.withColumn("error", F.coalesce("error", F.when(~(told == kind) | told.isNull(), F.concat(F.lit("kind is not "), F.lit(kind)))))
+
+
+def presets(docs: DataFrame) -> DataFrame:
+    """Row 4: the entries of catalogues (``json_documents``): path, preset and entry (variant)."""
+    held = F.coalesce(F.try_variant_get("body", "$.presets", "variant"), F.col("body"))
+    named = F.from_json(F.to_json(held), "map<string,variant>")
+    return docs.where("error IS NULL").select("path", F.explode(named).alias("preset", "entry"))
+
+
 def artifacts(spark: SparkSession, folder: str, declared: DataFrame) -> DataFrame:
     """``declared`` (path, ...) with sha256, size_bytes and state: present or missing. Paths are relative to ``folder``."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -35,9 +60,11 @@ def png_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Frames of a folder of PNG files, decoded in the executors: packed arrays, file order, and the common cell size."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(folder)
     frames = from_png(files)
-    over = Window.partitionBy()
-    # one row a file, without pixels, is numbered; pixels join back by path
-    order = frames.where("error IS NULL").select("path", "w", "h").withColumns({"fidx": F.row_number().over(Window.orderBy("path")) - 1, "cell_w": F.max("w").over(over), "cell_h": F.max("h").over(over)}).drop("w", "h")
+    folder_of = F.regexp_replace("path", "/[^/]*$", "")
+    # one row a file, without pixels, is numbered in its own folder; pixels join back by path
+    plain = frames.where("error IS NULL").select("path", "w", "h", folder_of.alias("folder"))
+    over = Window.partitionBy("folder")
+    order = plain.withColumns({"fidx": F.row_number().over(over.orderBy("path")) - 1, "cell_w": F.max("w").over(over), "cell_h": F.max("h").over(over)}).drop("w", "h", "folder")
     return frames.join(order, "path", "left")
 
 
@@ -77,6 +104,49 @@ def write_png(frames: DataFrame) -> DataFrame:
     return frames.select("path", "w", "h", "r", "g", "b", "a").mapInArrow(run, "path string, content binary").withColumn("sha256", F.sha2("content", 256))
 
 
+def atlases(packed: DataFrame, columns: int = 8) -> DataFrame:
+    """Row 19: one PNG sheet a sequence, with its digest and size, and the cells of its frames in order."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..operators.segmentation import sheets
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                out.append((r["seq"], r["w"], r["h"], encode_png(np.stack([np.array(r[c]) for c in "rgba"], axis=1).reshape(r["h"], r["w"], 4))))
+            columns_ = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns_, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["seq", "sheet_w", "sheet_h", "content"])
+
+    laid = sheets(packed, columns).select("seq", "w", "h", "r", "g", "b", "a").mapInArrow(run, "seq long, sheet_w int, sheet_h int, content binary")
+    cell = F.struct("fidx", (F.col("fidx") % columns * F.col("w")).alias("x"), (F.floor(F.col("fidx") / columns).cast("int") * F.col("h")).alias("y"), "w", "h")
+    cells = packed.groupBy(F.col("seq").cast("long").alias("seq")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return laid.join(cells, "seq").select("*", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"))
+
+
+def animations(packed: DataFrame, delay_ms: int = 125, loop: bool = True, threshold: int = 128) -> DataFrame:
+    """Row 22: one GIF a sequence (seq, content), with its report: frames, delay in hundredths, whether all are transparent."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .gif import encode_gif, gif_report
+
+    def run(table):
+        order = np.argsort(table["fidx"].to_numpy(), kind="stable").tolist()
+        w, h, cells = table["w"][0].as_py(), table["h"][0].as_py(), [table[c].to_pylist() for c in "rgba"]
+        data = encode_gif([np.stack([np.array(c[k]) for c in cells], axis=1).reshape(h, w, 4) for k in order], delay_ms, loop, threshold)
+        report = gif_report(data)
+        return pa.table({"seq": pa.array([table["seq"][0].as_py()], pa.int64()), "content": pa.array([data], pa.binary()), "frames": pa.array([report["frames"]], pa.int32()), "delay_ticks": pa.array([report["delay_ticks"]], pa.int32()), "transparent": pa.array([report["transparent"]], pa.bool_())})
+
+    return packed.select(F.col("seq").cast("long"), "fidx", "w", "h", "r", "g", "b", "a").groupBy("seq").applyInArrow(run, "seq long, content binary, frames int, delay_ticks int, transparent boolean")
+
+
+def write_bytes(rows: DataFrame, path: str) -> None:
+    """Row 18: (path, content) rows as Parquet by Spark's commit protocol: a reader sees all rows of a write or none."""
+    rows.select("path", "content").write.mode("overwrite").parquet(path)
+
+
 def write_reports(results: DataFrame, path: str) -> None:
     """One JSON line for each result, by Spark's commit protocol: all files appear or none."""
     results.select(F.to_json(F.struct(*results.columns)).alias("value")).write.mode("overwrite").text(path)

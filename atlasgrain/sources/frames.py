@@ -1,7 +1,7 @@
-"""Frames as tables of pixels: image_id, seq, fidx, w, h, i, x, y, r, g, b, a.
+"""Frames, packed (one row each, row-major channel arrays) or as tables of pixels (image_id, seq, fidx, w, h, i, x, y, r, g, b, a).
 
-``from_vectors`` reads a vector table as small square rasters; ``from_packed`` explodes packed frames (row-major
-channel arrays); ``from_png`` decodes PNG files in executors.
+``from_vectors`` reads a vector table as small square rasters; ``from_packed`` explodes packed frames where a question
+is about pixels; ``from_png`` decodes PNG files in executors.
 """
 
 from __future__ import annotations
@@ -24,21 +24,37 @@ PX = """px AS (SELECT image_id, seq, fidx, 8 AS w, 8 AS h, i, (i % 8)::INT AS x,
 
 
 def from_vectors(vectors: DataFrame, side: int = 8) -> DataFrame:
-    """Rasters of ``side`` x ``side`` from (vec_id, embedding, label); label is the sequence, vec_id its order."""
+    """Packed rasters of ``side`` x ``side`` from (vec_id, embedding, label); label is the sequence, vec_id its order.
+
+    One row a frame: image_id, seq, fidx, w, h and row-major arrays r, g, b, a. The order within a sequence costs a
+    shuffle of packed frames, and only where fidx is read.
+    """
     n = side * side
     order = Window.partitionBy("label").orderBy("vec_id")
-    frames = vectors.select(F.col("vec_id").alias("image_id"), F.col("label").alias("seq"), (F.row_number().over(order) - 1).alias("fidx"), F.col("embedding").alias("v"))
-    level = lambda k: F.least(F.lit(255), F.floor(F.abs(F.expr(f"v[(i + {k}) % {n}]").cast("double")) * 1024)).cast("int")
-    return frames.select("image_id", "seq", "fidx", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select(
-        "image_id", "seq", "fidx", F.lit(side).alias("w"), F.lit(side).alias("h"), "i", (F.col("i") % side).alias("x"), F.floor(F.col("i") / side).cast("int").alias("y"),
-        level(21).alias("r"), level(37).alias("g"), level(53).alias("b"), F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.expr("v[i]").cast("double") * 1024))).cast("int").alias("a"),
+    level = lambda k: f"transform(sequence(0, {n - 1}), i -> cast(least(255, floor(abs(cast(embedding[(i + {k}) % {n}] as double)) * 1024)) as int))"
+    alpha = f"transform(sequence(0, {n - 1}), i -> cast(greatest(0, least(255, floor(cast(embedding[i] as double) * 1024))) as int))"
+    return vectors.select(
+        F.col("vec_id").alias("image_id"), F.col("label").alias("seq"), (F.row_number().over(order) - 1).alias("fidx"), F.lit(side).alias("w"), F.lit(side).alias("h"),
+        F.expr(level(21)).alias("r"), F.expr(level(37)).alias("g"), F.expr(level(53)).alias("b"), F.expr(alpha).alias("a"),
     )
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed frames of a data folder."""
     return from_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_packed(frames(spark, sf_dir))
+
+
+def with_pixels(packed: DataFrame, name: str = "p") -> DataFrame:
+    """Packed frames with one array of pixel structs (i, x, y, r, g, b, a) in place of the channels."""
+    zipped = F.arrays_zip("r", "g", "b", "a")
+    at = lambda z, i: F.struct(i.alias("i"), (i % F.col("w")).alias("x"), F.floor(i / F.col("w")).cast("int").alias("y"), *[z[c].cast("int").alias(c) for c in "rgba"])
+    return packed.select("image_id", "seq", "fidx", "w", "h", F.transform(zipped, at).alias(name))
+
+
 def from_packed(frames: DataFrame) -> DataFrame:
     """Pixels of packed frames (image_id, seq, fidx, w, h and arrays r, g, b, a, row-major)."""
     zipped = F.arrays_zip("r", "g", "b", "a")
@@ -47,6 +63,21 @@ def from_packed(frames: DataFrame) -> DataFrame:
     )
 
 
+def _unfilter(mode: int, line: list[int], above: list[int], channels: int) -> np.ndarray:
+    """Average and Paeth rows: each byte needs the one before it."""
+    row = [0] * channels + line
+    up = [0] * channels + above
+    for k in range(channels, len(row)):
+        a, b, c = row[k - channels], up[k], up[k - channels]
+        if mode == 3:
+            p = (a + b) >> 1
+        else:
+            x, y, z = abs(b - c), abs(a - c), abs(a + b - c - c)
+            p = a if x <= y and x <= z else b if y <= z else c
+        row[k] = (row[k] + p) & 255
+    return np.array(row[channels:], dtype=np.int32)
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """An 8-bit, not interlaced PNG as height x width x RGBA."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
@@ -74,21 +105,12 @@ def decode_png(data: bytes) -> np.ndarray:
         mode, line = raw[y, 0], raw[y, 1:].astype(np.int32)
         if mode == 0:
             row = line
+        elif mode == 1:
+            row = np.cumsum(line.reshape(w, channels), axis=0).ravel()
         elif mode == 2:
             row = line + above
         else:
-            row = np.zeros_like(line)
-            for k in range(len(line)):
-                a = row[k - channels] if k >= channels else 0
-                b, c = above[k], above[k - channels] if k >= channels else 0
-                if mode == 1:
-                    p = a
-                elif mode == 3:
-                    p = (a + b) // 2
-                else:
-                    q = a + b - c
-                    p = min((abs(q - a), 0, a), (abs(q - b), 1, b), (abs(q - c), 2, c))[2]
-                row[k] = (line[k] + p) & 255
+            row = _unfilter(mode, line.tolist(), above.tolist(), channels)
         above = row & 255
         out[y] = above
     x = out.reshape(h, w, channels)

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.frames import measure_frame, validate_frame
-from ..sources.frames import from_packed, from_png
+from ..sources.frames import from_png
 
 
 def judge(files: DataFrame) -> DataFrame:
     """path, ok, failures and error of binaryFile rows."""
     frames = from_png(files).withColumn("image_id", F.xxhash64("path"))
     good = frames.where("error IS NULL").withColumns({"seq": F.lit(0), "fidx": F.lit(0)})
-    verdicts = validate_frame(measure_frame(from_packed(good)))
+    verdicts = validate_frame(measure_frame(good))
     return frames.select("path", "image_id", "error").join(verdicts.select("image_id", "ok", "failures"), "image_id", "left").select("path", F.coalesce("ok", F.lit(False)).alias("ok"), "failures", "error")
 
 

@@ -1,6 +1,8 @@
 """The reference's operators: hand-made frames, files and records, and every query against its SQL."""
 
+import itertools
 import json
+import math
 import os
 
 import numpy as np
@@ -8,24 +10,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlasgrain.functions import colour, text
-from atlasgrain.operators import frames, kernels, segmentation, sequences
+from atlasgrain.operators import contracts, frames, integrity, kernels, mattes, pixels, segmentation, sequences, transforms, video
 from atlasgrain.plans import catalog
-from atlasgrain.sources import documents
+from atlasgrain.sources import documents, gif
 from atlasgrain.sources import frames as source
 
 DATA = "/root/testdata/sf0.001"
 
 
 def frame(spark, *images):
-    """Pixels of (alpha rectangle list, side) images; white where solid."""
+    """Packed frames of (alpha rectangle list, side) images; white where solid."""
     rows = []
     for k, (rects, side) in enumerate(images):
         a = np.zeros((side, side), int)
         for x0, y0, x1, y1 in rects:
             a[y0 : y1 + 1, x0 : x1 + 1] = 255
         rows.append((k, 0, k, side, side, *[a.ravel().tolist()] * 4))
-    packed = spark.createDataFrame(rows, "image_id long, seq int, fidx int, w int, h int, r array<int>, g array<int>, b array<int>, a array<int>")
-    return source.from_packed(packed)
+    return spark.createDataFrame(rows, "image_id long, seq int, fidx int, w int, h int, r array<int>, g array<int>, b array<int>, a array<int>")
 
 
 def test_bounds_and_contacts(spark):
@@ -52,7 +53,7 @@ def test_margin_and_band_take_corners_as_said(spark):
 def test_components_connectivity(spark):
     px = frame(spark, ([(0, 0, 0, 0), (1, 1, 1, 1), (3, 0, 4, 1)], 6))
     assert [(r.ord, r.area) for r in frames.components(px).orderBy("ord").collect()] == [(1, 1), (2, 4), (3, 1)]
-    assert frames.largest_component(px).first().largest == 4
+    assert frames.measure_frame(px).first().largest == 4
     assert [(r.ord, r.area) for r in frames.components(px, steps=kernels.EIGHT).orderBy("ord").collect()] == [(1, 2), (2, 4)]
 
 
@@ -64,7 +65,236 @@ def test_kernels():
     one = np.zeros((5, 5), bool)
     one[2, 2] = True
     assert kernels.dilate(one).sum() == 9 and kernels.dilate(one, 2).sum() == 25
-    assert kernels.dp_cuts([5, 5, 0, 5, 5, 0, 5, 5], 0, 8, 3) == [2, 5]
+    assert kernels.cheapest_cuts([5, 5, 0, 5, 5, 0, 5, 5], 0, 8, 3) == [2, 5]
+
+
+def flood(mask, steps):
+    """Components pixel by pixel, in raster order."""
+    out, n = np.zeros(mask.shape, int), 0
+    for y, x in np.argwhere(mask):
+        if not out[y, x]:
+            n += 1
+            todo = [(y, x)]
+            while todo:
+                v, u = todo.pop()
+                if 0 <= v < mask.shape[0] and 0 <= u < mask.shape[1] and mask[v, u] and not out[v, u]:
+                    out[v, u] = n
+                    todo += [(v + dy, u + dx) for dy, dx in steps]
+    return out
+
+
+def test_labels_against_a_flood():
+    r = np.random.default_rng(1)
+    for k in range(60):
+        mask = r.random((r.integers(1, 14), r.integers(1, 14))) < (0.3, 0.5, 0.7)[k % 3]
+        for steps in (kernels.FOUR, kernels.EIGHT):
+            assert (kernels.label(mask, steps) == flood(mask, steps)).all()
+
+
+def test_cuts_against_all_choices():
+    r = np.random.default_rng(2)
+    for _ in range(60):
+        n, parts = int(r.integers(4, 15)), int(r.integers(2, 5))
+        v, even = r.integers(0, 9, n).tolist(), n / parts
+        least = max(2, int(even * 0.45))
+        fits = [c for c in itertools.combinations(range(1, n), parts - 1) if all(b - a >= least for a, b in zip((0, *c), (*c, n), strict=True))]
+        cost = lambda c: sum(v[x] for x in c) + sum(0.0015 * (b - a - even) ** 2 for a, b in zip((0, *c), (*c, n), strict=True))  # noqa: E731, B023
+        got = kernels.cheapest_cuts(v, 0, n, parts)
+        assert (cost(got) == pytest.approx(min(map(cost, fits)))) if fits else got == []
+
+
+def sprite(*boxes, size=(220, 140)):
+    p = np.zeros((size[1], size[0], 4), int)
+    for x0, y0, x1, y1 in boxes:
+        p[y0 : y1 + 1, x0 : x1 + 1] = 255
+    return p
+
+
+def test_spans_of_strips():
+    three = sprite((5, 10, 44, 54), (80, 5, 124, 57), (160, 5, 199, 90))
+    spans, report = segmentation.projection_spans(three, 3)
+    assert len(spans) == 3 and report == {"ok": True, "natural": 3, "forced": False, "warning": ""}
+    one = sprite((10, 10, 209, 60))
+    spans, report = segmentation.projection_spans(one, 4)
+    assert len(spans) == 4 and report["forced"] and report["natural"] == 1 and report["ok"] and report["warning"] == "count"
+    assert segmentation.projection_spans(sprite(), 2)[1]["warning"] == "no content" and segmentation.projection_spans(one, 0)[1]["warning"] == "expected"
+    bands = segmentation.grid_projection(np.concatenate([three, one]), 3, 2)
+    assert [(b["top"], b["bottom"], b["warning"]) for b in bands] == [(0, 140, ""), (140, 280, "count")]
+    assert segmentation.pose_peaks(np.array([0, 5, 1]), 0, 2) == [1] and segmentation.pose_peaks(np.array([3, 3, 3, 3]), 0, 4) == [2]
+
+
+def test_auto_layout_merges_and_clusters():
+    p = sprite((5, 5, 44, 54), (80, 8, 124, 57), (48, 20, 52, 40), (10, 80, 50, 130))
+    rows = segmentation.auto_layout(p)
+    assert [[(b[0], b[2]) for b in row] for row in rows] == [[(5, 53), (80, 125)], [(10, 51)]]
+
+
+def test_affine_maps_back():
+    p = np.arange(64 * 4).reshape(8, 8, 4)
+    assert (transforms.affine(p, {}, (8, 8)) == p).all() and (transforms.affine(p, {"flipX": 1}, (8, 8)) == p[:, ::-1]).all()
+    assert (transforms.affine(p, {"rotate": 90}, (8, 8)) == np.rot90(p)).all()
+    assert (transforms.affine(p + 1, {"scale": 2.0}, (8, 8)) > 0).all()  # no holes
+    assert (transforms.affine(p, {"dx": 2, "dy": 1}, (8, 8))[1:, 2:] == p[:-1, :-2]).all()
+    flat = transforms.affine_inverse({"scale": 0.0}, (8, 8), (8, 8))
+    assert all(np.isfinite(flat))
+
+
+def slow_resize(p, w, h, name):
+    """The same filter, one target pixel at a time."""
+    reach, weight = transforms.FILTERS[name]
+
+    def line(values, new):
+        old, out = len(values), []
+        ratio, wide = old / new, max(1.0, old / new)
+        for t in range(new):
+            c = (t + 0.5) * ratio
+            near = range(max(0, math.floor(c - reach * wide + 0.5)), min(old, math.floor(c + reach * wide + 0.5)))
+            k = [float(weight(np.array((i - c + 0.5) / wide))) for i in near]
+            out.append(min(255, max(0, math.floor(sum(a * values[i] for a, i in zip(k, near, strict=True)) / sum(k) + 0.5))))
+        return out
+
+    planes = [np.floor(p[..., c] * p[..., 3] / 255 + 0.5) if c < 3 else p[..., 3] for c in range(4)]
+    planes = [np.array([line(r, w) for r in x.tolist()]) for x in planes]
+    planes = [np.array([line(r, h) for r in x.T.tolist()]).T for x in planes]
+    a = planes[3]
+    return np.stack([np.where(a > 0, np.minimum(255, 255 * x // np.maximum(a, 1)), 0) for x in planes[:3]] + [a], axis=2)
+
+
+def test_resizing():
+    p = np.random.default_rng(3).integers(0, 256, (7, 9, 4))
+    assert np.abs(transforms.resize(p, 4, 5) - slow_resize(p, 4, 5, "lanczos")).max() <= 1 and np.abs(transforms.resize(p, 12, 8) - slow_resize(p, 12, 8, "bicubic")).max() <= 1
+    flat = np.full((6, 6, 4), 200)
+    assert (transforms.resize(flat, 4, 3)[..., 3] == 200).all() and np.abs(transforms.resize(flat, 13, 9)[..., :3] - 200).max() <= 1
+    assert transforms.resize(p, 18, 14, pixel_art=True, whole_scale=True).shape == (14, 18, 4)
+    with pytest.raises(ValueError, match="ratio"):
+        transforms.resize(p, 18, 15, pixel_art=True, whole_scale=True)
+    assert transforms.fit_cover(p, 3, 3, True).shape == (3, 3, 4) and transforms.fit_locked(p, 3, 3) is None and (transforms.fit_locked(p, 9, 7) == p).all()
+
+
+def moving(offsets):
+    out = []
+    for d in offsets:
+        p = np.zeros((32, 32, 4), int)
+        p[..., 3] = 255
+        p[8:23, 10 + d : 22 + d, :3] = 230
+        out.append(video.signature(p))
+    return out
+
+
+def test_adaptive_samples_find_the_extremes():
+    swing = moving([0, 0, 0, -1, -3, -5, -3, -1, 0, 0, 0, 1, 3, 5, 3, 1, 0, 0, 0])
+    best = video.adaptive_sample(swing, 4)[0][1]
+    assert best[0] == 0 and 4 <= best[1] <= 6 and 8 <= best[2] <= 10 and 12 <= best[3] <= 14
+    wave = moving([round(5 * math.sin(2 * math.pi * k / 36)) for k in range(36)])
+    ranked = video.adaptive_sample(wave, 6)
+    assert 1 <= len(ranked) <= 8 and all(len(set(c)) == 6 and c == sorted(c) and c[0] == 0 for _, c in ranked)
+    assert [m for m, _ in ranked] == sorted([m for m, _ in ranked], reverse=True)
+    with pytest.raises(ValueError, match="few"):
+        video.adaptive_sample(wave[:17], 6)
+
+
+def test_slots_by_hand():
+    """Each slot takes the greatest of marks that are written out here anew."""
+    s = moving([0, 1, 4, 2, 5, -3, 0, 2, -5, 4, 1, 0, 3, -2, 5, 0, 1, -4])
+    v = video.Poses(s)
+    for shift, novelty, anchor in video.VARIANTS:
+        window, chosen, total = max(2, 18 // 12), [0], 0.0
+        for slot in range(1, 6):
+            target = slot * 18 / 6 + shift * window
+            low, high = max(chosen[-1] + 1, round(target - window)), min(17, round(target + window), 17 - (6 - slot - 1))
+            if low > high:
+                break
+            mark = {k: novelty * video.distance(s[chosen[-1]], s[k]) + anchor * video.distance(s[0], s[k]) + 0.12 * v.calm[k] + 0.08 * (1 - min(1, abs(k - target) / window)) - 2.0 * (s[k].border > 0) for k in range(low, high + 1)}
+            best = max(mark, key=mark.get)
+            total, chosen = total + mark[best], [*chosen, best]
+        if len(chosen) == 6:
+            assert any(c == chosen and m == pytest.approx(total) for m, c in video.slot_choices(v, 6))
+
+
+def test_signature():
+    p = np.zeros((64, 64, 4), int)
+    p[10:50, 20:40, :3] = 200
+    s = video.signature(p)
+    assert (s.width, s.height, s.core_height, s.border) == (20 / 64, 40 / 64, 40 / 64, 0.0) and s.area == 800 / 4096
+    assert s.center_x == pytest.approx(29.5 / 63) and video.distance(s, s) == 0
+
+
+def test_repeat_bounds_of_a_period():
+    x = np.arange(64)
+    p = np.zeros((16, 64, 4), int)
+    p[..., :3] = (127 + 120 * np.sin(2 * np.pi * x / 20))[None, :, None].astype(int)
+    found = video.repeat_bounds(p, 0.2)
+    assert (found["end_frame"] - found["start_frame"]) % 20 == 0 and found["error"] < 0.02
+    dark = video.repeat_bounds(p, 0.2, dark=True)
+    assert dark["light"] <= found["light"]
+
+
+def test_edge_palette_by_hand():
+    p = np.zeros((4, 4, 4), int)
+    p[..., 3] = 255
+    p[0, :, 0], p[3, :3, 1], p[1:3, 1:3, 2] = 200, 180, 250
+    assert pixels.border_palette(p) == [(0, 0, 0), (200, 0, 0), (0, 180, 0)]
+    p[1, 0, :3] = (190, 0, 0)
+    assert (190, 0, 0) not in pixels.border_palette(p) and pixels.border_palette(p, most=1) == [(200, 0, 0)]
+
+
+def test_restored_regions():
+    source_ = np.zeros((40, 40, 4), int)
+    source_[..., 3] = 255
+    source_[5:25, 5:25, :3] = 220
+    source_[30:38, 30:38, :3] = 220
+    cut = source_.copy()
+    cut[..., 3] = 0
+    cut[5:9, 5:25, 3] = 255
+    out, n = mattes.restore_regions(source_, cut, [(0, 0, 0)])
+    assert n == 16 * 20 and out[20, 20, 3] == 255 and out[34, 34, 3] == 0 and out[0, 0, 3] == 0
+    assert mattes.restore_regions(source_, cut, [(0, 0, 0)], detached=True)[1] == 16 * 20 + 64
+    assert mattes.restore_regions(source_, cut, [(0, 0, 0)], least=401)[1] == 0 and mattes.restore_regions(source_, cut, [])[1] == 0
+
+
+def test_cycles_of_any_length(spark):
+    chain = [(k, (k + 1) % 300) for k in range(300)] + [(1000, 0), (1001, 1000), (400, 400), (500, 501), (501, None), (None, 3)]
+    got = {(r.start, r.length) for r in integrity.reference_cycles(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {(0, 300), (400, 1)}
+
+
+def test_gif_and_atlas(spark):
+    two = frame(spark, ([(1, 1, 3, 3)], 8), ([(2, 2, 5, 5)], 8))
+    a = documents.animations(two, 90).first()
+    assert (a.frames, a.delay_ticks, a.transparent) == (2, 9, True) and bytes(a.content)[:6] == b"GIF89a"
+    assert gif.gif_report(bytes(a.content))["loop"]
+    sheet = documents.atlases(two, 2).first()
+    image = source.decode_png(bytes(sheet.content))
+    assert image.shape == (8, 16, 4) and image[3, 11, 3] == 255 and [(c.x, c.y) for c in sheet.cells] == [(0, 0), (8, 0)] and sheet.size_bytes == len(sheet.content)
+
+
+def test_contract_rules(spark):
+    rows = [("r", 1, "approved", "human", "a long enough reason here", ["walk: head"], ["walk: head"], [(p, "1") for p in ["sprite-request.json", "frames/frames-manifest.json", "sprite-sheet-alpha.png", "qa/background-matte-review.png", "qa/walk-contact.png", "qa/walk-onion.png"]])]
+    review = spark.createDataFrame(rows, "run_id string, version int, status string, reviewer string, reason string, covered array<string>, errors array<string>, pins array<struct<path:string,sha:string>>")
+    files = spark.createDataFrame([("r", p, "1") for p, _ in rows[0][-1]], "run_id string, path string, sha string")
+    assert contracts.waiver_issues(review, files).first().issues == []
+    assert contracts.waiver_issues(review, files.where("path <> 'sprite-sheet-alpha.png'")).first().issues == ["changed"]
+    worse = review.withColumns({"errors": F.array(F.lit("walk: head"), F.lit("run: tail")), "reason": F.lit("short"), "version": F.lit(None).cast("int")})
+    assert contracts.waiver_issues(worse, files).first().issues == ["version", "reason", "errors", "evidence"]
+    t = spark.createDataFrame([("side", "right"), ("front", "center")], "view string, facing string")
+    assert {tuple(r) for r in contracts.missing_signatures(t).collect()} == set(contracts.SIGNATURES[2:])
+    cases = [("a-b", "p" * 40, "r" * 30, "s", "x", ["y"]), ("a-b", "p" * 40, "r" * 30, "s", None, ["y", "x"]), ("A", "", None, "z", "q", ["x", "x"])]
+    found = contracts.routing_errors(spark.createDataFrame(cases, "id string, prompt string, rationale string, scope string, selected string, excluded array<string>"), ["x", "y"], ["s"])
+    assert sorted(r.errors for r in found.collect()) == [["duplicate"], ["duplicate"], ["id", "prompt", "rationale", "scope", "selected", "excluded"]]
+    docs = spark.createDataFrame([(1, '{"a":1,"b":"x"}'), (2, '{"b":"x","a":1}'), (3, "[")], "id int, json string")
+    assert [r.changed for r in contracts.migrated(docs, "struct<a:int,b:string>").orderBy("id").collect()] == [False, True, None]
+    bad = spark.range(1).select(contracts.request_errors(F.lit(1), F.lit("sprite-gen-request"), F.lit(None).cast("string"), F.lit("tiles"), F.lit("slots"), F.lit(0)).alias("e")).first().e
+    assert bad == ["version", "asset_kind", "states"]
+    with pytest.raises(ValueError, match="gate"):
+        contracts.gate_policy(spark.range(0).toDF("request_id"), selectors=["no-gate"])
+
+
+def test_optional_documents_and_presets(spark, tmp_path):
+    assert documents.optional_documents(spark, str(tmp_path / "none.json"), "k").count() == 0
+    (tmp_path / "p.json").write_text(json.dumps({"kind": "k", "presets": {"a": {"x": 1}, "b": {}}}))
+    docs = documents.optional_documents(spark, str(tmp_path / "p.json"), "k")
+    assert docs.first().error is None and documents.optional_documents(spark, str(tmp_path / "p.json"), "other").first().error == "kind is not other"
+    assert sorted(r.preset for r in documents.presets(docs).collect()) == ["a", "b"]
 
 
 def test_pair_difference_edges(spark):
@@ -73,12 +303,12 @@ def test_pair_difference_edges(spark):
     assert sequences.pair_diffs(px.where("fidx < 2")).count() == 1  # two frames do not wrap
 
 
-def test_runs_peaks_and_smoothing(spark):
-    pf = spark.createDataFrame([(0, k, v) for k, v in enumerate([0, 200, 300, 0, 0, 20, 0, 130, 90, 130, 0])], "image_id int, p int, v int")
-    assert [(r.start, r.stop, r["mass"]) for r in segmentation.content_runs(pf).orderBy("start").collect()] == [(1, 3, 500), (7, 10, 350)]
-    assert [r.s for r in segmentation.smooth(pf, 2).orderBy("p").collect()][:3] == pytest.approx([100, 500 / 3, 500 / 3])
-    two = spark.createDataFrame([(0, k, v) for k, v in enumerate([0, 100, 50, 100, 0, 90, 80, 95, 0])], "image_id int, p int, v int")
-    assert sorted(r.p for r in segmentation.pose_peaks(two).collect()) == [1, 3, 7]
+def test_runs_peaks_and_smoothing():
+    v = np.array([0, 200, 300, 0, 0, 20, 0, 130, 90, 130, 0])
+    runs = segmentation.content_runs(v, 60, 120, 1)
+    assert segmentation.without_minor(v, runs) == [(1, 3), (7, 10)] and segmentation.middle_width(runs) == 3
+    assert segmentation.smooth(v, 2)[:3].tolist() == pytest.approx([100, 500 / 3, 500 / 3])
+    assert segmentation.pose_peaks(np.array([0, 100, 50, 100, 0, 90, 80, 95, 0]), 0, 9) == [1, 3, 7]
 
 
 def test_colours(spark):
