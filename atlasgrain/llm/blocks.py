@@ -4,11 +4,14 @@ Statistics on n-grams need every n-gram of the corpus to meet its equals. Rather
 (some 12 MB of text) sends one packed column of its distinct keys to each of many buckets, and gets back one packed
 column of answers in the same order. A frequent key is one entry a block, so no bucket is hot; buckets follow the size
 of the corpus, so each stays some MB. A key is 64 bits in a bucket chosen by other, independent bits, so the chance that
-two different n-grams are taken for one stays below 1e-12 for each key, whatever the size of the corpus.
+two different n-grams are taken for one stays below 1e-12 for each key, whatever the size of the corpus. Blocks and buckets
+are sized by the memory of a core (``block_bytes``): at 16 GB a core a corpus of 100 TB has some 700,000 of each, so rows
+hold some tens of keys.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain, count
@@ -18,6 +21,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
+from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 12_000_000
 BUCKET_BYTES = 12_000_000
@@ -96,5 +100,21 @@ def by_bucket(keys: np.ndarray, other: np.ndarray, buckets: int) -> tuple[np.nda
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def bucket_count(text_bytes: int) -> int:
-    return max(1, -(-text_bytes // BUCKET_BYTES))
+def bucket_count(text_bytes: int, size: int = 0) -> int:
+    return max(1, -(-text_bytes // max(size, BUCKET_BYTES)))
+
+
+_UNITS = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def block_bytes(spark: SparkSession, least: int) -> int:
+    """Bytes of text in a block: ``least``, or more where the executors' settings say that a core has more memory.
+
+    Blocks need some 70 bytes of arrays for each byte of text. The number of rows that blocks exchange is about that of
+    blocks times that of buckets, so with the corpus it falls with the square of the block size.
+    """
+    conf = spark.sparkContext.getConf()
+    memory, cores = conf.get("spark.executor.memory", ""), conf.get("spark.executor.cores", "")
+    if not (m := re.fullmatch(r"(\d+)([kmgt])b?", memory.lower())) or not cores.isdigit():
+        return least
+    return max(least, int(m[1]) * _UNITS[m[2]] // int(cores) // 120)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,12 +43,9 @@ def spill(df: DataFrame, name: str) -> DataFrame:
         path = spark._jvm.org.apache.hadoop.fs.Path(top)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
         _kept.add(top)
-    path, schema = f"{top}/{name}-{uuid.uuid4().hex}", df.schema
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark._jvm.System.gc()  # Spark drops shuffle files once the driver's heap has no more use of them
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucket_count, by_bucket, gather, local_ids, mixed, small, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, word_hashes
+from .blocks import block_bytes, bucket_count, by_bucket, gather, local_ids, mixed, small, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, word_hashes
 from .common import read, spill, text_mb
 
 FOLDS, TEST_FOLD, TUNE_PARTS = 5, 1, 10
@@ -47,9 +47,9 @@ def part(doc: int | None) -> int:
 _BLOCK = "block long, part int, docs binary, nulls binary, sizes binary, tokens binary, words binary"
 
 
-def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int32()] + [pa.binary()] * 5
-    for block, k, ids, texts in gather(batches, part, BLOCK):
+    for block, k, ids, texts in gather(batches, part, most):
         # the first document starts with START and END, so that they have numbers 0 and 1
         tokens, sizes, vocabulary = local_ids([[START, END]] + [[*t.translate(_LOWER).split(), END] for t in texts])
         row = [block, k, squeeze(np.array([i or 0 for i in ids], dtype=np.int64)), squeeze(np.array([i is None for i in ids], dtype=np.uint8)), squeeze(sizes[1:]), squeeze(tokens[2:]), zstandard.ZstdCompressor(level=3).compress(b" ".join(vocabulary[2:]))]
@@ -179,8 +179,9 @@ def learn(stats: dict[tuple[int, int, int], int], uniform: float, rounds: int =
 def score_corpus(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    buckets = bucket_count(text_mb(docs)[1])
-    blocks = spill(docs.mapInArrow(_to_blocks, _BLOCK), "blocks")
+    most = block_bytes(docs.sparkSession, BLOCK)
+    buckets = bucket_count(text_mb(docs)[1], most)
+    blocks = spill(docs.mapInArrow(lambda batches: _to_blocks(batches, most), _BLOCK), "blocks")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())

@@ -1,9 +1,10 @@
-"""Near copies by MinHash bands and exact Jaccard similarity, for stages on word shingles.
+"""Near copies for stages on word shingles: SimHash and MinHash nominate pairs, exact Jaccard similarity decides.
 
 Two documents are near copies if their sets of ``SHINGLE``-word shingles have a Jaccard similarity of ``LEAST`` (4/5) or
-more. A pair at 0.8 shares one of ``BANDS`` bands of ``ROWS`` minima with probability 1 - (1 - 0.8^5)^20 = 0.9996, closer
-pairs with more. What shares a band is verified on the whole sets. SimHash is not used here: at 0.8 fingerprints differ
-by about 10 of 64 bits, and balls of that radius are too large to look up.
+more. Fingerprints of the sets that multi-index hashing finds within a few bits (see ``simhash``) are one source of
+pairs. At a similarity of 0.8 fingerprints differ by about 10 of 64 bits, and balls of that radius are too large to look
+up, so MinHash bands are the other: a pair at 0.8 shares one of ``BANDS`` bands of ``ROWS`` minima with probability
+1 - (1 - 0.8^5)^20 = 0.9996, closer pairs with more. All pairs are verified on the whole sets.
 
 Equal sets collapse first. The members of a band are compared with its least one; where that leaves a band in several
 components, all of its pairs in different ones are compared too: in a small band as rows, in a crowded one block by
@@ -11,7 +12,8 @@ block in numpy, where only a spanning forest of the links leaves a task. So rows
 square of a group.
 
 Defined results: words and case as in SimHash; texts of under five words have one shingle, the whole text; wordless or
-null texts are copies of each other; rows that repeat a doc_id belong to one document.
+null texts are copies of each other; rows that repeat a doc_id belong to one document; an empty table gives an empty
+result; other columns play no part, whatever their names; texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from .blocks import local_ids, mixed, word_hashes
 from .common import fresh, spill
 from .components import connected_components
-from .simhash import _LOWER
+from .simhash import _LOWER, majority
+from .simhash import links as fingerprint_links
 
 SHINGLE, LEAST = 5, (4, 5)
 BANDS, ROWS = 20, 5
@@ -69,8 +72,8 @@ def near(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> n
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = shingles(b.column(1).cast(pa.binary()).to_pylist())
-        columns = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "digest", "n", "bands"])
+        columns = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array(np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64))]
+        yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "digest", "n", "bands", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +131,15 @@ def _block_links(table: pa.Table) -> pa.Table:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id of each document; null doc_ids are left out."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-    prints = spill(docs.mapInArrow(_prints, "doc_id long, digest binary, n long, bands array<long>"), "shingled")
-    nodes = spill(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    prints = spill(docs.mapInArrow(_prints, "doc_id long, digest binary, n long, bands array<long>, fp long"), "shingled")
+    nodes = spill(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "sets")
     keys = nodes.select("node", "n", F.posexplode("bands").alias("band", "val"))
     shared = keys.groupBy("band", "val").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
     members = spill(keys.join(shared, ["band", "val"]), "members")
-    wanted = members.select("node").distinct()
+    prints_of = spill(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    equal = nodes.select(F.col("node").alias("a"), "fp").join(prints_of.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
+    close = spill(fingerprint_links(prints_of).union(equal).distinct(), "close")
+    wanted = members.select("node").union(close.select("a")).union(close.select("b")).distinct()
     sets = spill(docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text").distinct().mapInArrow(_sets, "node long, s binary"), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -141,7 +147,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         x, y = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
         return pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
-    links = spill(verified(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "pivots")
+    links = spill(verified(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(close)), "pivots")
     same = nodes.join(prints.select("digest", "doc_id").distinct(), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     parts = connected_components(links)
     placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))

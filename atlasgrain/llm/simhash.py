@@ -52,6 +52,11 @@ def fingerprint(text: bytes | None) -> int:
         starts = np.concatenate(([0], ends[:-SHINGLE] + 1))
         digest = xxhash.xxh64_intdigest
         h = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], dtype=np.uint64)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 1 << 15):
         part = np.ascontiguousarray(h[i : i + (1 << 15)]).astype("<u8").view(np.uint8).reshape(-1, 8)

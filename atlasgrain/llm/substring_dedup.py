@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .blocks import bucket_count, by_bucket, gather, local_ids, mixed, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, word_hashes
+from .blocks import block_bytes, bucket_count, by_bucket, gather, local_ids, mixed, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, word_hashes
 from .common import read, spill, text_mb
 
 WINDOW = 13
@@ -74,8 +74,8 @@ def _unpack(row: dict) -> tuple[np.ndarray, list[list[bytes]]]:
 _BLOCK = "block long, size long, docs binary, sizes binary, texts binary"
 
 
-def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, _, ids, texts in gather(batches, most=BLOCK):
+def _to_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for block, _, ids, texts in gather(batches, most=most):
         order = sorted(range(len(ids)), key=ids.__getitem__)
         raw = b"".join(texts[k] for k in order)
         row = [block, len(raw), squeeze(np.array([ids[k] for k in order], dtype=np.int64)), squeeze(np.array([len(texts[k]) for k in order], dtype=np.int64)), zstandard.ZstdCompressor(level=3).compress(raw)]
@@ -151,8 +151,11 @@ def dedup_corpus(docs: DataFrame, size: int = WINDOW, with_text: bool = False) -
     """doc_id, n_words, n_removed and kept_sha256 for each row; ``with_text`` adds the kept words as column kept."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     keyed = docs.where("doc_id IS NOT NULL")
-    buckets = bucket_count(text_mb(keyed)[1])
-    blocks = spill(keyed.mapInArrow(_to_blocks, _BLOCK), "blocks")
+    if not 1 <= size <= WINDOW_OVERLAP:
+        raise ValueError(f"a window has 1 to {WINDOW_OVERLAP} words")
+    most = block_bytes(docs.sparkSession, BLOCK)
+    buckets = bucket_count(text_mb(keyed)[1], most)
+    blocks = spill(keyed.mapInArrow(lambda batches: _to_blocks(batches, most), _BLOCK), "blocks")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -92,9 +92,11 @@ def test_simhash(docs, rows):
     assert got == {i: (f"{prints[i]:016x}", parts[i]) for i in prints}
 
 
-@pytest.mark.parametrize("crowded", [True, False])
-def test_simhash_links_of_close_fingerprints(spark, monkeypatch, crowded):
-    """Fingerprints at 1 to 6 bits, most of them in one crowded segment value."""
+@pytest.mark.parametrize(("crowded", "many"), [(True, False), (False, False), (False, True), (True, True)])
+def test_simhash_links_of_close_fingerprints(spark, monkeypatch, crowded, many):
+    """Fingerprints at 1 to 6 bits, most of them in one crowded segment value; with the segments for few and for many."""
+    if many:
+        monkeypatch.setattr(simhash, "THREE_SEGMENTS", 0)
     r = random.Random(3)
     base, prints = r.getrandbits(64), {}
     for node in range(300):
@@ -271,11 +273,24 @@ def windows_by_hand(rows, size=13):
 @pytest.mark.parametrize("small", [False, True])
 def test_substring_dedup(docs, rows, monkeypatch, small):
     if small:
-        monkeypatch.setattr(blocks.gather, "__defaults__", (blocks.gather.__defaults__[0], 2000))
+        monkeypatch.setattr(substring_dedup, "BLOCK", 2000)
         monkeypatch.setattr(blocks, "BUCKET_BYTES", 3000)
+        monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 100)  # many shards, cut references, crowded ones in parts
+        monkeypatch.setattr(substring_dedup, "ASKED_WORDS", 60)
     assert as_dict(substring_dedup.dedup_corpus(docs), "n_words", "n_removed", "kept_sha256") == windows_by_hand(rows)
 
 
+def test_substring_dedup_of_long_texts_and_a_hot_passage(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "ASKED_WORDS", 2000)
+    r = random.Random(21)
+    hot, long = " ".join(f"h{k}" for k in range(60)), " ".join(f"w{r.randrange(40)}" for _ in range(30_000))
+    part = [(i, f"a{i} b{i} {hot} c{i}" if i % 3 else " ".join(f"u{r.randrange(10**6)}" for _ in range(40))) for i in range(300)]
+    part += [(900, long), (901, "x " + long[5_000:60_000])]
+    frame = spark.createDataFrame(part, "doc_id long, text string").repartition(6)
+    clash = frame.withColumns({"block": F.lit(1), "ref": F.lit(2), "owner": F.lit(3), "Of": F.lit(4)})
+    assert as_dict(substring_dedup.dedup_corpus(clash), "n_words", "n_removed", "kept_sha256") == windows_by_hand(part)
+
+
 def test_substring_dedup_odd_rows(spark, nothing):
     assert substring_dedup.dedup_corpus(nothing).count() == 0
     text = " ".join(f"w{k}" for k in range(20))
@@ -644,6 +659,16 @@ def test_urls(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
 
+def test_urls_beside_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "http://net/es/", 5), (1, "http://net/es/", 5)], "page_id int, url string, _u int")
+    frame = frame.withColumns({"_sum": F.lit(1), "_n": F.lit(2), "_says": F.lit(3), "work": F.lit(4), "a.b": F.lit(6), "Host": F.lit("old"), "score": F.lit("old")})
+    out = url_filter.judge_urls(frame)
+    assert out.columns == ["page_id", "url", "_u", "_sum", "_n", "_says", "work", "a.b", "host", "path", "rule", "score", "verdict"]
+    assert [tuple(x[:11]) for x in out.collect()] == [(1, "http://net/es/", 5, 1, 2, 3, 4, 6, "net", "/es/", "net/es/")] * 2
+    far = spark.createDataFrame([(1, "http://h/" + "p" * 100_000)], "page_id int, url string")
+    assert len(url_filter.judge_urls(far).first().path) == 100_001
+
+
 def test_url_model_score_by_hand_and_accuracy(spark):
     weights, bias = url_filter.train()
     rows = [(k, f"http://{h}{p}") for k, (h, p, _) in enumerate(url_filter.LABELLED)]
@@ -678,13 +703,82 @@ def test_leaks(spark):
         docs.append((i, body))
     docs += [(500, None), (501, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
+    docs += [(502, "First.\nToo short!\nlast"), (503, "this is too short a text"), (504, "too\nshort")]
     found = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()}
+    planted.add((502, 98))
     assert found == planted
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, item_id string")
     kept = decontaminate.drop_leaks(frame, bench)
     assert kept.columns == frame.columns and {x.doc_id for x in kept.collect()} == {i for i, _ in docs} - {i for i, _ in planted}
 
 
+def test_terms_of_texts_by_hand():
+    r = random.Random(41)
+    words = ["the", "Der", "élan", "ÉLAN", "«oui»", "…", "--", "don't", "x", "(a)", "¿qué?", "İstanbul", "ΣΟΦΟΣ", "σοφος", "字", "a.b", "#!", "\u00a0", "e\u0301"]
+    items = [decontaminate.item_words(" ".join(r.choice(words) for _ in range(9))) for _ in range(4)] + [decontaminate.item_words("oui élan 字 a.b don't")]
+    terms = decontaminate.Terms(items)
+    texts = ["", " ", "\n--\t#!"] + ["".join(r.choice(words) + r.choice([" ", "\n", "  ", ", ", "\t", ".»", "«"]) for _ in range(r.randint(0, 40))) for _ in range(200)]
+    for part in (texts, texts[:3], []):
+        found, sizes = terms.of([t.encode() for t in part])
+        want = [[terms.number.get(p, -1) for w in t.encode().split() if (p := decontaminate.plain(w))] for t in part]
+        assert sizes.tolist() == [len(x) for x in want] and found.tolist() == [k for x in want for k in x]
+    none, sizes = decontaminate.Terms([]).of([b"a -- b"])
+    assert none.tolist() == [-1, -1] and sizes.tolist() == [2]
+
+
+def paraphrased(r, words, vocabulary, share):
+    """An item with a share of its words, in order, others put in their places or between."""
+    keep = set(r.sample(range(len(words)), math.ceil(share * len(words))))
+    return [w if k in keep else r.choice(vocabulary) for k, w in enumerate(words) if k in keep or r.random() < 0.8]
+
+
+def test_recall_of_paraphrases_against_brute_force(spark):
+    """All pairs in which any stretch of one and a half times an item's length holds 0.65 of its words in order and its
+    keys; README states the recall."""
+    r = random.Random(31)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7))) for _ in range(600)]
+    items = [(k, [r.choice(vocabulary) for _ in range(n)]) for k, n in enumerate([6, 8, 10, 12, 16, 20, 25, 30, 40, 55, 70, 90] * 3)]
+    docs = []
+    for i in range(240):
+        body = [r.choice(vocabulary) for _ in range(r.randint(20, 120))]
+        if i % 2:
+            at, k = r.randrange(len(body)), r.randrange(len(items))
+            body[at:at] = paraphrased(r, items[k][1], vocabulary, r.choice([0.66, 0.7, 0.75, 0.8, 0.85]))
+        docs.append((i, body))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.leaks(frame, bench).collect()}
+    df = Counter(w for _, body in docs for w in set(body))
+    number = {w: n for n, w in enumerate(sorted({w for _, x in items for w in x}))}
+    want = set()
+    for k, words in items:
+        terms = [number[w] for w in words]
+        keys = sorted(set(terms), key=lambda t: (-math.log((1 + len(docs)) / (1 + df[sorted(number)[t]])), t))[:4]
+        item, size = decontaminate.Item(k, terms, keys), len(words) + len(words) // 2
+        for i, body in docs:
+            seq = [number.get(w, -1) for w in body]
+            for s in range(max(1, len(seq) - size + 1)):
+                stretch = seq[s : s + size]
+                n = decontaminate.common(item.masks, item.n, stretch)
+                if n >= 0.65 * item.n and (n >= 0.85 * item.n or 2 * len(set(keys) & set(stretch)) >= len(keys)):
+                    want.add((i, k))
+                    break
+    recall, extra = len(found & want) / len(want), found - want
+    print("paraphrase recall", recall, len(want), "not by brute force", len(extra))
+    assert len(want) > 60 and recall >= 0.9 and len(extra) <= 0.02 * len(want)
+
+
+def test_leaks_in_a_very_long_text(spark):
+    r = random.Random(8)
+    item = [f"i{k}" for k in range(30)]
+    body = [f"w{r.randrange(3000)}" for _ in range(60_000)]
+    frame = spark.createDataFrame([(1, " ".join(body)), (2, " ".join(body[:40_000] + item + body[40_000:]))], "doc_id long, text string")
+    clash = frame.withColumns({"leak": F.lit(1), "_leak": F.lit(2), "item_id": F.lit(3)})
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [(x.doc_id, x.item_id) for x in decontaminate.leaks(clash, bench).collect()] == [(2, 7)]
+    assert decontaminate.drop_leaks(clash, bench).columns == clash.columns
+
+
 def test_leaks_odd_tables(spark, nothing):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontaminate.leaks(nothing, bench).count() == 0
@@ -748,6 +842,99 @@ def test_common_subsequence():
 # --- pipeline
 
 
+def packed_well(pieces, docs):
+    """Checks pieces against texts by an untouched tokenizer, and that sequences are gapless and hold at most 1,024."""
+    from tokenizers import Tokenizer
+
+    plain, at = Tokenizer.from_file(packing.default_tokenizer()), {}
+    for p in pieces:
+        at.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for spots in at.values():
+        end = 0
+        for offset, length in sorted(spots):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    by_doc = {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+    assert set(by_doc) == set(docs)
+    for i, text in docs.items():
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [2]
+        found = sorted(by_doc[i], key=lambda p: p.piece)
+        assert [p.start for p in found] == [sum(q.length for q in found[:k]) for k in range(len(found))] and sum(p.length for p in found) == len(ids)
+        assert all(zlib.crc32(np.array(ids[p.start : p.start + p.length], dtype="<u4").tobytes()) == p.ids_crc32 for p in found)
+
+
+def test_pipeline_stages_by_hand(spark, tmp_path):
+    """Each stage against its rule by hand, on what the stage before it kept; run() gives the last one's rows."""
+    import corpus_pipeline
+    import duckdb
+
+    r = random.Random(14)
+    stop = ["the", "of", "and", "to", "in"]
+    line = lambda: " ".join(r.choice(stop) if r.random() < 0.35 else "w" + str(r.randrange(9000)) for _ in range(r.randint(3, 14)))
+    shared, item = [line() for _ in range(5)], [f"bench{k}" for k in range(22)]
+    rows = []
+    for i in range(50):
+        lines = [line() if r.random() < 0.85 else r.choice(shared) for _ in range(14)]
+        if i % 9 == 4:
+            lines[3] = " ".join(paraphrased(r, item, stop, 0.9))
+        rows.append((i, "\n".join(lines)))
+        if i % 8 == 2:  # a near copy: other lines, but nearly all the words in a row
+            rows.append((200 + i, " ".join(" ".join(lines).split()[:-2])))
+            rows.append((300 + i, " ".join(" ".join(lines).split()[:-3]) + " end"))
+    rows += [(400, "### $$$ " * 60), (401, None), (402, ""), (403, "the of and " * 3000)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept.append({x.doc_id: x.text for x in docs.collect()})
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    good = {i for i, k in con.execute(f"select doc_id, kept from ({quality_rules.ORACLE})").fetchall() if k}
+    assert set(kept[0]) == good and all(dict(rows)[i] == t for i, t in kept[0].items())
+    gone = lines_by_hand(list(kept[0].items()))
+    assert kept[1] == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in kept[0].items()}
+    words = {i: WORD.findall(t.translate(LOWER)) for i, t in kept[1].items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    group = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0:
+            x, y = sorted((group[a], group[b]))
+            group = {i: x if g == y else g for i, g in group.items()}
+    assert set(kept[2]) == {i for i, g in group.items() if i == g} and len(kept[2]) < len(kept[1])
+    number = {w: k for k, w in enumerate(sorted(item))}
+    whole = decontaminate.Item(1, [number[w] for w in item], list(number.values())[:4])
+    leaks = {i for i, t in kept[2].items() if any(decontaminate.common(whole.masks, 22, [number.get(w, -1) for w in t.split()][s : s + 33]) >= 0.65 * 22 for s in range(len(t.split())))}
+    assert leaks and set(kept[3]) == set(kept[2]) - leaks
+    packed_well(corpus_pipeline.run(spark, str(tmp_path)).collect(), kept[3])
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path, nothing):
+    import corpus_pipeline
+
+    nothing.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_functions_beside_clashing_columns_and_long_texts(spark):
+    """Operators that take a table read only doc_id and text, whatever else is there, and texts of any length."""
+    long = " ".join(f"w{k % 977}" for k in range(40_000))
+    frame = spark.createDataFrame([(1, long), (2, long), (2, long)], "doc_id long, text string")
+    clash = frame.withColumns({c: F.lit(1) for c in ("fp", "node", "component_id", "gone", "_gone", "block", "part", "bucket", "length", "rank", "salt", "kind", "n", "spans", "words")})
+    assert {r.component_id for r in simhash.near_duplicates(clash).collect()} == {1}
+    assert simhash.keep_representatives(clash).columns == clash.columns and near_copies.drop_near_copies(clash).count() == 1
+    pieces = packing.pack(clash).collect()
+    assert sum(p.length for p in pieces) % 3 == 0 and {p.doc_id for p in pieces} == {1, 2}
+    scores = lm_score.score_corpus(clash).collect()
+    assert len(scores) == 3 and all(s.n_tokens == 40_001 for s in scores)
+    assert secret_scan.scan_secrets(clash).count() == pii.scan_pii(clash).count() == 3
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
