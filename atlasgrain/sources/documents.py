@@ -147,9 +147,14 @@ def write_bytes(rows: DataFrame, path: str) -> None:
     rows.select("path", "content").write.mode("overwrite").parquet(path)
 
 
+def report_line(columns: list[str]) -> Column:
+    """Row 23: a result as one line of JSON."""
+    return F.to_json(F.struct(*columns))
+
+
 def write_reports(results: DataFrame, path: str) -> None:
     """One JSON line for each result, by Spark's commit protocol: all files appear or none."""
-    results.select(F.to_json(F.struct(*results.columns)).alias("value")).write.mode("overwrite").text(path)
+    results.select(report_line(results.columns).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_run(frames: DataFrame, path: str) -> None:

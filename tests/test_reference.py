@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlasgrain.functions import colour, text
-from atlasgrain.operators import contracts, frames, integrity, kernels, mattes, pixels, segmentation, sequences, transforms, video
+from atlasgrain.operators import contracts, frames, integrity, kernels, mattes, pixels, poses, segmentation, sequences, transforms, video
 from atlasgrain.plans import catalog
 from atlasgrain.sources import documents, gif
 from atlasgrain.sources import frames as source
@@ -252,6 +252,43 @@ def test_restored_regions():
     assert mattes.restore_regions(source_, cut, [(0, 0, 0)], least=401)[1] == 0 and mattes.restore_regions(source_, cut, [])[1] == 0
 
 
+def figure(offsets, lift=0, head=20):
+    """A drawn figure, 200 x 200: ground line, grey torso, pale head, four coloured limbs moved across by ``offsets``."""
+    p = np.full((200, 200, 4), 255)
+    p[180:183, :, :3] = 0
+    p[70:120, 85:115, :3] = 100
+    p[35 : 35 + head, 90 : 90 + head, :3] = 200
+    colours = {"red_arm": (220, 30, 30), "blue_arm": (30, 60, 220), "orange_leg": (240, 140, 20), "green_leg": (30, 180, 60)}
+    for limb, (c, d) in {k: (c, d) for (k, c), d in zip(colours.items(), offsets, strict=True)}.items():
+        y0, y1 = (75, 115) if "arm" in limb else (122, 179 - (lift if limb == "green_leg" else 0))
+        p[y0:y1, 95 + d : 103 + d, :3] = c
+    return p
+
+
+def test_limb_gate_on_drawn_figures():
+    swing = [30, 18, 4, -28, -16, -4]
+    video = [figure((-d - 2, d + 2, d, -d - 9), lift=20 if k == 2 else 0) for k, d in enumerate(swing)]
+    errors, paths = poses.limb_gate(video)
+    assert errors == [] and set(paths) == set(poses.LIMBS) and all(x["x_range"] > 0.055 for x in paths.values())
+    still, _ = poses.limb_gate([figure((-20, 20, 10, -12))] * 6)
+    assert {"static", "red_arm: frozen", "green_leg: idle"} <= set(still)
+    video[3] = figure((20, -20, -28, 20), head=28)
+    assert {"head width drifts", "head height drifts"} <= set(poses.limb_gate(video)[0])
+    video[2][video[2][..., 0] == 240] = 255
+    assert any("3: no orange_leg" in e for e in poses.limb_gate(video)[0])
+    walked, _ = poses.limb_gate([figure((-d - 2, d + 2, d, -d - 9)) for d in swing], walk=True)
+    assert "3: green_leg too low" in walked and "6: orange_leg too low" in walked and poses.limb_gate(video[:3], walk=True)[0][-1] == "not six frames"
+
+
+def test_pose_rules():
+    crouch = poses.Pose("crouch", 1.0, 1.0, 0.6, 0.8)
+    good = [(0, 100 - h, 40, 100) for h in (50, 45, 38, 32, 30)]
+    assert poses.inspect_pose(good, crouch, (40, 50), 100) == ([], [])
+    assert poses.inspect_pose([(0, 40, 30, 100), *good[1:-1], (0, 60, 20, 110)], crouch, (40, 50), 100)[0] == ["height", "curve", "width", "baseline"]
+    assert poses.inspect_pose(good, crouch, None, 100) == ([], ["no-reference"]) and poses.inspect_pose([], crouch, None, 0) == ([], [])
+    assert poses.inspect_pose([(0, 50, 40, 100)] * 3, poses.Pose("jump"), (40, 50), 100)[1] == ["flat-jump"]
+
+
 def test_cycles_of_any_length(spark):
     chain = [(k, (k + 1) % 300) for k in range(300)] + [(1000, 0), (1001, 1000), (400, 400), (500, 501), (501, None), (None, 3)]
     got = {(r.start, r.length) for r in integrity.reference_cycles(spark.createDataFrame(chain, "a long, b long")).collect()}
