@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 from ..plans.registry import query
 from .integrity import table
 
-GATES = ["generation-provenance", "animation-contracts", "frame-alignment", "identity-consistency", "motion-variation", "asset-slots", "isometric-tiles", "segmentation-diagnostic", "frame-registration", "runtime-preview"]
-LOCOMOTION = ["front-fps-creature-locomotion", "sideview-locomotion", "topdown-locomotion", "run-gun-layered-motion"]
-ISOMETRIC = ["isometric", "dimetric-2:1", "2:1-dimetric", "2:1 dimetric diamond"]
-ASSET_KINDS = ["sprite", "tileset", "texture", "asset", "prop", "icon", "ui", "vfx"]
-SEMANTICS = ["animation", "variants", "tiles", "seamless-textures", "still-assets", "effects", "user-defined"]
+#: In order.
+GATES = "generation-provenance animation-contracts frame-alignment identity-consistency motion-variation asset-slots isometric-tiles segmentation-diagnostic frame-registration runtime-preview".split()
+LOCOMOTION = "front-fps-creature-locomotion run-gun-layered-motion sideview-locomotion topdown-locomotion".split()
+ISOMETRIC = ["2:1-dimetric", "2:1 dimetric diamond", "dimetric-2:1", "isometric"]
+ASSET_KINDS = "asset icon prop sprite texture tileset ui vfx".split()
+SEMANTICS = "animation effects seamless-textures still-assets tiles user-defined variants".split()
+MOVES = "block combo guard hitstun kick knockdown punch special".split()
+LIMBS = "arm claw fist foreleg gauntlet hand hook limb mandible pincer scythe tentacle wing".split() + ["front leg"]
+CROSSING = ["bilateral", "cross", "inward", "x shaped", "x-shaped"]
+HEADS = "head jaw maw mouth tusk".split()
+#: What any review of identity errors has to pin.
+EVIDENCE = "frames/frames-manifest.json qa/background-matte-review.png sprite-request.json sprite-sheet-alpha.png".split()
 
 
 def yes(c: Column) -> Column:
@@ -109,7 +116,7 @@ def production_workflows(asset_kind: Column, semantics: Column, frames: Column,
 
 def fighting(words: Column, tokens: Column) -> Column:
     """Row 239: told by its words, or by a fighting move among its tokens."""
-    moves = F.array(*map(F.lit, ["punch", "kick", "block", "guard", "hitstun", "knockdown", "special", "combo"]))
+    moves = F.array(*map(F.lit, MOVES))
     return words.contains("fighting") | words.contains("fighter") | words.contains("combat") | yes(F.arrays_overlap(tokens, moves))
 
 
@@ -133,8 +140,9 @@ def told(words: Column, *keys: str) -> Column:
     return out
 
 
-LONG_SWING = ["long-arm counter-swing", "long arm counter-swing", "extra-long", "extra long", "asymmetric arm", "asymmetrical arm"]
-LONG_STRIKE = ["extra-long", "extra long", "long claw", "long arm", "elongated", "asymmetric arm", "asymmetrical arm"]
+_ARMS = ["asymmetrical arm", "asymmetric arm", "extra long", "extra-long"]
+LONG_SWING = ["long arm counter-swing", "long-arm counter-swing", *_ARMS]
+LONG_STRIKE = ["elongated", "long arm", "long claw", *_ARMS]
 
 
 def unreliable_proxies(head: Column, upper: Column, body: Column, anatomy: Column, locomotion: Column, movement: Column, attack: Column, scale_policy: Column) -> Column:
@@ -144,7 +152,7 @@ def unreliable_proxies(head: Column, upper: Column, body: Column, anatomy: Colum
     both = F.concat_ws(" ", moves, hits)
     flaps = yes(scale_policy == "source-reference") & (kind.isin("winged", "flying") | gait.isin("fly", "flight"))
     swing = (kind == "biped") & told(moves, *LONG_SWING)
-    crossing = (kind == "biped") & told(hits, "both") & told(hits, "elongated", "long arm") & told(hits, "bilateral", "inward", "cross", "x-shaped", "x shaped")
+    crossing = (kind == "biped") & told(hits, "both") & told(hits, "elongated", "long arm") & told(hits, *CROSSING)
     no_head = yes(head / body < 0.12) | (kind.isin("multi-legged", "quadruped") & told(both, "maw", "mouth")) | ((kind == "hovering") & told(both, "jaw pod", "colony")) | ((kind == "amorphous") & told(hits, "maw", "mouth")) | (swing & told(hits, *LONG_STRIKE))
     names = F.array_compact(F.array(F.when(flaps, "body_mass_width_80"), F.when(no_head, "head_width"), F.when(yes(upper / body < 0.12) | flaps | swing | crossing, "upper_width")))
     return F.when(yes(body > 0), names).otherwise(F.array().cast("array<string>"))
@@ -154,8 +162,8 @@ def driven_by(state: Column, attack: Column, anatomy: Column, locomotion: Column
     """Row 147: attacks led by a limb or by the head, and airborne idle steps."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     hits = yes(state == "attack")
-    limb = told(low(attack), "arm", "hand", "wing", "tentacle", "mandible", "claw", "foreleg", "front leg", "limb", "pincer", "scythe", "hook", "gauntlet", "fist")
-    return {"limb": hits & limb, "head": hits & told(low(attack), "head", "mouth", "maw", "jaw", "tusk"), "airborne": yes(state == "idle-step") & (low(anatomy).isin("hovering", "flying") | low(locomotion).isin("hover", "fly", "flight"))}
+    limb = told(low(attack), *LIMBS)
+    return {"limb": hits & limb, "head": hits & told(low(attack), *HEADS), "airborne": yes(state == "idle-step") & (low(anatomy).isin("hovering", "flying") | low(locomotion).isin("hover", "fly", "flight"))}
 
 
 _CREATURE = """p_partkey, CAST(p_size % 9 AS DOUBLE) AS head, CAST(p_partkey % 13 AS DOUBLE) AS upper_, CAST(p_partkey % 60 AS DOUBLE) AS body,
@@ -185,7 +193,7 @@ def waiver_issues(review: DataFrame, artifacts: DataFrame) -> DataFrame:
     path and sha). ``artifacts``: run_id, path, sha as they are now. A review covers exactly the current errors, pins all
     evidence of the states that they name, and no pin has changed.
     """
-    fixed = [F.lit(x) for x in ("sprite-request.json", "frames/frames-manifest.json", "sprite-sheet-alpha.png", "qa/background-matte-review.png")]
+    fixed = [F.lit(x) for x in EVIDENCE]
     states = F.array_distinct(F.transform("errors", lambda e: F.substring_index(e, ":", 1)))
     needed = F.concat(F.array(*fixed), F.transform(states, lambda s: F.concat(F.lit("qa/"), s, F.lit("-contact.png"))), F.transform(states, lambda s: F.concat(F.lit("qa/"), s, F.lit("-onion.png"))))
     pins = review.select("run_id", F.explode("pins").alias("p")).select("run_id", "p.path", F.col("p.sha").alias("pinned"))
@@ -293,7 +301,8 @@ def q_boxes(spark, sf_dir: str) -> DataFrame:
     return authored_boxes(files)
 
 
-SIGNATURES = [("side", "right"), ("front", "center"), ("back", "center"), ("three-quarter-front", "right"), ("three-quarter-back", "right")]
+#: view/facing
+SIGNATURES = [tuple(x.split("/")) for x in "back/center front/center side/right three-quarter-back/right three-quarter-front/right".split()]
 
 
 def template_errors(templates: DataFrame, pending_allowed: bool = False) -> DataFrame:

@@ -12,12 +12,15 @@ from .frames import bounds
 from .pixels import border_palette
 
 
-def off_palette(p: np.ndarray, palette: list[tuple[int, int, int]]) -> np.ndarray:
+Palette = list[tuple[int, int, int]]
+
+
+def off_palette(p: np.ndarray, palette: Palette) -> np.ndarray:
     """Distance of each pixel's colour to the nearest one of a palette."""
     return np.sqrt(np.min([((p[..., :3] - np.array(c)) ** 2).sum(axis=2) for c in palette], axis=0).astype(float))
 
 
-def refine_edges(p: np.ndarray, palette: list[tuple[int, int, int]], threshold: float, feather: float, passes: int) -> np.ndarray:
+def refine_edges(p: np.ndarray, palette: Palette, threshold: float, feather: float, passes: int) -> np.ndarray:
     """Row 82: only pixels within ``passes`` of transparent ones change: cleared if near the background's colours, softened
     by a smooth step over the feather; what is left with alpha 16 or less goes. Pixel art has a feather of 0."""
     if not palette or passes <= 0:
@@ -46,7 +49,7 @@ def q_refine(spark, sf_dir: str) -> DataFrame:
     return K.per_frame(frames(spark, sf_dir), run, "alpha long, cleared long")
 
 
-def restore_regions(source: np.ndarray, cutout: np.ndarray, palette: list[tuple[int, int, int]], off: float = 36.0, least: int | None = None, reach: int = 8, detached: bool = False) -> tuple[np.ndarray, int]:
+def restore_regions(source: np.ndarray, cutout: np.ndarray, palette: Palette, off: float = 36.0, least: int | None = None, reach: int = 8, detached: bool = False) -> tuple[np.ndarray, int]:
     """Row 84: regions of the source that are clearly not background, and that the matte took away, come back opaque.
 
     A 4-connected region comes back if a twentieth of it (8 pixels at least) is still there; or if it lies within 8 pixels

@@ -140,7 +140,7 @@ def q_identity(spark, sf_dir: str) -> DataFrame:
 
 PHASES = ["contact-a", "down-a", "pass-a", "up-a", "contact-b", "down-b", "pass-b", "up-b"]
 #: Which phases a cycle of so many frames shows.
-CYCLES = {4: [0, 2, 4, 6], 6: [0, 1, 2, 4, 5, 6], 8: list(range(8))}
+CYCLES = {n: [k for k in range(8) if n == 8 or (k % 4 != 3 if n == 6 else k % 2 == 0)] for n in (4, 6, 8)}
 
 
 def phase_plan(rows: DataFrame, key: str, frames: str) -> DataFrame:

@@ -211,8 +211,8 @@ def q_repeat(spark, sf_dir: str) -> DataFrame:
     return K.per_frame(sheets(frames(spark, sf_dir)), run, "axis string, start_frame int, end_frame int, score double, error double, light double")
 
 
-_CYCLES = ["water-loop", "wind-ambient-loop", "idle-breath", "fighting-stance-idle"]
-_GAITS = "(^|[^a-z])(walk|walking|run|running|sprint|swim|flying|fly|crawl)([^a-z]|$)"
+_CYCLES = "fighting-stance-idle idle-breath water-loop wind-ambient-loop".split()
+_GAITS = "(^|[^a-z])(" + "|".join("crawl fly flying run running sprint swim walk walking".split()) + ")([^a-z]|$)"
 
 
 def sampling_mode(state: Column, action: Column, workflows: Column, loop: Column) -> Column:
@@ -239,8 +239,8 @@ def sample_error(indices: Column, requested: Column, total: Column) -> Column:
     return out
 
 
-@query("video_sampling_mode", """WITH e AS (SELECT event_id, event_type AS state, ['walk left', 'Running!', 'crosswalk wave', 'idle', 'swim'][(event_id % 5 + 1)::INT] AS action, CASE WHEN event_id % 3 = 0 THEN ['Idle-Breath '] WHEN event_id % 3 = 1 THEN ['hit', 'big locomotion'] ELSE [] END AS w, CASE WHEN event_id % 4 = 0 THEN false WHEN event_id % 4 = 1 THEN NULL ELSE true END AS loop FROM events)
-SELECT event_id, CASE WHEN coalesce(loop, true) AND (event_id % 3 IN (0, 1) OR regexp_matches(lower(state || ' ' || action), '(^|[^a-z])(walk|walking|run|running|sprint|swim|flying|fly|crawl)([^a-z]|$)')) THEN 'cyclic-half-open' ELSE 'bookended-inclusive' END AS mode FROM e""")
+@query("video_sampling_mode", f"""WITH e AS (SELECT event_id, event_type AS state, ['walk left', 'Running!', 'crosswalk wave', 'idle', 'swim'][(event_id % 5 + 1)::INT] AS action, CASE WHEN event_id % 3 = 0 THEN ['Idle-Breath '] WHEN event_id % 3 = 1 THEN ['hit', 'big locomotion'] ELSE [] END AS w, CASE WHEN event_id % 4 = 0 THEN false WHEN event_id % 4 = 1 THEN NULL ELSE true END AS loop FROM events)
+SELECT event_id, CASE WHEN coalesce(loop, true) AND (event_id % 3 IN (0, 1) OR regexp_matches(lower(state || ' ' || action), '{_GAITS}')) THEN 'cyclic-half-open' ELSE 'bookended-inclusive' END AS mode FROM e""")
 def q_mode(spark, sf_dir: str) -> DataFrame:
     """Row 165 on contract rows made of the events."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
