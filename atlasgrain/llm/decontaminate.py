@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms are the lower-cased words of the benchmark. Document frequencies are counted over the whole corpus. A randomised
-SVD of the TF-IDF passages (``WIDTH`` words, half overlapping) of a bounded sample of documents, with the items
-themselves as rows, gives ``RANK`` latent directions: each pass sums A'(A Q) by blocks of terms across the partitions,
-and only terms x rank numbers reach the driver. Then every passage of every document is projected and compared with
-every item; a pair with a cosine of ``LEAST_COSINE`` or more, in which the passage holds ``LEAST_WEIGHT`` or more of the
+SVD of the TF-IDF passages (``WIDTH`` words, one after another) of all documents, with the items themselves as rows,
+gives ``RANK`` latent directions: each pass sums A'(A Q) by blocks of terms across the partitions, and only terms x rank
+numbers reach the driver. Then every passage of every document (these overlap by half) is projected and compared with every
+item; a pair with a cosine of ``LEAST_COSINE`` or more, in which the passage holds ``LEAST_WEIGHT`` or more of the
 item's weight (both from the one latent product), is a candidate, with no cap. Terms in over ``COMMON_SHARE`` of the
 documents have no weight there, so an item that has over ``MOST_COMMON`` of its squared weight on such terms (it leaks
 into many documents, or the table is small) is searched without vectors: every stretch of one and a half times its
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +38,12 @@ from .blocks import gather, mixed
 from .common import fresh, read, spill
 
 WIDTH, RANK, EXTRA = 48, 256, 16
-#: Documents that the SVD is fitted on, at most some; every document is searched.
-FIT_DOCUMENTS = 20_000
 LEAST_COSINE, LEAST_WEIGHT, LEAST_COMMON, SURE_COMMON, LEAST_WORDS = 0.25, 0.35, 0.65, 0.85, 5
 #: Terms in more than this share of the documents have no weight; items with more than MOST_COMMON on them go by words.
 COMMON_SHARE, MOST_COMMON = 0.05, 0.25
 ITEM_BLOCK, TERM_BLOCK = 5_000, 2_048
+#: Words of passages that the fit looks at together, rows of a run that are added in turn, partial sums that one task adds up.
+ENTRIES, RUN, FAN_IN = 16_384, 32, 32
 #: Bytes of text that are looked at together.
 BLOCK = 3_000_000
 _MARKS = ".,;:!?\"'()[]{}|*#$%&<>«»¿¡…-"
@@ -215,57 +216,98 @@ class Passages:
         return out
 
 
-def _fit(docs: DataFrame, n_docs: int, terms: Terms, idf: np.ndarray, items: list[np.ndarray], rank: int) -> np.ndarray:
-    """The leading right singular directions (terms x rank) of the weighted passages of a sample and of the items."""
+def _sums(rows: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[at]`` by segments of the given sizes, none empty. The k-th rows of all segments are added together,
+    long segments in parts of RUN, whose sums are added likewise."""
+    parts = -(-sizes // RUN)
+    owner = np.repeat(np.arange(len(sizes)), parts)
+    skip = RUN * (np.arange(len(owner)) - (np.cumsum(parts) - parts)[owner])
+    n = np.minimum(sizes[owner] - skip, RUN)
+    order = np.argsort(-n, kind="stable")
+    starts, n = ((np.cumsum(sizes) - sizes)[owner] + skip)[order], n[order]
+    total = rows.take(at[starts], axis=0)
+    for k in range(1, int(n[0])):
+        m = int(np.searchsorted(-n, -k))  # segments of over k rows
+        total[:m] += rows.take(at[starts[:m] + k], axis=0)
+    out = np.empty_like(total)
+    out[order] = total
+    return out if len(owner) == len(sizes) else _sums(out, np.arange(len(owner)), parts)
+
+
+def _rows_of(found: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms with weight, the number of them by passage and 1 / |passage|^2; passages without such terms are left out."""
+    at = np.flatnonzero(found >= 0)
+    at = at[idf[found[at]] > 0]
+    pieces = -(-sizes // WIDTH)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[at]
+    row = (np.cumsum(pieces) - pieces)[owner] + (at - (np.cumsum(sizes) - sizes)[owner]) // WIDTH
+    entries, counts = np.unique(row * len(idf) + found[at], return_counts=True)
+    n = np.unique(row, return_counts=True)[1]
+    owner = np.unique(entries // len(idf), return_inverse=True)[1]
+    return found[at], n, 1 / np.bincount(owner, weights=(counts * idf[entries % len(idf)]) ** 2)
+
+
+def _add_gram(out: np.ndarray, terms: np.ndarray, sizes: np.ndarray, scale: np.ndarray, q: np.ndarray) -> None:
+    """Adds A'(A q) to ``out``, for rows of unit length given as by _rows_of; weights of terms are left to the caller."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(ends):
+        first = int(ends[a] - sizes[a])
+        b = max(a + 1, int(np.searchsorted(ends, first + ENTRIES, side="right")))
+        t, n = terms[first : int(ends[b - 1])], sizes[a:b]
+        y = _sums(q, t, n) * scale[a:b, None]
+        order = np.argsort(t, kind="stable")
+        distinct, often = np.unique(t, return_counts=True)
+        out[distinct] += _sums(y, np.repeat(np.arange(b - a), n)[order], often)
+        a = b
+
+
+def _fit(docs: DataFrame, terms: Terms, idf: np.ndarray, items: list[np.ndarray], rank: int) -> np.ndarray:
+    """The leading right singular directions (terms x rank) of the weighted passages of all documents and of the items."""
     size, width = len(idf), min(rank + EXTRA, len(idf))
-    share = max(1, n_docs // FIT_DOCUMENTS)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(share)) == 0)
 
     def to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, texts in gather(batches, most=BLOCK):
-            found, sizes = terms.of(texts)
-            owner, place = np.repeat(np.arange(len(texts)), sizes), np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = (found >= 0) & (idf[np.maximum(found, 0)] > 0)
-            row = np.unique(owner[keep] * (1 << 32) + place[keep] // WIDTH, return_inverse=True)[1]
-            cuts = np.flatnonzero(np.diff(row)) + 1
-            for part in (found[keep],) if keep.any() else ():
-                lists = np.split(part, cuts)
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64()))], names=["terms"])
-
-    rows = spill(sample.mapInArrow(to_rows, "terms array<long>"), "passages")
-
-    boost = 10 * max(1.0, rows.count() / size)  # items weigh more than the average direction of the passages
-
-    def gram(lists: list[np.ndarray], q: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(q)
-        for x in lists:
-            t, n = np.unique(x, return_counts=True)
-            a = n * idf[t]
-            out[t] += np.outer(a, (a @ q[t]) / (a @ a))
-        return out
+            found, sizes, scale = _rows_of(*terms.of(texts), idf)
+            if len(sizes):
+                # a passage has at most WIDTH words
+                packed = [found.astype(np.int32).tobytes(), sizes.astype(np.uint8).tobytes(), scale.astype(np.float32).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([len(sizes)]), *(pa.array([x], pa.binary()) for x in packed)], names=["n", "terms", "sizes", "scale"])
+
+    rows = spill(docs.mapInArrow(to_rows, "n long, terms binary, sizes binary, scale binary"), "passages")
+
+    boost = 10 * max(1.0, (rows.agg(F.sum("n")).first()[0] or 0) / size)  # items weigh more than the average direction of the passages
+    weighty = [x[idf[x] > 0] for x in items if (idf[x] > 0).any()]
+    lengths = [(np.bincount(x, weights=idf[x]) ** 2).sum() for x in weighty]
+    own = np.concatenate(weighty), np.array([len(x) for x in weighty]), 1 / np.array(lengths)
 
     def times(q: np.ndarray) -> np.ndarray:
-        shipped = docs.sparkSession.sparkContext.broadcast(q)
+        q = q * idf[:, None]
+        shipped = docs.sparkSession.sparkContext.broadcast(q.astype(np.float32))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros((size, width))
             for b in batches:
-                out += gram([np.array(x) for x in b.column(0).to_pylist()], shipped.value)
+                for x, sizes, scale in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                    _add_gram(out, np.frombuffer(x, np.int32), np.frombuffer(sizes, np.uint8).astype(np.int64), np.frombuffer(scale, np.float32), shipped.value)
             starts = list(range(0, size, TERM_BLOCK))
-            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([out[s : s + TERM_BLOCK].astype(np.float32).tobytes() for s in starts], pa.binary())], names=["first", "sums"])
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(starts), pa.int32()), pa.array(starts, pa.int32()), pa.array([out[s : s + TERM_BLOCK].astype(np.float32).tobytes() for s in starts], pa.binary())], names=["part", "first", "sums"])
 
         def add(table: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(x, dtype=np.float32).astype(float) for x in table["sums"].to_pylist())
-            return pa.table({"first": table["first"][:1], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+            return pa.table({"part": table["part"][:1], "first": table["first"][:1], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        # two levels, so that no task sums the parts of all partitions
-        parts = rows.mapInArrow(run, "first int, sums binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-        once = parts.groupBy("first", "salt").applyInArrow(add, "first int, sums binary")
+        sums, parts = rows.mapInArrow(run, _SUMS), rows.rdd.getNumPartitions()
+        while parts > 1:  # level by level, so that no task sums the parts of many partitions
+            parts = -(-parts // FAN_IN)
+            sums = sums.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("part", "first").applyInArrow(add, _SUMS)
         out = np.zeros((size, width))
-        for r in once.groupBy("first").applyInArrow(add, "first int, sums binary").collect():  # terms x rank numbers
+        for r in sums.collect():  # terms x rank numbers
             block = np.frombuffer(r["sums"], dtype=np.float32).reshape(-1, width)
             out[r["first"] : r["first"] + len(block)] = block
-        return out + boost * gram([x[idf[x] > 0] for x in items if (idf[x] > 0).any()], q)  # the items' own directions stay in view
+        of_items = np.zeros_like(out)
+        _add_gram(of_items, *own, q)
+        return idf[:, None] * (out + boost * of_items)  # the items' own directions stay in view
 
     q = np.linalg.qr(np.random.default_rng(5).standard_normal((size, width)))[0]
     for _ in range(2):
@@ -341,6 +383,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
 
 
 _FOUND = "doc_id long, item_id long, common double, cosine double, first_word long, last_word long"
+_SUMS = "part int, first int, sums binary"
 
 
 def _short_leaks(docs: DataFrame, usable: DataFrame) -> DataFrame | None:
@@ -390,7 +433,7 @@ def _leaks_of(docs: DataFrame, block: list[tuple], rank: int) -> DataFrame | Non
     idf = np.where(df > COMMON_SHARE * n_docs, 0.0, weight)
     numbered = [np.array([terms.number[x] for x in w]) for _, w, _ in block]
     by_words = [k for k, x in enumerate(numbered) if not (idf[x] ** 2).sum() > (1 - MOST_COMMON) * (weight[x] ** 2).sum()]
-    directions = _fit(docs, n_docs, terms, idf, numbered, rank) if len(by_words) < len(block) else np.zeros((len(idf), 1))
+    directions = _fit(docs, terms, idf, numbered, rank) if len(by_words) < len(block) else np.zeros((len(idf), 1))
     rows = (idf[:, None] * directions).astype(np.float32)
     cut = [(k, x) for k, y in enumerate(numbered) if len(y) > WIDTH for x in np.array_split(y, -(-len(y) // WIDTH))]
     owner = np.array([*range(len(block)), *(k for k, _ in cut)])

@@ -811,6 +811,67 @@ def test_leaks_of_long_items(spark):
     assert found == {(10 * k, k) for k in range(6)}
 
 
+def led(monkeypatch):
+    """The term of the most weight of each direction that a fit gives, in order, as lists that later fits append to."""
+    out, fit = [], decontaminate._fit
+
+    def run(docs, *rest):
+        directions = fit(docs, *rest)
+        terms = next(x for x in rest if isinstance(x, decontaminate.Terms))
+        names = list(terms.number)
+        out.append([names[k] for k in np.abs(directions).argmax(axis=0)])
+        return directions
+
+    monkeypatch.setattr(decontaminate, "_fit", run)
+    return out
+
+
+def close_counts(n_docs=45_000):
+    """Items that occur in nearly equally many documents, few enough to keep their weight, the most frequent first."""
+    order = [5, 2, 7, 0, 3, 6, 1, 4]
+    items = [(k, " ".join(f"g{k}w{j}" for j in range(6))) for k in range(8)]
+    texts = [items[k][1] for place, k in enumerate(order) for _ in range(620 - 2 * place)]
+    texts += [f"other words {i}" for i in range(n_docs - len(texts))]
+    random.Random(3).shuffle(texts)
+    return order, items, list(enumerate(texts))
+
+
+def test_directions_come_from_all_documents(spark, monkeypatch):
+    """Items whose numbers of documents differ by two are told apart, which no sample does."""
+    order, items, docs = close_counts()
+    seen = led(monkeypatch)
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"))
+    assert [[int(t[1]) for t in x[:8]] for x in seen] == [order]
+    assert Counter(x.item_id for x in found.collect()) == {k: 620 - 2 * place for place, k in enumerate(order)}
+
+
+def test_directions_against_the_whole_matrix(spark, monkeypatch):
+    """The span of the leading directions is that of the eigenvectors of A'A, by rows one after another in plain Python."""
+    r = random.Random(17)
+    groups = [[f"g{k}w{j}" for j in range(5)] for k in range(8)]
+    item_words = [g + [r.choice(r.choice(groups))] for g in groups]
+    texts = [" ".join(r.choice(groups[min(int(r.expovariate(0.5)), 7)] + ["z", "…"]) for _ in range(r.choice([0, 1, 47, 48, 49, 200]))) for _ in range(90)]
+    terms = decontaminate.Terms(item_words)
+    idf = np.array([0.0 if k % 7 == 3 else 1 + k % 5 for k in range(len(terms.number))])
+    numbered = [np.array([terms.number[w] for w in x]) for x in item_words]
+    passages = []
+    for t in texts:
+        found = [terms.number.get(p, -1) for w in t.encode().split() if (p := decontaminate.plain(w))]
+        passages += [found[a : a + 48] for a in range(0, len(found), 48)]
+    vectors = lambda lists: [v / np.linalg.norm(v) for x in lists if (v := np.bincount([t for t in x if t >= 0], minlength=len(idf)) * idf).any()]
+    a, b = np.stack(vectors(passages)), np.stack(vectors(numbered))
+    gram = a.T @ a + 10 * max(1.0, len(a) / len(idf)) * b.T @ b
+    values, u = np.linalg.eigh(gram)
+    want = u[:, np.argsort(-values)[:6]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for entries, run, fan_in in ((16_384, 32, 32), (20, 2, 2)):
+        monkeypatch.setattr(decontaminate, "ENTRIES", entries)
+        monkeypatch.setattr(decontaminate, "RUN", run)
+        monkeypatch.setattr(decontaminate, "FAN_IN", fan_in)
+        got = decontaminate._fit(frame, terms, idf, numbered, 6)
+        assert np.abs(got @ got.T - want @ want.T).max() < 1e-3
+
+
 def test_places_near_every_full_stretch():
     r = random.Random(4)
     for _ in range(200):
