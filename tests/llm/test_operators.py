@@ -1021,3 +1021,17 @@ def test_pipeline(spark, tmp_path):
     assert item not in {x.doc_id: x.text for x in docs.collect()}[104]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in packed} == kept[3]
+
+
+def test_pipeline_decontaminates_by_directions_of_all_documents(spark, tmp_path, monkeypatch):
+    """The stage's model tells items apart whose numbers of documents differ by two; what holds an item goes, nothing else."""
+    import corpus_pipeline
+
+    order, items, docs = close_counts()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], SCHEMA).repartition(4)
+    seen = led(monkeypatch)
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, frame, str(tmp_path))
+    assert [[int(t[1]) for t in x[:8]] for x in seen] == [order]
+    leaked = {t for _, t in items}
+    assert kept.columns == frame.columns and {x.doc_id for x in kept.collect()} == {i for i, t in docs if t not in leaked}
