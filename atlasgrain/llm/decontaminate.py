@@ -1,11 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Terms are the lower-cased words of the benchmark. Document frequencies are counted over the whole corpus. A randomised
+Terms are the lower-cased words of the benchmark. The documents are read once for each block of items and written as
+numbers of terms, all words of all documents in order; what follows reads those. Document frequencies are counted over
+the whole corpus. A randomised
 SVD of the TF-IDF passages (``WIDTH`` words, one after another) of all documents, with the items themselves as rows,
 gives ``RANK`` latent directions: each pass sums A'(A Q) by blocks of terms across the partitions, and only terms x rank
 numbers reach the driver. Then every passage of every document (these overlap by half) is projected and compared with every
 item; a pair with a cosine of ``LEAST_COSINE`` or more, in which the passage holds ``LEAST_WEIGHT`` or more of the
-item's weight (both from the one latent product), is a candidate, with no cap. Terms in over ``COMMON_SHARE`` of the
+item's weight (both from the one latent product), is a candidate, with no cap. Passages whose terms are too light to add
+up to that weight, whatever their directions, are not projected, which misses nothing. Terms in over ``COMMON_SHARE`` of the
 documents have no weight there, so an item that has over ``MOST_COMMON`` of its squared weight on such terms (it leaks
 into many documents, or the table is small) is searched without vectors: every stretch of one and a half times its
 length that holds ``LEAST_COMMON`` of its words is a candidate, which misses nothing.
@@ -34,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import gather, mixed
+from .blocks import gather, mixed, small, squeeze, unsqueeze
 from .common import fresh, read, spill
 
 WIDTH, RANK, EXTRA = 48, 256, 16
@@ -163,22 +166,46 @@ class Terms:
         return np.where(found >= 0, self.order[found], -1), sizes
 
 
-def _frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
-    """The number of documents, and in how many of them each term occurs."""
-    size = len(terms.number)
+_NUMBERS = "ids array<long>, found binary, sizes binary"
+
+
+def _numbers(docs: DataFrame, terms: Terms) -> DataFrame:
+    """The documents by blocks, as numbers of terms: doc_ids, then all words (one more than the term, 0: none) and words by
+    document, both packed. Written, since words cost far more to tell than such rows to read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(size, dtype=np.int64)
         for _, _, ids, texts in gather(batches, most=BLOCK):
             found, sizes = terms.of(texts)
-            owner = np.repeat(np.arange(len(texts)), sizes)[found >= 0]
-            df += np.bincount(np.unique(owner * size + found[found >= 0]) % size, minlength=size)
+            packed = [squeeze(small(found + 1)), squeeze(small(sizes))]
+            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in packed)], names=["ids", "found", "sizes"])
+
+    return spill(docs.mapInArrow(run, _NUMBERS), "numbers")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """doc_ids, term numbers (-1: no term) and words by document of each row of ``_numbers``."""
+    for b in batches:
+        for ids, found, sizes in zip(*b.columns, strict=True):
+            yield ids.as_py(), unsqueeze(found.as_py()).astype(np.int64) - 1, unsqueeze(sizes.as_py()).astype(np.int64)
+
+
+def _frequencies(numbers: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """The number of documents, and in how many of them each term occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(size, dtype=np.int64)
+        for ids, found, sizes in _blocks(batches):
             n += len(ids)
+            at = np.flatnonzero(found >= 0)
+            order = np.argsort(small(found[at]), kind="stable")  # so the documents of a term stay in order
+            term, owner = found[at][order], np.repeat(np.arange(len(sizes)), sizes)[at][order]
+            first = np.append(True, (term[1:] != term[:-1]) | (owner[1:] != owner[:-1]))[: len(term)]
+            df += np.bincount(term[first], minlength=size)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["term", "n"])
 
     out = np.zeros(size, dtype=np.int64)
-    rows = docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect()  # one row a term
+    rows = numbers.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect()  # one row a term
     for t, n in rows:
         if t >= 0:
             out[t] = n
@@ -203,16 +230,25 @@ class Passages:
         self.paired = np.append(self.doc[1:] == self.doc[:-1], False)
         self.norm = np.sqrt(squares + np.where(self.paired, np.append(squares[1:], 0), 0))
 
-    def vectors(self, rows: np.ndarray, a: int, b: int) -> np.ndarray:
-        """Sums of term ``rows`` for the passages from a to b."""
-        x, y = np.searchsorted(self.piece, [a, b + 1])
-        total = np.zeros((b + 1 - a, rows.shape[1]), dtype=np.float32)
-        if y > x:
-            p = self.piece[x:y] - a
-            starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-            total[p[starts]] = np.add.reduceat(rows[self.terms[x:y]], starts, axis=0)
-        out = total[:-1]
-        out[self.paired[a:b]] += total[1:][self.paired[a:b]]
+    def possible(self, lengths: np.ndarray, least: float) -> np.ndarray:
+        """The passages whose sums of term rows, given the rows' lengths, can be as long as ``least``; never those without terms."""
+        most = np.bincount(self.piece, weights=lengths[self.terms], minlength=len(self.doc))
+        most = most + np.where(self.paired, np.append(most[1:], 0), 0)
+        return np.flatnonzero((most > 0) & (most * 1.001 >= least))  # sums are rounded
+
+    def vectors(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Sums of term ``rows`` for the passages numbered in ``at`` (in order)."""
+        pieces = np.union1d(at, at[self.paired[at]] + 1)
+        first, last = np.searchsorted(self.piece, pieces), np.searchsorted(self.piece, pieces, side="right")
+        n = last - first
+        full = np.flatnonzero(n)
+        total = np.zeros((len(pieces) + 1, rows.shape[1]), dtype=np.float32)
+        if len(full):
+            n, first = n[full], first[full]
+            total[full] = _sums(rows, self.terms[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)], n)
+        place, paired = np.searchsorted(pieces, at), self.paired[at]
+        out = total[place]
+        out[paired] += total[place[paired] + 1]
         return out
 
 
@@ -261,19 +297,22 @@ def _add_gram(out: np.ndarray, terms: np.ndarray, sizes: np.ndarray, scale: np.n
         a = b
 
 
-def _fit(docs: DataFrame, terms: Terms, idf: np.ndarray, items: list[np.ndarray], rank: int) -> np.ndarray:
-    """The leading right singular directions (terms x rank) of the weighted passages of all documents and of the items."""
+def _fit(docs: DataFrame, terms: Terms, idf: np.ndarray, items: list[np.ndarray], rank: int, numbers: DataFrame | None = None) -> np.ndarray:
+    """The leading right singular directions (terms x rank) of the weighted passages of all documents and of the items.
+
+    ``numbers`` are those of the documents, if they are written already."""
     size, width = len(idf), min(rank + EXTRA, len(idf))
 
     def to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, texts in gather(batches, most=BLOCK):
-            found, sizes, scale = _rows_of(*terms.of(texts), idf)
+        for _, found, sizes in _blocks(batches):
+            found, sizes, scale = _rows_of(found, sizes, idf)
             if len(sizes):
                 # a passage has at most WIDTH words
                 packed = [found.astype(np.int32).tobytes(), sizes.astype(np.uint8).tobytes(), scale.astype(np.float32).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([len(sizes)]), *(pa.array([x], pa.binary()) for x in packed)], names=["n", "terms", "sizes", "scale"])
 
-    rows = spill(docs.mapInArrow(to_rows, "n long, terms binary, sizes binary, scale binary"), "passages")
+    numbers = _numbers(docs, terms) if numbers is None else numbers
+    rows = spill(numbers.mapInArrow(to_rows, "n long, terms binary, sizes binary, scale binary"), "passages")
 
     boost = 10 * max(1.0, (rows.agg(F.sum("n")).first()[0] or 0) / size)  # items weigh more than the average direction of the passages
     weighty = [x[idf[x] > 0] for x in items if (idf[x] > 0).any()]
@@ -428,12 +467,13 @@ def _leaks_of(docs: DataFrame, block: list[tuple], rank: int) -> DataFrame | Non
     if not block:
         return None
     terms = Terms([w + a for _, w, a in block])
-    n_docs, df = _frequencies(docs, terms)
+    numbers = _numbers(docs, terms)
+    n_docs, df = _frequencies(numbers, len(terms.number))
     weight = np.log((1 + n_docs) / (1 + df))
     idf = np.where(df > COMMON_SHARE * n_docs, 0.0, weight)
     numbered = [np.array([terms.number[x] for x in w]) for _, w, _ in block]
     by_words = [k for k, x in enumerate(numbered) if not (idf[x] ** 2).sum() > (1 - MOST_COMMON) * (weight[x] ** 2).sum()]
-    directions = _fit(docs, terms, idf, numbered, rank) if len(by_words) < len(block) else np.zeros((len(idf), 1))
+    directions = _fit(docs, terms, idf, numbered, rank, numbers) if len(by_words) < len(block) else np.zeros((len(idf), 1))
     rows = (idf[:, None] * directions).astype(np.float32)
     cut = [(k, x) for k, y in enumerate(numbered) if len(y) > WIDTH for x in np.array_split(y, -(-len(y) // WIDTH))]
     owner = np.array([*range(len(block)), *(k for k, _ in cut)])
@@ -445,12 +485,12 @@ def _leaks_of(docs: DataFrame, block: list[tuple], rank: int) -> DataFrame | Non
         keys = [terms.number[a] for a in answer] or sorted(set(x.tolist()), key=lambda t: (-weight[t], t))[:4]
         items.append(Item(item_id, x.tolist(), keys))
     norms[np.isin(owner, by_words)] = np.inf
-    shipped = docs.sparkSession.sparkContext.broadcast((terms, rows, idf, queries.astype(np.float32), norms, owner, items, by_words))
+    shipped = docs.sparkSession.sparkContext.broadcast((rows, idf, queries.astype(np.float32), norms, owner, items, by_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, rows, idf, queries, norms, owner, items, by_words = shipped.value
-        for _, _, ids, texts in gather(batches, most=BLOCK):
-            found, sizes = terms.of(texts)
+        rows, idf, queries, norms, owner, items, by_words = shipped.value
+        lengths, least = np.linalg.norm(rows, axis=1), LEAST_WEIGHT * norms.min()
+        for ids, found, sizes in _blocks(batches):
             passages, ends = Passages(found, sizes, idf), np.cumsum(sizes)
             best: dict[tuple[int, int], tuple] = {}
             for k in by_words:
@@ -458,24 +498,25 @@ def _leaks_of(docs: DataFrame, block: list[tuple], rank: int) -> DataFrame | Non
                     got = items[k].found(found[ends[d] - sizes[d] : ends[d]], at)
                     if got and got[0] > best.get((d, k), (0,))[0]:
                         best[d, k] = (got[0], None, got[1], got[2])
-            for i in range(0, len(passages.doc) if len(by_words) < len(items) else 0, 1024):
-                j = min(i + 1024, len(passages.doc))
-                products = passages.vectors(rows, i, j) @ queries.T
-                cosines = products / np.maximum(passages.norm[i:j, None], 1e-6)
+            heavy = passages.possible(lengths, least)
+            for i in range(0, len(heavy), 1024):
+                some = heavy[i : i + 1024]
+                products = passages.vectors(rows, some) @ queries.T
+                cosines = products / np.maximum(passages.norm[some, None], 1e-6)
                 seen = (-1, -1)
                 near = np.nonzero((cosines >= LEAST_COSINE) & (products >= LEAST_WEIGHT * norms))
                 # the pieces of an item come one after another, each passage once, the whole item first
                 for r, k, q in sorted(zip(near[0].tolist(), owner[near[1]].tolist(), near[1].tolist(), strict=True)):
                     if (r, k) == seen:
                         continue
-                    seen, d = (r, k), int(passages.doc[i + r])
-                    got = items[k].found(found[ends[d] - sizes[d] : ends[d]], int(passages.at[i + r]))
+                    seen, d = (r, k), int(passages.doc[some[r]])
+                    got = items[k].found(found[ends[d] - sizes[d] : ends[d]], int(passages.at[some[r]]))
                     if got and got[0] > best.get((d, k), (0,))[0]:
                         best[d, k] = (got[0], float(cosines[r, q]), got[1], got[2])
             columns = [[ids[d] for d, _ in best], [items[k].item_id for _, k in best], *([v[j] for v in best.values()] for j in range(4))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "common", "cosine", "first_word", "last_word"])
 
-    return docs.mapInArrow(run, _FOUND)
+    return numbers.mapInArrow(run, _FOUND)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -872,6 +872,67 @@ def test_directions_against_the_whole_matrix(spark, monkeypatch):
         assert np.abs(got @ got.T - want @ want.T).max() < 1e-3
 
 
+def test_documents_are_told_into_words_once(spark):
+    """However often their numbers are read: for the frequencies, the fit and the search."""
+    r = random.Random(43)
+    items = [(k, " ".join(f"w{r.randrange(3000)}" for _ in range(12))) for k in range(20)]
+    docs = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(60)) + (f" {items[i % 20][1]}" if i % 3 == 0 else "")) for i in range(90)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).mapInArrow(counted, "doc_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i % 20) for i, _ in docs if i % 3 == 0} <= found
+    assert seen.value == len(docs)
+
+
+def test_numbers_and_frequencies_by_hand(spark, monkeypatch):
+    r = random.Random(47)
+    items = [[f"w{k}" for k in range(9)]]
+    docs = [(None, "w1"), (3, None), (3, "w8 W8. zz"), (4, "")] + [(i, " ".join(f"w{r.randrange(12)}" for _ in range(r.randint(0, 15)))) for i in range(5, 60)]
+    terms = decontaminate.Terms(items)
+    words = [(i, [terms.number.get(p, -1) for w in (t or "").encode().split() if (p := decontaminate.plain(w))]) for i, t in docs]
+    want = Counter(k for _, x in words for k in set(x))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for block in (decontaminate.BLOCK, 100):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        numbers = decontaminate._numbers(frame, terms)
+        n, df = decontaminate._frequencies(numbers, len(terms.number))
+        assert n == len(docs) and dict(enumerate(df.tolist())) == {k: want[k] for k in range(9)}
+        got = []
+        for ids, found, sizes in decontaminate._blocks(numbers.toArrow().to_batches()):
+            got += [(i, x.tolist()) for i, x in zip(ids, np.split(found, np.cumsum(sizes)[:-1]), strict=True)]
+        assert sorted(got, key=str) == sorted(words, key=str)
+
+
+def test_passages_left_out_are_too_light():
+    """Vectors by plain sums; a passage that is not projected has no product of that size with any vector of unit length."""
+    r, rng = random.Random(53), np.random.default_rng(59)
+    for _ in range(60):
+        size = r.randint(1, 30)
+        idf = np.array([r.choice([0.0, 0.0, 0.5, 3.0]) for _ in range(size)])
+        rows = (idf[:, None] * np.linalg.qr(rng.standard_normal((size, size)))[0][:, : r.randint(1, size)]).astype(np.float32)
+        sizes = np.array([r.choice([0, 1, 23, 24, 25, 48, 49, 200]) for _ in range(r.randint(1, 9))])
+        found = np.array([r.randrange(size) if r.random() < 0.1 else -1 for _ in range(int(sizes.sum()))], dtype=np.int64)
+        passages = decontaminate.Passages(found, sizes, idf)
+        want = []
+        for end, n in zip(np.cumsum(sizes), sizes, strict=True):
+            want += [rows[[t for t in found[end - n + a : end - n + min(a + 48, n)] if t >= 0 and idf[t]]].sum(axis=0) for a in range(0, max(n, 1), 24)]
+        want = np.array(want)
+        assert np.abs(passages.vectors(rows, np.arange(len(want))) - want).max() < 1e-4
+        some = np.array(sorted(r.sample(range(len(want)), r.randint(1, len(want)))))
+        assert np.abs(passages.vectors(rows, some) - want[some]).max() < 1e-4
+        for least in (0.0, 0.4, 2.0, 6.0):
+            heavy = passages.possible(np.linalg.norm(rows, axis=1), least)
+            rest = np.linalg.norm(want[np.setdiff1d(np.arange(len(want)), heavy)], axis=1)
+            assert (rest < least).all() if least else not rest.any()
+        assert not len(passages.possible(np.linalg.norm(rows, axis=1), np.inf))
+
+
 def test_places_near_every_full_stretch():
     r = random.Random(4)
     for _ in range(200):
