@@ -376,7 +376,8 @@ def q_kept(spark, sf_dir: str) -> DataFrame:
         kept = kept_parts(parts)
         if not parts:
             return []
-        x0, y0, x1, y1 = (f(q[c] for q in kept) for f, c in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1")))
+        # all parts may be under the least area: then there is no box and nothing is touched
+        x0, y0, x1, y1 = (f((q[c] for q in kept), default=None) for f, c in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1")))
         touch = [side for side, hit in (("left", x0 == 0), ("top", y0 == 0), ("right", x1 == p.shape[1]), ("bottom", y1 == p.shape[0])) if hit]
         return [{"kept": len(kept), "discarded": len(parts) - len(kept), "x0": x0, "y0": y0, "x1": x1, "y1": y1, "contacts": ",".join(touch)}]
 

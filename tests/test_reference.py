@@ -57,6 +57,21 @@ def test_components_connectivity(spark):
     assert [(r.ord, r.area) for r in frames.components(px, steps=kernels.EIGHT).orderBy("ord").collect()] == [(1, 2), (2, 4)]
 
 
+def test_frames_of_which_no_part_is_kept(spark, sql, tmp_path):
+    """Single pixels, all of them under the least area, against the SQL: a row without a box."""
+    solid = ([], [0], [9, 27, 63], [0, 1, 40], [18, 19, 26, 27])
+    vectors = [(k, [0.5 if i in on else -0.5 for i in range(64)], 0) for k, on in enumerate(solid)]
+    table = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(table)
+    got = {r.image_id: tuple(r)[1:] for r in catalog.QUERIES["components_kept"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 1, None, None, None, None, ""), 2: (0, 3, None, None, None, None, ""), 3: (1, 1, 0, 0, 2, 1, "left,top"), 4: (1, 0, 2, 2, 4, 4, "")}
+    con = sql.cursor()
+    con.execute("create schema odd")
+    con.execute(f"create view odd.embeddings as select * from '{table}/*.parquet'")
+    con.execute("set schema = 'odd'")
+    assert {r[0]: r[1:] for r in con.execute(catalog.ORACLES["components_kept"]).fetchall()} == got
+
+
 def test_kernels():
     ring = np.ones((5, 5), bool)
     ring[1:4, 1:4] = False
