@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
@@ -15,12 +16,12 @@ from . import kernels as K
 from .transforms import resampling
 
 
-@dataclass
+@dataclass(slots=True)
 class Signature:
-    """Row 159: what sampling needs to know of a frame."""
+    """Row 159: what sampling needs to know of a frame. Its measures can stand without the picture."""
 
-    rgb: np.ndarray
-    mask: np.ndarray
+    rgb: np.ndarray | None
+    mask: np.ndarray | None
     area: float
     center_x: float
     center_y: float
@@ -31,14 +32,22 @@ class Signature:
     core_height: float
 
 
-def signature(p: np.ndarray, side: int = 64) -> Signature:
-    """A frame at ``side`` x ``side`` (linear): foreground is what differs from the mean of the corners by 36 levels or more
-    over the channels; its centre, bounds, height in the middle columns, sharpness and share of the border."""
+MEASURES = ("area", "center_x", "center_y", "sharpness", "border", "width", "height", "core_height")
+
+
+def picture(p: np.ndarray, side: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A frame at ``side`` x ``side`` (linear) in whole levels, and its foreground: what differs from the mean of the corners
+    by 36 levels or more over the channels. A picture's own picture is the same."""
     level = lambda x: np.floor(x + 0.5).clip(0, 255)
     x = level(np.einsum("nw,hwc->hnc", resampling(p.shape[1], side, "bilinear"), p[..., :3].astype(float)))
     x = level(np.einsum("mh,hnc->mnc", resampling(p.shape[0], side, "bilinear"), x))
     corners = x[[0, 0, -1, -1], [0, -1, 0, -1]].sum(axis=0) / 4
-    mask = np.abs(x - corners).sum(axis=2) >= 36
+    return x, np.abs(x - corners).sum(axis=2) >= 36
+
+
+def signature(p: np.ndarray, side: int = 64) -> Signature:
+    """A frame's picture; its foreground's centre, bounds, height in the middle columns, sharpness and share of the border."""
+    x, mask = picture(p, side)
     v, u = np.nonzero(mask)
     core = v[(u >= round(side * 0.31)) & (u <= round(side * 0.69))]
     luma = np.rint(x @ np.array([0.299, 0.587, 0.114]))
@@ -50,10 +59,16 @@ def signature(p: np.ndarray, side: int = 64) -> Signature:
     return Signature(x, mask, len(u) / side**2, middle(u), middle(v), float(edges) / (2 * int(inner.sum())) / 255 if inner.any() else 0.0, float(rim.mean()), extent(u), extent(v), extent(core))
 
 
+def difference(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Row 160 on pictures."""
+    (x, on), (y, off) = a, b
+    either = int((on | off).sum())
+    return 0.72 * (int((on ^ off).sum()) / either if either else 0.0) + 0.28 * float(np.abs(x - y).sum()) / (x.size * 255)
+
+
 def distance(a: Signature, b: Signature) -> float:
     """Row 160 on signatures."""
-    either = int((a.mask | b.mask).sum())
-    return 0.72 * (int((a.mask ^ b.mask).sum()) / either if either else 0.0) + 0.28 * float(np.abs(a.rgb - b.rgb).sum()) / (a.rgb.size * 255)
+    return difference((a.rgb, a.mask), (b.rgb, b.mask))
 
 
 class Poses:
@@ -131,20 +146,76 @@ def adaptive_sample(signatures: list[Signature], wanted: int, cyclic: bool = Tru
     return out
 
 
+class Video(Sequence):
+    """The frames of one sequence as h x w x channels arrays, each made when it is asked for: flat channel arrays (values and
+    offsets) and sizes stay packed."""
+
+    def __init__(self, w: np.ndarray, h: np.ndarray, channels: list[tuple[np.ndarray, np.ndarray]], order: np.ndarray) -> None:
+        self.w, self.h, self.channels, self.order = w, h, channels, order
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return Video(self.w, self.h, self.channels, self.order[at])
+        k = self.order[at]
+        return np.stack([v[o[k] : o[k + 1]] for v, o in self.channels], axis=1).reshape(self.h[k], self.w[k], -1).astype(np.int64)
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+
+
 def per_sequence(packed: DataFrame, f, schema: str) -> DataFrame:
-    """Rows of ``f(list of h x w x 4 arrays)`` for each sequence, in order of fidx; seq is added in front. A sequence bounds
-    the group, as a video does (some hundred frames)."""
+    """Rows of ``f(sequence of h x w x 4 arrays)`` for each sequence, in order of fidx; seq is added in front. A sequence bounds
+    the group, as a video does (some hundred frames); it stays packed, two bytes a value, and ``f`` should keep no frames."""
     own = [c.rsplit(" ", 1) for c in schema.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["fidx"].to_numpy(), kind="stable").tolist()
-        w, h = table["w"].to_pylist(), table["h"].to_pylist()
-        cells = [table[c].to_pylist() for c in "rgba"]
-        rows = f([np.stack([np.array(c[k]) for c in cells], axis=1).reshape(h[k], w[k], 4).astype(np.int64) for k in order])
+        order = np.argsort(table["fidx"].to_numpy(), kind="stable")
+        rows = f(Video(table["w"].to_numpy(), table["h"].to_numpy(), [flat(table[c].combine_chunks()) for c in "rgba"], order))
         seq = table["seq"][0].as_py()
         return pa.table({"seq": pa.array([seq] * len(rows), pa.int32())} | {n: pa.array([r[n] for r in rows], K.ARROW[k]) for n, k in own})
 
-    return packed.select(F.col("seq").cast("int"), "fidx", "w", "h", "r", "g", "b", "a").groupBy("seq").applyInArrow(run, "seq int, " + schema)
+    return packed.select(F.col("seq").cast("int"), "fidx", "w", "h", *[F.col(c).cast("array<smallint>") for c in "rgba"]).groupBy("seq").applyInArrow(run, "seq int, " + schema)
+
+
+def signatures(packed: DataFrame, pictures: bool = False) -> DataFrame:
+    """Row 159 of each frame, its place in its sequence (fidx) and its distance to the first frame (anchor). Frames carry the
+    first one, so they are dealt over all tasks however long a sequence is, and Python holds one at a time. ``pictures`` adds
+    cw, ch and cells: RGB bytes that have the same picture, which are the frame's own or, of a large one, the picture."""
+    order = Window.partitionBy("seq").orderBy("fidx")
+    own = ["w", "h", "r", "g", "b"]
+    narrow = packed.select(F.col("seq").cast("int"), "fidx", *own[:2], *[F.col(c).cast("array<smallint>") for c in own[2:]])
+    placed = narrow.select("seq", (F.row_number().over(order) - 1).alias("fidx"), *own, *[F.first(c).over(order).alias(f"first_{c}") for c in own])
+    schema = "seq int, fidx int, " + ", ".join(f"{n} double" for n in (*MEASURES, "anchor")) + (", cw int, ch int, cells binary" if pictures else "")
+    kinds = [pa.int32()] * 2 + [pa.float64()] * (len(MEASURES) + 1) + ([pa.int32(), pa.int32(), pa.binary()] if pictures else [])
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def video(b: pa.RecordBatch, mark: str = "") -> Video:
+        return Video(b[f"{mark}w"].to_numpy(), b[f"{mark}h"].to_numpy(), [flat(b[f"{mark}{c}"]) for c in "rgb"], np.arange(b.num_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            seqs, each, first, columns = b["seq"].to_pylist(), video(b), video(b, "first_"), [[] for _ in kinds[2:]]
+            for k, seq in enumerate(seqs):
+                if seq not in firsts:
+                    if len(firsts) == 64:
+                        firsts.clear()
+                    firsts[seq] = picture(first[k])
+                p = each[k]
+                s = signature(p)
+                row = [*(getattr(s, n) for n in MEASURES), difference(firsts[seq], (s.rgb, s.mask))]
+                if pictures:
+                    least = p if p.size <= s.rgb.size else s.rgb
+                    row += [least.shape[1], least.shape[0], least.astype(np.uint8).tobytes()]
+                for column, v in zip(columns, row, strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([b["seq"], b["fidx"], *(pa.array(c, t) for c, t in zip(columns, kinds[2:], strict=True))], names=names)
+
+    return placed.repartition("seq", "fidx").mapInArrow(run, schema)
 
 
 @query("video_adaptive_sample")
@@ -164,12 +235,7 @@ def q_adaptive(spark, sf_dir: str) -> DataFrame:
 @query("video_signature")
 def q_signature(spark, sf_dir: str) -> DataFrame:
     """Row 159, with the distance to the first frame."""
-
-    def run(video: list[np.ndarray]) -> list[dict]:
-        seen = [signature(p) for p in video]
-        return [{"fidx": k, "area": x.area, "center_x": x.center_x, "center_y": x.center_y, "sharpness": x.sharpness, "border": x.border, "width": x.width, "height": x.height, "core_height": x.core_height, "anchor": distance(seen[0], x)} for k, x in enumerate(seen)]
-
-    return per_sequence(frames(spark, sf_dir), run, "fidx int, area double, center_x double, center_y double, sharpness double, border double, width double, height double, core_height double, anchor double")
+    return signatures(frames(spark, sf_dir))
 
 
 def boundary(p: np.ndarray, at: int, band: int, length: int) -> np.ndarray:

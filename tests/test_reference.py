@@ -227,6 +227,45 @@ def test_slots_by_hand():
             assert any(c == chosen and m == pytest.approx(total) for m, c in video.slot_choices(v, 6))
 
 
+def wandering(spark, n, seqs=2, side=8):
+    """Packed frames of several sequences of one length, in no order, with gaps in fidx."""
+    r = np.random.default_rng(5)
+    videos = {q: [np.where(r.random((side, side, 4)) < 0.5, r.integers(0, 256, (side, side, 4)), 0) for _ in range(n)] for q in range(seqs)}
+    rows = [(1000 * q + k, q, 3 * k + 1, side, side, *[p[..., c].ravel().tolist() for c in range(4)]) for q, v in videos.items() for k, p in enumerate(v)]
+    r.shuffle(rows)
+    kinds = "image_id long, seq int, fidx int, w int, h int, r array<int>, g array<int>, b array<int>, a array<int>"
+    return videos, spark.createDataFrame([(int(i), int(q), int(k), *x) for i, q, k, *x in rows], kinds)
+
+
+@pytest.mark.parametrize("side", [8, 72])
+def test_dealt_signatures_against_whole_videos(spark, side):
+    """Frames dealt over tasks have the signatures of a video held as a whole, bit by bit."""
+    videos, packed = wandering(spark, 29, side=side)
+    seen = {q: [video.signature(p) for p in v] for q, v in videos.items()}
+    want = {(q, k): (*(getattr(x, m) for m in video.MEASURES), video.distance(s[0], x)) for q, s in seen.items() for k, x in enumerate(s)}
+    assert {(r.seq, r.fidx): tuple(r)[2:] for r in video.signatures(packed).collect()} == want
+    small = {(r.cw, r.ch, len(r.cells)) for r in video.signatures(packed, pictures=True).collect()}
+    assert small == {(min(side, 64), min(side, 64), 3 * min(side, 64) ** 2)}
+
+
+def test_a_sequence_is_not_one_task_of_signatures(spark, tmp_path):
+    """One sequence of 200 frames: no task has them all."""
+    rows = spark.range(200).select(F.col("id").alias("vec_id"), F.expr("transform(sequence(0, 63), i -> cast(sin(id + i) as float))").alias("embedding"), F.lit(0).alias("label"))
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = catalog.QUERIES["video_signature"](spark, str(tmp_path)).select("fidx", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(r.fidx for r in got) == list(range(200))
+    assert max(sum(r.task == t for r in got) for t in {r.task for r in got}) < 150
+
+
+def test_frames_of_a_sequence_are_made_when_asked_for():
+    v = video.Video(np.array([2, 1]), np.array([1, 2]), [(np.arange(4), np.array([0, 2, 4]))] * 2, np.array([1, 0]))
+    assert [p.shape for p in v] == [(2, 1, 2), (1, 2, 2)] and v[0].ravel().tolist() == [2, 2, 3, 3] and len(v[1:]) == 1
+
+
 def test_signature():
     p = np.zeros((64, 64, 4), int)
     p[10:50, 20:40, :3] = 200
