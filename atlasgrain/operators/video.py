@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,11 +72,13 @@ def distance(a: Signature, b: Signature) -> float:
 
 
 class Poses:
-    """Scores of the frames of one video against its first frame."""
+    """Scores of the frames of one video against its first frame. With ``anchor``, the distances to that frame, and ``look``,
+    which shows the picture of a frame, signatures may be without pictures."""
 
-    def __init__(self, signatures: list[Signature], steady_scale: bool = False) -> None:
-        self.s, self.n, first = signatures, len(signatures), signatures[0]
-        self.anchor = [distance(first, x) for x in signatures]
+    def __init__(self, signatures: list[Signature], steady_scale: bool = False, anchor: list[float] | None = None, look: Callable[[int], tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        self.n, first = len(signatures), signatures[0]
+        self.look = look or (lambda k: (signatures[k].rgb, signatures[k].mask))
+        self.anchor = [distance(first, x) for x in signatures] if anchor is None else anchor
         sharpest = max(x.sharpness for x in signatures) or 1.0
         ratio = [x.height / first.height if first.height > 0 else 1.0 for x in signatures]
         self.off_scale = [k for k, r in enumerate(ratio) if steady_scale and not 0.78 <= r <= 1.22]
@@ -84,8 +86,19 @@ class Poses:
         self.malus = [2.0 * (x.border > 0) + ((2.0 * (r < 0.78 or r > 1.22) + 1.2 * abs(r - 1)) if steady_scale else 0.0) for x, r in zip(signatures, ratio, strict=True)]
         self.calm = [max(0.0, 1 - 1.4 * abs(x.area - first.area) - 0.8 * (abs(x.center_x - first.center_x) + abs(x.center_y - first.center_y)) - 0.35 * max(0.0, 0.65 - x.sharpness / sharpest) - (0.9 * abs(r - 1) if steady_scale else 0.0)) for x, r in zip(signatures, ratio, strict=True)]
 
-    def apart(self, a: int, b: int) -> float:
-        return distance(self.s[a], self.s[b])
+    def apart(self, asked: list[tuple[int, range]]) -> list[list[float]]:
+        """The distances of a frame to a range of frames, for each of those asked; a frame of the ranges is looked at once."""
+        out: list[list[float]] = [[] for _ in asked]
+        known = {a: self.look(a) for a, _ in asked if a}
+        for k in range(min((r.start for _, r in asked), default=0), max((r.stop for _, r in asked), default=0)):
+            here, seen = {0: self.anchor[k]}, None
+            for (a, r), far in zip(asked, out, strict=True):
+                if k in r:
+                    if a not in here:
+                        seen = seen or self.look(k)
+                        here[a] = difference(known[a], seen)
+                    far.append(here[a])
+        return out
 
 
 #: shift of the slots (in windows), weight of novelty, weight of the distance to the first frame
@@ -94,20 +107,20 @@ VARIANTS = [(-0.3, 0.52, 0.3), (-0.2, 0.46, 0.36), (-0.1, 0.4, 0.42), (0.0, 0.34
 
 def slot_choices(v: Poses, wanted: int, cyclic: bool = True) -> list[tuple[float, list[int]]]:
     """Row 161: for each variant the best frame near each slot after the one before it; the first of equals."""
-    window, out = max(2, v.n // max(4, 2 * wanted)), []
-    for shift, novelty, anchor in VARIANTS:
-        chosen, total = [0], 0.0
-        for slot in range(1, wanted):
+    window, paths = max(2, v.n // max(4, 2 * wanted)), {variant: (0.0, [0]) for variant in VARIANTS}
+    for slot in range(1, wanted):
+        near = {}
+        for (shift, novelty, anchor), (_, chosen) in paths.items():
             target = slot * (v.n if cyclic else v.n - 1) / (wanted if cyclic else wanted - 1) + shift * window
             low, high = max(chosen[-1] + 1, round(target - window)), min(v.n - 1, round(target + window), v.n - (wanted - slot))
-            if low > high:
-                break
-            marks = [novelty * v.apart(chosen[-1], k) + anchor * v.anchor[k] + 0.12 * v.calm[k] + 0.08 * (1 - min(1.0, abs(k - target) / window)) - v.malus[k] for k in range(low, high + 1)]
-            total += max(marks)
-            chosen.append(low + marks.index(max(marks)))
-        if len(chosen) == wanted:
-            out.append((total, chosen))
-    return out
+            if low <= high:
+                near[shift, novelty, anchor] = target, range(low, high + 1)
+        far = v.apart([(paths[x][1][-1], places) for x, (_, places) in near.items()])
+        for (x, (target, places)), apart in zip(near.items(), far, strict=True):
+            marks = [x[1] * d + x[2] * v.anchor[k] + 0.12 * v.calm[k] + 0.08 * (1 - min(1.0, abs(k - target) / window)) - v.malus[k] for k, d in zip(places, apart, strict=True)]
+            near[x] = paths[x][0] + max(marks), [*paths[x][1], places[marks.index(max(marks))]]
+        paths = near
+    return list(paths.values())
 
 
 def distant_best(places: range, mark, gap: int, most: int = 4) -> list[int]:
@@ -123,22 +136,20 @@ def phase_choices(v: Poses) -> list[tuple[float, list[int]]]:
     """Row 162: four frames as start, one extreme, a recovery near the start pose, and the other extreme."""
     rim, half, gap, between, out = max(2, v.n // 24), v.n // 2, max(2, v.n // 12), max(2, v.n // 18), []
     firm = lambda k: 0.75 + 0.25 * v.calm[k]
-    for a in distant_best(range(rim, max(rim + 1, half - rim)), lambda k: v.anchor[k] * firm(k) - v.malus[k], between):
-        last = min(v.n - rim - gap, 3 * v.n // 4)
-        if last <= a + gap:
-            continue
+    last = min(v.n - rim - gap, 3 * v.n // 4)
+    starts = [a for a in distant_best(range(rim, max(rim + 1, half - rim)), lambda k: v.anchor[k] * firm(k) - v.malus[k], between) if last > a + gap]
+    ends = [range(a + 2 * gap, v.n - rim) for a in starts]
+    for a, places, apart in zip(starts, ends, v.apart(list(zip(starts, ends, strict=True))), strict=True):
+        far = lambda k: apart[k - places.start]  # noqa: B023, E731
         for r in distant_best(range(a + gap, last + 1), lambda k: -v.malus[k] - v.anchor[k] - 0.08 * abs(k - half) / v.n + 0.1 * v.calm[k], between):
-            for b in distant_best(range(r + gap, v.n - rim), lambda k: (0.48 * v.anchor[k] + 0.52 * v.apart(a, k)) * firm(k) - v.malus[k], between):
-                mark = v.anchor[a] + v.anchor[b] + 1.4 * v.apart(a, b) + 0.25 * (v.calm[a] + v.calm[b]) - 0.4 * v.anchor[r] - v.malus[a] - v.malus[r] - v.malus[b]
+            for b in distant_best(range(r + gap, v.n - rim), lambda k: (0.48 * v.anchor[k] + 0.52 * far(k)) * firm(k) - v.malus[k], between):  # noqa: B023
+                mark = v.anchor[a] + v.anchor[b] + 1.4 * far(b) + 0.25 * (v.calm[a] + v.calm[b]) - 0.4 * v.anchor[r] - v.malus[a] - v.malus[r] - v.malus[b]
                 out.append((mark, [0, a, r, b]))
     return out
 
 
-def adaptive_sample(signatures: list[Signature], wanted: int, cyclic: bool = True, steady_scale: bool = False, most: int = 8) -> list[tuple[float, list[int]]]:
-    """Rows 161, 162: the ranked choices, best first, each once. Videos of under max(8, 3 x wanted) frames are refused."""
-    if len(signatures) < max(8, 3 * wanted):
-        raise ValueError("too few frames")
-    v = Poses(signatures, steady_scale)
+def ranked(v: Poses, wanted: int, cyclic: bool = True, most: int = 8) -> list[tuple[float, list[int]]]:
+    """The choices, best first, each once."""
     out: list[tuple[float, list[int]]] = []
     for mark, chosen in sorted(phase_choices(v) if wanted == 4 else slot_choices(v, wanted, cyclic), reverse=True):
         if len(out) < most and all(chosen != c for _, c in out):
@@ -146,6 +157,13 @@ def adaptive_sample(signatures: list[Signature], wanted: int, cyclic: bool = Tru
     return out
 
 
+def adaptive_sample(signatures: list[Signature], wanted: int, cyclic: bool = True, steady_scale: bool = False, most: int = 8) -> list[tuple[float, list[int]]]:
+    """Rows 161, 162: the ranked choices, best first, each once. Videos of under max(8, 3 x wanted) frames are refused."""
+    if len(signatures) < max(8, 3 * wanted):
+        raise ValueError("too few frames")
+    return ranked(Poses(signatures, steady_scale), wanted, cyclic, most)
+
+
 class Video(Sequence):
     """The frames of one sequence as h x w x channels arrays, each made when it is asked for: flat channel arrays (values and
     offsets) and sizes stay packed."""
@@ -221,15 +239,27 @@ def signatures(packed: DataFrame, pictures: bool = False) -> DataFrame:
 @query("video_adaptive_sample")
 def q_adaptive(spark, sf_dir: str) -> DataFrame:
     """Rows 161, 162: the ranked choices of six frames and of four; sequential, so tests hold it against a slow version."""
-
-    def run(video: list[np.ndarray]) -> list[dict]:
-        seen, out = [signature(p) for p in video], []
-        for wanted in (6, 4):
-            if len(seen) >= max(8, 3 * wanted):
-                out += [{"wanted": wanted, "rank": k + 1, "frames": ",".join(map(str, c)), "score": round(m, 6)} for k, (m, c) in enumerate(adaptive_sample(seen, wanted))]
-        return out
-
-    return per_sequence(frames(spark, sf_dir), run, "wanted int, rank int, frames string, score double")
+    return adaptive_samples(frames(spark, sf_dir))
+
+
+def chosen_of(table: pa.Table, choices: tuple[int, ...]) -> pa.Table:
+    """The ranked choices of one sequence of ``signatures`` with pictures. Of a frame it holds the measures and the least
+    bytes that show its picture, which is made anew where two frames are compared."""
+    n, order, rows = table.num_rows, np.argsort(table["fidx"].to_numpy()).tolist(), []
+    if n >= max(8, 3 * min(choices)):
+        w, h, cells = table["cw"].to_numpy(), table["ch"].to_numpy(), table["cells"]
+        look = lambda k: picture(np.frombuffer(cells[(j := order[k])].as_buffer(), np.uint8).reshape(h[j], w[j], 3))
+        told = [table[m].to_numpy()[order].tolist() for m in (*MEASURES, "anchor")]
+        v = Poses([Signature(None, None, *x) for x in zip(*told[:-1], strict=True)], anchor=told[-1], look=look)
+        rows = [(wanted, k + 1, ",".join(map(str, c)), round(m, 6)) for wanted in choices if n >= max(8, 3 * wanted) for k, (m, c) in enumerate(ranked(v, wanted))]
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    out = {"seq": pa.array([table["seq"][0].as_py()] * len(rows), pa.int32())}
+    return pa.table(out | {c: pa.array(x, K.ARROW[t]) for (c, t), x in zip((("wanted", "int"), ("rank", "int"), ("frames", "string"), ("score", "double")), columns, strict=True)})
+
+
+def adaptive_samples(packed: DataFrame, choices: tuple[int, ...] = (6, 4)) -> DataFrame:
+    """Rows 161, 162 of each sequence. A choice follows from the one before it, so a sequence is one task."""
+    return signatures(packed, pictures=True).groupBy("seq").applyInArrow(lambda table: chosen_of(table, choices), "seq int, wanted int, rank int, frames string, score double")
 
 
 @query("video_signature")

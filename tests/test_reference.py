@@ -266,6 +266,29 @@ def test_frames_of_a_sequence_are_made_when_asked_for():
     assert [p.shape for p in v] == [(2, 1, 2), (1, 2, 2)] and v[0].ravel().tolist() == [2, 2, 3, 3] and len(v[1:]) == 1
 
 
+@pytest.mark.parametrize("side", [8, 72])
+def test_choices_without_pictures_against_whole_videos(spark, side):
+    """Pictures made anew where they are compared give the choices of a video held as a whole, bit by bit."""
+    videos, packed = wandering(spark, 29, side=side)
+    seen = {q: [video.signature(p) for p in v] for q, v in videos.items()}
+    want = {(q, n, k + 1): (",".join(map(str, c)), round(m, 6)) for q, s in seen.items() for n in (6, 4) for k, (m, c) in enumerate(video.adaptive_sample(s, n))}
+    assert {(r.seq, r.wanted, r.rank): (r.frames, r.score) for r in video.adaptive_samples(packed).collect()} == want
+
+
+def test_choices_hold_no_pictures(spark):
+    """600 frames, whose pictures are 61 MB: their choices take a few."""
+    import tracemalloc
+
+    _, packed = wandering(spark, 600, seqs=1)
+    table = video.signatures(packed, pictures=True).toArrow()
+    tracemalloc.start()
+    try:
+        assert video.chosen_of(table, (6, 4)).num_rows > 2
+        assert tracemalloc.get_traced_memory()[1] < 6e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_signature():
     p = np.zeros((64, 64, 4), int)
     p[10:50, 20:40, :3] = 200
