@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import encode_png, from_png
+from .frames import ENOUGH, encode_png, from_png
 
 
 def json_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -95,11 +95,17 @@ def write_png(frames: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
+        pack = lambda out: pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["path", "content"])
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                out.append((r["path"], encode_png(np.stack([np.array(r[c]) for c in "rgba"], axis=1).reshape(r["h"], r["w"], 4))))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["path", "content"])
+            out, held = [], 0
+            channels = [(b.column(c).values.to_numpy(zero_copy_only=False), b.column(c).offsets.to_numpy()) for c in "rgba"]
+            for k, (path, w, h) in enumerate(zip(b.column("path"), b.column("w").to_pylist(), b.column("h").to_pylist(), strict=True)):
+                out.append((path.as_py(), encode_png(np.stack([v[o[k] : o[k + 1]] for v, o in channels], axis=1).reshape(h, w, 4))))
+                held += len(out[-1][1])
+                if held >= ENOUGH:
+                    yield pack(out)
+                    out, held = [], 0
+            yield pack(out)
 
     return frames.select("path", "w", "h", "r", "g", "b", "a").mapInArrow(run, "path string, content binary").withColumn("sha256", F.sha2("content", 256))
 

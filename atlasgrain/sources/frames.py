@@ -138,20 +138,33 @@ def encode_png(rgba: np.ndarray) -> bytes:
 PACKED = "path string, w int, h int, r array<smallint>, g array<smallint>, b array<smallint>, a array<smallint>, error string"
 
 
+#: values of frames, or bytes of files, after which a batch is passed on: what Python holds follows from it and not from rows
+ENOUGH = 1 << 19
+
+
 def from_png(files: DataFrame) -> DataFrame:
     """Packed frames of ``binaryFile`` rows (path, content); what cannot be read has null arrays and an error."""
+    packed = pa.list_(pa.int16())
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        paths, images, errors = zip(*rows, strict=True) if rows else ((), (), ())
+        size = lambda k: pa.array([None if x is None else x.shape[k] for x in images], pa.int32())
+        channels = [pa.array([None if x is None else x[..., k].ravel() for x in images], packed) for k in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), size(1), size(0), *channels, pa.array(errors, pa.string())], names=["path", "w", "h", "r", "g", "b", "a", "error"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows, held = [], 0
+            for path, data in zip(b.column(0), b.column(1), strict=True):
                 try:
-                    x = decode_png(data or b"").astype(np.int16)
-                    rows.append((path, x.shape[1], x.shape[0], *(x[..., k].ravel().tolist() for k in range(4)), None))
+                    x = decode_png(data.as_py() or b"").astype(np.int16)
+                    rows.append((path.as_py(), x, None))
+                    held += x.size
                 except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
-                    rows.append((path, None, None, None, None, None, None, str(e) or "unreadable"))
-            types = [pa.string(), pa.int32(), pa.int32(), *[pa.list_(pa.int16())] * 4, pa.string()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "w", "h", "r", "g", "b", "a", "error"])
+                    rows.append((path.as_py(), None, str(e) or "unreadable"))
+                if held >= ENOUGH:
+                    yield batch(rows)
+                    rows, held = [], 0
+            yield batch(rows)
 
     return files.select("path", "content").mapInArrow(run, PACKED)

@@ -466,6 +466,46 @@ def test_png_round_trip_and_stream(spark, tmp_path):
     assert got == {"a.png": (True, "", None), "b.png": (False, "blank", None), "c.png": (False, None, "not a PNG")}
 
 
+class Caught:
+    """Stands for a table, to catch the function that is mapped over its batches."""
+
+    def select(self, *_):
+        return self
+
+    def withColumn(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def test_png_batches_are_passed_on_before_they_grow(spark):
+    """20 frames of 256 x 256 in one batch: no more than a few are held in Python, and all come out, in order."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    images = [np.full((256, 256, 4), k, np.int32) for k in range(20)]
+    names = [f"{k}.png" for k in range(20)]
+    side, channel = pa.array([256] * 20, pa.int32()), lambda c: pa.ListArray.from_arrays(pa.array(np.arange(21) * 65536, pa.int32()), np.concatenate([x[..., c].ravel() for x in images]))
+    frames_ = pa.RecordBatch.from_arrays([pa.array(names), side, side, *map(channel, range(4))], names=["path", "w", "h", *"rgba"])
+    files = pa.RecordBatch.from_arrays([pa.array([*names, "bad.png"]), pa.array([*map(source.encode_png, images), None], pa.binary())], names=["path", "content"])
+    written, read = documents.write_png(Caught()).run, source.from_png(Caught()).run
+    for run, batch, seen in ((written, frames_, []), (read, files, [])):
+        tracemalloc.start()
+        for out in run(iter([batch])):
+            seen += out.column("path").to_pylist()
+            if "content" in out.schema.names:
+                assert out.column("content").to_pylist() == files.column("content").slice(len(seen) - out.num_rows, out.num_rows).to_pylist()
+            else:
+                assert all(a is None or set(a) == {int(p.split(".")[0])} for p, a in zip(out.column("path").to_pylist(), out.column("g").to_pylist(), strict=True))
+                assert out.column("error").to_pylist()[-1] == ("not a PNG" if seen[-1] == "bad.png" else None)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert seen == batch.column("path").to_pylist() and peak < 16e6, peak
+
+
 def test_documents_and_artifacts(spark, tmp_path):
     os.makedirs(tmp_path / "d/walk")
     (tmp_path / "d/a.json").write_text("﻿" + json.dumps({"kind": "sprite"}), encoding="utf-8")
